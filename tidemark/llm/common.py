@@ -95,3 +95,31 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         total = total * np.uint64(0x9E3779B97F4A7C15) + words[j : j + m]
     return mixed(total)
+
+
+#: A key with at least this share of the rows counts as hot; there are at most its inverse of such keys, so they can be broadcast.
+HOT_SHARE = 1 / 500
+ROW_KEY = "__row_key"
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's key: rows that repeat share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows left-joined with table (one row per key; weight: how many of rows have it). Hot keys are few by count, at most
+    1 / HOT_SHARE, so they are broadcast; no other key holds more than that share of the shuffle."""
+    is_hot = F.col(weight) >= max(2.0, total * HOT_SHARE)
+    hot, others = table.filter(is_hot), table.filter(~is_hot)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key, "left"))
+
+
+def staying(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that a decision table (ROW_KEY, kept) keeps; of rows that share a key, one stays at most."""
+    keys = reliable(made.groupBy(ROW_KEY).agg(F.max("kept").alias("any"), F.count("*").alias("n")).filter("not any or n > 1"))
+    left = docs.withColumn(ROW_KEY, row_key(id_col, text_col)).join(keys.filter("not any"), ROW_KEY, "left_anti")
+    twins = keys.filter("any")
+    if not twins.isEmpty():
+        left = left.join(twins, ROW_KEY, "left_anti").unionByName(left.join(twins, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]))
+    return left.select(docs.columns)

@@ -14,10 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bits
-from tidemark.llm.common import SPACE, reliable
-
-#: A group of at least this share of the rows counts as hot; there are at most its inverse of them, so they can be broadcast.
-HOT_SHARE = 1 / 500
+from tidemark.llm.common import ROW_KEY, SPACE, attach, reliable, row_key, staying
 
 
 def normal(text: Column) -> Column:
@@ -32,13 +29,13 @@ def _emit(batches, shards: int):
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, and the row's key.
 
     Of texts equal after normalising, the row with the most code points stays, then the smallest id (null ids last); of
     rows that repeat with their id exactly one stays. Null texts count as empty and equal each other. An empty table gives
     an empty result. Extra columns are left out."""
     text = F.col(text_col)
-    digests = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normal(text).cast("binary"), 256)).alias("sha"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
+    digests = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias(ROW_KEY), F.unhex(F.sha2(normal(text).cast("binary"), 256)).alias("sha"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
     # numbering a table that is already kept gives each row the same number whenever a task runs again
     rows = reliable(digests).withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("sha"))
     n = rows.count()
@@ -55,25 +52,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("none"), "id", "row"))
     groups = rows.filter("maybe").groupBy("sha").agg(F.count("*").alias("size"), best.alias("best"))
     groups = reliable(groups.filter("size > 1").select("sha", "size", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row")))
-    is_hot = F.col("size") >= max(2.0, n * HOT_SHARE)
-    hot = rows.filter("maybe").join(F.broadcast(groups.filter(is_hot)), "sha")
-    others = rows.filter("maybe").join(F.broadcast(groups.filter(is_hot).select("sha")), "sha", "left_anti").join(groups.filter(~is_hot), "sha", "left")
     alone = rows.filter("not maybe").withColumns({"size": F.lit(None).cast("long"), "keep": F.lit(None).cast(docs.schema[id_col].dataType), "keep_row": F.lit(None).cast("long")})
-    found = alone.unionByName(hot).unionByName(others)
+    found = alone.unionByName(attach(rows.filter("maybe"), groups, "sha", "size", n))
     single = F.col("size").isNull()
-    return found.select(F.col("id").alias(id_col), F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (single | (F.col("row") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return found.select(F.col("id").alias(id_col), F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (single | (F.col("row") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), ROW_KEY)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    made = reliable(decisions(docs, id_col, text_col))
-    own = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    gone = made.filter(~F.col("kept") & ~own).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    # rows that repeat with their id: one of them stays
-    again = made.filter(~F.col("kept") & own).select(F.col(id_col).alias("_gone"), "text_sha256").distinct()
-    if again.isEmpty():
-        return left
-    same = F.col(id_col).eqNullSafe(F.col("_gone"))
-    twins = left.join(again, same, "left_semi").withColumns({"_sha": F.sha2(normal(F.col(text_col)).cast("binary"), 256), "_size": F.length(text_col)})
-    return left.join(again, same, "left_anti").unionByName(twins.dropDuplicates([id_col, "_sha", "_size"]).drop("_sha", "_size"))
+    return staying(docs, decisions(docs, id_col, text_col).select(ROW_KEY, "kept"), id_col, text_col)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, shards, urls
+from tidemark.llm import exact, shards, simhash, urls
+from tidemark.llm.common import ROW_KEY
 
 #: Fixed by the contract.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
@@ -20,15 +21,19 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).drop(ROW_KEY)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.decisions(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return exact.decisions(_table(spark, sf_dir, "documents", "doc_id", "text")).drop(ROW_KEY)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op3_exact_dedup, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op10_sharding)}
 
 _URL_CASES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
