@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact, shards, simhash, urls
+from tidemark.llm import exact, media, shards, simhash, substrings, urls
 from tidemark.llm.common import ROW_KEY
 
 #: Fixed by the contract.
@@ -29,11 +30,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decisions(_table(spark, sf_dir, "documents", "doc_id", "text")).drop(ROW_KEY)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substrings.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op8_media, op10_sharding)}
 
 _URL_CASES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
@@ -52,4 +62,12 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size, row_number() OVER w AS n
               FROM d WINDOW w AS (PARTITION BY sha ORDER BY chars DESC, doc_id))
         SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha AS text_sha256 FROM r""",
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS p FROM d)),
+        rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 34)) AS i FROM rep),
+        word AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS k FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
 }
