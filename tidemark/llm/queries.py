@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, media, mixing, shards, simhash, substrings, urls
+from tidemark.llm import bpe, exact, media, mixing, ppm, shards, simhash, substrings, urls
 from tidemark.llm.common import ROW_KEY
 
 #: Fixed by the contract.
@@ -49,11 +49,15 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op7_mixing, op8_media, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op7_mixing, op8_media, op9_lm_scoring, op10_sharding)}
 
 _URL_CASES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
