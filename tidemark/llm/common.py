@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as a character class, and a word: what stands between it. ``bytes.split()`` cuts at the same places.
@@ -16,14 +17,21 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share, so that a lost executor costs nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests), a folder in the warehouse."""
+    own = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{own}/_checkpoints"
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder's name for tables that are written between the stages of one run."""
+    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests), one beside the warehouse is taken."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", f"{own}/_checkpoints"))
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share, so that a lost executor costs nothing."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -91,8 +91,22 @@ def _taken(sizes: np.ndarray, quota: int, block: int, luck: int) -> np.ndarray:
     return passes * sizes + np.diff(covered)
 
 
+def copies_of(sizes: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Whole copies of documents that come to about the taken words: what rounding leaves is carried to the next one."""
+    out, carry = np.empty(len(sizes), np.int32), 0.0
+    for i, (size, want) in enumerate(zip(sizes.tolist(), taken.tolist(), strict=True)):
+        if not size:
+            out[i] = 1
+            continue
+        times = min(int(REPEATS), max(0, math.floor((want + carry) / size + 0.5)))
+        carry += want - times * size
+        out[i] = times
+    return out
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, and the row's key.
+    """One row per input row: id, size, source_size, target, taken, copies (whole ones, to about the same effect), and the
+    row's key.
 
     Sources are ordered by code point, null last, and weigh WEIGHTS in turn; null is a source of its own. A null text has
     no words and takes none. Repeated rows lie one after another and each take what falls to them. The number of sources
@@ -122,18 +136,23 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["luck", ROW_KEY, "size"], kind="stable")
         pdf["taken"] = _taken(pdf["size"].to_numpy(np.int64), pdf["quota"].iloc[0], block, abs(hash((int(pdf["number"].iloc[0]), int(pdf["shard"].iloc[0]), seed))))
-        return pdf[["id", ROW_KEY, "size", "source_size", "target", "taken"]]
+        pdf["copies"] = copies_of(pdf["size"].to_numpy(np.int64), pdf["taken"].to_numpy(np.int64))
+        return pdf[["id", ROW_KEY, "size", "source_size", "target", "taken", "copies"]]
 
     placed = numbered.join(F.broadcast(quota) if len(cells) <= 1_000_000 else quota, ["number", "shard"]).withColumn("luck", F.xxhash64(ROW_KEY, "id", F.lit(seed + 1)))
-    made = placed.drop("shards").groupBy("number", "shard").applyInPandas(select, f"id {kind}, {ROW_KEY} long, size long, source_size long, target double, taken long")
-    return made.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", ROW_KEY)
+    made = placed.drop("shards").groupBy("number", "shard").applyInPandas(select, f"id {kind}, {ROW_KEY} long, size long, source_size long, target double, taken long, copies int")
+    return made.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies", ROW_KEY)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Documents with what the mixture takes of them: none, once or twice. A document is repeated as often as its words are
-    taken on average, rounded by a seeded draw, so that each source's words come near its target."""
-    made = mixture(docs, id_col, text_col, source_col).select(ROW_KEY, "size", "taken")
-    times = F.floor(F.try_divide("taken", "size") + F.pmod(F.xxhash64(ROW_KEY, F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    per = made.groupBy(ROW_KEY).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select(ROW_KEY, F.coalesce(times, F.lit(1)).cast("int").alias("times"))
-    joined = docs.withColumn(ROW_KEY, row_key(id_col, text_col)).join(per.filter("times > 0"), ROW_KEY)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    """Documents as often as the mixture takes them: not at all, once or twice, with all their columns. A document without
+    words stays. Of rows that repeat, copies are made as for all of them."""
+    made = mixture(docs, id_col, text_col, source_col).groupBy(ROW_KEY).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    made = reliable(made)
+    keyed = docs.withColumn(ROW_KEY, row_key(id_col, text_col))
+    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    out = keyed.join(made.filter("_copies > 0 and _rows = 1"), ROW_KEY).select(*docs.columns, repeat.alias("_copy"))
+    twins = made.filter("_copies > 0 and _rows > 1")
+    if not twins.isEmpty():
+        out = out.unionByName(keyed.join(twins, ROW_KEY).dropDuplicates([ROW_KEY]).select(*docs.columns, repeat.alias("_copy")))
+    return out.drop("_copy")

@@ -47,7 +47,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop(ROW_KEY)
+    return mixing.mixture(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop(ROW_KEY, "copies")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
