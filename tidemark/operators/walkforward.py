@@ -42,24 +42,22 @@ def _design(df: DataFrame, train: DataFrame, names: list[str]) -> tuple[list[Col
     return cols + [F.col(n).isNull().cast("double") for n in used if gaps[n]], len(used)
 
 
-def _logit(cols: list[Column], w: np.ndarray) -> Column:
-    z = cols[0] * F.lit(float(w[0]))
-    for c, x in zip(cols[1:], w[1:], strict=True):
-        z = z + c * F.lit(float(x))
+def _logit(w: np.ndarray) -> Column:
+    """The clipped logit of the design in x. Weights ride along as one array literal, so each step runs the same code."""
+    z = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     return F.least(F.greatest(z, F.lit(-CLIP)), F.lit(CLIP))
 
 
 def fit(train: DataFrame, cols: list[Column], y: str) -> np.ndarray:
     """Ridge logistic weights by Newton's method; the constant isn't penalised."""
     d = len(cols)
-    rows = train.select(F.col(y).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)])
     # read once per step; a lost part is computed again
-    rows = rows.persist()
-    x = [F.col(f"x{i}") for i in range(d)]
+    rows = train.select(F.col(y).cast("double").alias("y"), F.array(*cols).alias("x")).persist()
     w, penalty = np.zeros(d), np.append(0.0, np.full(d - 1, RIDGE))
+    x = [F.col("x")[i] for i in range(d)]
     for _ in range(STEPS):
-        p = 1 / (1 + F.exp(-_logit(x, w)))
-        sums = rows.withColumn("p", p).agg(*[F.sum((F.col("p") - F.col("y")) * c) for c in x], *[F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i in range(d) for j in range(i, d)]).first()
+        p = rows.select("x", "y", (1 / (1 + F.exp(-_logit(w)))).alias("p"))
+        sums = p.agg(*[F.sum((F.col("p") - F.col("y")) * c) for c in x], *[F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i in range(d) for j in range(i, d)]).first()
         g, h = np.array(sums[:d], float), np.zeros((d, d))
         h[np.triu_indices(d)] = sums[d:]
         h = h + np.triu(h, 1).T
@@ -86,6 +84,6 @@ def walk_forward(rows: DataFrame, names: list[str], y: str, year: str, min_train
         train, test = usable.filter(F.col(year) < yr), usable.filter(F.col(year) == yr)
         cols, _ = _design(usable.filter(F.col(year) <= yr), train, names)
         w = fit(train, cols, y)
-        made = test.withColumns({"p": 100 / (1 + F.exp(-_logit(cols, w))), "base": F.lit(100.0 * pos / n)})
+        made = test.withColumn("x", F.array(*cols)).withColumns({"p": 100 / (1 + F.exp(-_logit(w))), "base": F.lit(100.0 * pos / n)}).drop("x")
         out = made if out is None else out.unionByName(made)
     return out, folds
