@@ -16,15 +16,18 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable, texts
+from tidemark.llm.common import reliable, slices, texts
 
 #: The most pieces that are broadcast, and the most characters each of them has.
 COMMON = 300_000
 COMMON_CHARS = 32
+#: Bytes of text, or ids, that a task works on at once.
+SLICE = 1 << 20
 #: Fixed: how the byte-level tokenizer parts a text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -69,6 +72,10 @@ def vocabulary(path: str) -> list[tuple[int, bytes]]:
     return sorted(pieces.items())
 
 
+def _sizes(column: pa.Array, measure) -> np.ndarray:
+    return pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False)
+
+
 def _text(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
@@ -82,7 +89,7 @@ def _count(batches, added: list[str]):
     for batch in batches:
         for t in texts(batch):
             seen.update(split(_text(t)))
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 yield made()
                 seen.clear()
     yield made()
@@ -154,8 +161,7 @@ def _lookup(batches, added: list[str], shared, content):
     split, tokenizer = Pieces(added), _tokenizer(content.value)
     number, offsets, values = shared.value.unpacked()
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
+        for part in slices(batch, _sizes(batch.column("text"), pc.binary_length), SLICE):
             pieces = [split(_text(t)) for t in texts(part)]
             flat = [p for x in pieces for p in x]
             found = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
@@ -198,8 +204,8 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
         offsets, flat = shared.value
         flat = np.frombuffer(flat, np.uint8)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part, out = batch.slice(a, 256), []
+            for part in slices(batch, _sizes(batch.column("ids"), pc.list_value_length), SLICE):
+                out = []
                 for ids in part.column("ids"):
                     ids = ids.values.to_numpy().astype(np.int64) if ids.is_valid else np.empty(0, np.int64)
                     out.append(gather(flat, offsets, ids[(ids >= 0) & (ids < size)])[0].tobytes().decode("utf-8", "replace"))

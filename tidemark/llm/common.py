@@ -46,6 +46,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of which each comes to about limit in size, or is one row."""
+    upto, at = np.cumsum(np.maximum(sizes, 1)), 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Chunk(NamedTuple):
     """Word hashes of some whole texts, one after another; text i has words[starts[i]:starts[i + 1]]."""
 
