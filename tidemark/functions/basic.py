@@ -34,7 +34,8 @@ def growth_pct(now: Column, before: Column) -> Column:
 
 
 def between(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
+    """c, held between two bounds. Missing stays missing, which greatest() and least() alone would turn into a bound."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))))
 
 
 def neutral_if_missing(c: Column) -> Column:

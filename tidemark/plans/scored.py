@@ -13,8 +13,13 @@ from tidemark.plans.base import ISSUES_SQL, issues, query, r4, table
 # ---- the model as SQL -----------------------------------------------------------------------------------------------
 
 
+def _clamp(x: str, lo: str, hi: str) -> str:
+    """Null stays null, which greatest and least would lose."""
+    return f"CASE WHEN ({x}) IS NULL THEN NULL ELSE least(greatest({x}, {lo}), {hi}) END"
+
+
 def _lin(x: str, lo: float, hi: float) -> str:
-    return f"coalesce(least(greatest((({x}) - ({lo})) / ({hi - lo}) * 100, 0), 100), 50.0)"
+    return f"coalesce({_clamp(f'(({x}) - ({lo})) / ({hi - lo}) * 100', '0', '100')}, 50.0)"
 
 
 def _avg(*xs: str) -> str:
@@ -23,7 +28,7 @@ def _avg(*xs: str) -> str:
 
 
 def _five(x: str) -> str:
-    return f"coalesce(least(greatest(({x}) * 20, 0), 100), 50.0)"
+    return f"coalesce({_clamp(f'({x}) * 20', '0', '100')}, 50.0)"
 
 
 def _sub(x: str) -> str:
@@ -45,7 +50,7 @@ SCORED_SQL = f"""{ISSUES_SQL},
     v1 AS (SELECT *, {_PX} AS px, {_PX} * nullif(post_issue_shares_m, 0) AS cap FROM issues),
     v2 AS (SELECT *, CASE WHEN net_income_m > 0 THEN cap / net_income_m END AS pe, CASE WHEN revenue_m > 0 THEN cap / revenue_m END AS ps FROM v1),
     v3 AS (SELECT *, nullif(pe, 0) / nullif(peer_median_pe, 0) AS rpe, nullif(ps, 0) / nullif(peer_median_ps, 0) AS rps FROM v2),
-    v4 AS (SELECT *, {_avg("least(greatest(100 - (rpe - 0.65e0) * 100, 0), 100)", "least(greatest(100 - (rps - 0.65e0) * 100, 0), 100)")} AS p_valuation, CASE WHEN rpe IS NOT NULL OR rps IS NOT NULL THEN {_avg("px / rpe", "px / rps")} END AS fair FROM v3),
+    v4 AS (SELECT *, {_avg(_clamp("100 - (rpe - 0.65e0) * 100", "0", "100"), _clamp("100 - (rps - 0.65e0) * 100", "0", "100"))} AS p_valuation, CASE WHEN rpe IS NOT NULL OR rps IS NOT NULL THEN {_avg("px / rpe", "px / rps")} END AS fair FROM v3),
     p AS (SELECT *, CASE WHEN rpe IS NULL AND rps IS NULL THEN 'INSUFFICIENT DATA' WHEN p_valuation >= 72 THEN 'UNDERPRICED' WHEN p_valuation >= 45 THEN 'FAIR' ELSE 'OVERPRICED' END AS valuation_label,
         50.0 AS p_business,
         {_lin(_avg("(revenue_m / nullif(revenue_prev_m, 0) - 1) * 100", "(revenue_prev_m / nullif(revenue_2y_ago_m, 0) - 1) * 100"), -10, 35)} AS p_growth,
@@ -144,7 +149,7 @@ def _ev(growth: str, margin: str, end: str, wacc: str, term: str) -> str:
     return " + ".join(f"{flow(y)} / power(1 + {wacc}, {y})" for y in range(1, 6)) + f" + {flow(5)} * (1 + {term}) / ({wacc} - {term}) / power(1 + {wacc}, 5)"
 
 
-_DCF_BASE = f"""{ISSUES_SQL}, m AS (SELECT *, {_PX} AS px, least(greatest(ebitda_m / nullif(revenue_m, 0), -0.5e0), 0.6e0) AS m0, CASE WHEN nullif(revenue_m, 0) IS NOT NULL THEN least(greatest(revenue_m / nullif(revenue_prev_m, 0) - 1, -0.5e0), 2.0e0) END AS g0, coalesce(cash_m, 0) - coalesce(debt_m, 0) AS net, CASE WHEN {_IN} THEN 0.04e0 ELSE 0.03e0 END AS term FROM issues)"""
+_DCF_BASE = f"""{ISSUES_SQL}, m AS (SELECT *, {_PX} AS px, {_clamp("ebitda_m / nullif(revenue_m, 0)", "-0.5e0", "0.6e0")} AS m0, CASE WHEN nullif(revenue_m, 0) IS NOT NULL THEN {_clamp("revenue_m / nullif(revenue_prev_m, 0) - 1", "-0.5e0", "2.0e0")} END AS g0, coalesce(cash_m, 0) - coalesce(debt_m, 0) AS net, CASE WHEN {_IN} THEN 0.04e0 ELSE 0.03e0 END AS term FROM issues)"""
 _ENDS = {"bear": "greatest(m0, m0 * 0.85e0)", "base": "greatest(m0 + 0.03e0, m0)", "bull": "m0 + 0.08e0"}
 _DCF = {n: f"CASE WHEN revenue_m > 0 AND m0 IS NOT NULL THEN {_ev(f'greatest(coalesce(g0, 0.15e0) * {g}e0, -0.1e0)', 'm0', f'least(greatest({_ENDS[n]}, -0.3e0), 0.45e0)', f'{w}e0', 'term')} END" for n, (g, w) in valuation.SCENARIOS.items()}
 
