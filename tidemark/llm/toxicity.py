@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROW_KEY, fold, row_key, texts
 
-#: Labelled rows to learn from, entries that the lexicon learns, and the least weight of one: documented bounds.
+#: Labelled rows to learn from (fewer than 65,536), entries that the lexicon learns, and the least weight of one: documented bounds.
 SAMPLE = 20_000
 ENTRIES = 20_000
 LEAST_WEIGHT = 1.6
@@ -112,7 +112,7 @@ class Lexicon:
     def __call__(self, word: str) -> tuple[str, float]:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > 50_000:
                 self.memo.clear()
             weight = max((self.learnt.get(e, 0.0) for e in entries(word)), default=0.0)
             kind = self.seeds.get(word, OTHER)
@@ -165,18 +165,23 @@ COUNTS = [f"{kind}{part}" for part in range(PARTS) for kind in ("clean", "toxic"
 
 
 def _lexicon_rows(batches):
-    """How many clean and toxic texts of each part of the sample hold an entry, added up in batches."""
+    """How many clean and toxic texts of each part of the sample hold an entry; a task adds up what it holds at once, at
+    most some 100,000 entries. An entry's counts are the 16-bit digits of one number."""
+    counts: dict[str, int] = {}
+
+    def made():
+        keys, values = list(counts), list(counts.values())
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([v >> 16 * i & 0xFFFF for v in values], pa.int32()) for i in range(len(COUNTS)))], ["entry", *COUNTS])
+
     for batch in batches:
-        counts: dict[str, np.ndarray] = {}
         for t, toxic, part in zip(texts(batch), batch.column("toxic").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            one = 1 << 16 * (2 * part + toxic)
             for e in {e for w in set(_WORD.findall(t.decode("utf-8", "replace").lower())) if len(w) <= 40 for e in entries(w)}:
-                if (c := counts.get(e)) is None:
-                    c = counts[e] = np.zeros(len(COUNTS), np.int32)
-                c[2 * part + toxic] += 1
-        keys = list(counts)
-        table = np.stack(list(counts.values())) if keys else np.zeros((0, len(COUNTS)), np.int32)
-        for a in range(0, len(keys), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 20_000], pa.string()), *(pa.array(np.ascontiguousarray(table[a : a + 20_000, i])) for i in range(len(COUNTS)))], ["entry", *COUNTS])
+                counts[e] = counts.get(e, 0) + one
+            if len(counts) > 100_000:
+                yield made()
+    yield made()
 
 
 def _weight(toxic, clean, n_toxic: int, n_clean: int):
