@@ -178,44 +178,59 @@ def _lookup(batches, added: list[str], shared, content):
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["id", "ids"])
 
 
+def _encoder(docs: DataFrame, path: str, text_col: str, common: int):
+    """What encodes batches of (id, text), with the table of all pieces of docs."""
+    share = docs.sparkSession.sparkContext.broadcast
+    content, added = _settings(path)
+    return partial(_lookup, added=added, shared=share(_Shared(table_of(docs, path, text_col, common).toArrow())), content=share(content))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """(id, ids): one row per input row, with the ids that the tokenizer at path gives the whole text, without special
     tokens being added. Strings of added tokens in a text become those tokens. Null and empty texts have no ids. Repeated
     rows are each encoded; extra columns are left out; an empty table gives an empty result."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    content, added = _settings(path)
-    shared = _Shared(table_of(docs, path, text_col, common).toArrow())
+    kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lookup = partial(_lookup, added=added, shared=spark.sparkContext.broadcast(shared), content=spark.sparkContext.broadcast(content))
-    return source.mapInArrow(lookup, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(_encoder(docs, path, text_col, common), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, text): texts of ids, each joined with its piece's bytes; bytes that make no UTF-8 become U+FFFD, special
-    tokens stay. Ids that the vocabulary lacks are passed over. Null ids give an empty text."""
+def _decode(batches, shared):
+    offsets, flat = shared.value
+    flat, size = np.frombuffer(flat, np.uint8), len(offsets) - 1
+    for batch in batches:
+        for part in slices(batch, _sizes(batch.column("ids"), pc.list_value_length), SLICE):
+            out = []
+            for ids in part.column("ids"):
+                ids = ids.values.to_numpy().astype(np.int64) if ids.is_valid else np.empty(0, np.int64)
+                out.append(gather(flat, offsets, ids[(ids >= 0) & (ids < size)])[0].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(out, pa.string())], ["id", "ids", "text"])
+
+
+def _decoder(df: DataFrame, path: str):
+    """What decodes batches of (id, ids): ids are joined with the vocabulary's pieces by place in a table of all of them."""
     pieces = vocabulary(path)
-    size = max(i for i, _ in pieces) + 1
-    lengths = np.zeros(size + 1, np.int64)
+    lengths = np.zeros(max(i for i, _ in pieces) + 2, np.int64)
     for i, b in pieces:
         lengths[i + 1] = len(b)
-    shared = rows.sparkSession.sparkContext.broadcast((np.cumsum(lengths), b"".join(b for _, b in pieces)))
+    return partial(_decode, shared=df.sparkSession.sparkContext.broadcast((np.cumsum(lengths), b"".join(b for _, b in pieces))))
+
+
+def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, ids, text): texts of ids, each joined with its piece's bytes; bytes that make no UTF-8 become U+FFFD, special
+    tokens stay. Ids that the vocabulary lacks are passed over. Null ids give an empty text."""
     kind = rows.schema[id_col].dataType.simpleString()
+    source = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return source.mapInArrow(_decoder(rows, path), f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_col)
 
-    def made(batches):
-        offsets, flat = shared.value
-        flat = np.frombuffer(flat, np.uint8)
-        for batch in batches:
-            for part in slices(batch, _sizes(batch.column("ids"), pc.list_value_length), SLICE):
-                out = []
-                for ids in part.column("ids"):
-                    ids = ids.values.to_numpy().astype(np.int64) if ids.is_valid else np.empty(0, np.int64)
-                    out.append(gather(flat, offsets, ids[(ids >= 0) & (ids < size)])[0].tobytes().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(out, pa.string())], ["id", "ids", "text"])
 
-    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(made, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_col)
+def _round_trip(batches, encoder, decoder):
+    yield from decoder(encoder(batches))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes, decodes, and gives n_tokens, ids_sha256 and decoded_sha256."""
-    made = decode(encode(docs, path, id_col, text_col), path, id_col)
+    """Encodes, decodes what came out, and gives n_tokens, ids_sha256 and decoded_sha256. Both run in one Python worker."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    both = partial(_round_trip, encoder=_encoder(docs, path, text_col, COMMON), decoder=_decoder(docs, path))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = source.mapInArrow(both, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_col)
     return made.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
