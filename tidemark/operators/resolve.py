@@ -95,18 +95,14 @@ def conflicts(evidence: DataFrame, keys: list[str], source: str, value: str) ->
 
     A pair differs if the farthest pair does, so sources are summed up to their extremes and no pairs are formed."""
     per = evidence.filter(F.col(value).isNotNull()).groupBy(*keys, source).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    # the greatest gap is between some source's least and another's greatest: the two best of each end suffice
-    ends = per.groupBy(*keys).agg(F.count("*").alias("sources"), F.min(F.struct("lo", source)).alias("a"), F.max(F.struct("hi", source)).alias("b"), *_second(source))
+    # the greatest gap is between some source's least and another's greatest; where one source has both ends, the next
+    # best end of another source counts
     gap = lambda x, y: F.abs(y - x) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-9))
-    other = F.col(f"a.{source}") != F.col(f"b.{source}")
-    alternatives = F.greatest(F.when(F.col("b2").isNotNull(), gap(F.col("a.lo"), F.col("b2"))), F.when(F.col("a2").isNotNull(), gap(F.col("a2"), F.col("b.hi"))))
-    out = ends.withColumn("gap", F.when(other, gap(F.col("a.lo"), F.col("b.hi"))).otherwise(alternatives))
-    return out.filter((F.col("sources") > 1) & (F.col("gap") > TOLERANCE)).select(*keys, "sources", F.col("a.lo").alias("least"), F.col("b.hi").alias("greatest"), "gap")
-
-
-def _second(source: str) -> list[Column]:
-    """The second least lo and the second greatest hi; of equal ones, another source's."""
-    return [F.try_element_at(F.sort_array(F.collect_list("lo")), F.lit(2)).alias("a2"), F.try_element_at(F.sort_array(F.collect_list("hi"), asc=False), F.lit(2)).alias("b2")]
+    ends = per.groupBy(*keys).agg(F.count("*").alias("sources"), F.min(F.struct("lo", source)).alias("a"), F.max(F.struct("hi", source)).alias("b")).filter("sources > 1")
+    own, other = F.col(source) == F.col(f"a.{source}"), F.col(f"a.{source}") != F.col(f"b.{source}")
+    both = per.join(ends, keys).groupBy(*keys, "sources", "a", "b").agg(F.min(F.when(~own, F.col("lo"))).alias("a2"), F.max(F.when(F.col(source) != F.col(f"b.{source}"), F.col("hi"))).alias("b2"))
+    out = both.withColumn("gap", F.when(other, gap(F.col("a.lo"), F.col("b.hi"))).otherwise(F.greatest(gap(F.col("a.lo"), F.col("b2")), gap(F.col("a2"), F.col("b.hi")))))
+    return out.filter(F.col("gap") > TOLERANCE).select(*keys, "sources", F.col("a.lo").alias("least"), F.col("b.hi").alias("greatest"), "gap")
 
 
 def conflicting_pairs(evidence: DataFrame, keys: list[str], id_col: str, source: str, value: str) -> DataFrame:
