@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable, slices, texts
+from tidemark.llm.common import reliable, slices, small_batches, texts
 
 #: The most pieces that are broadcast, and the most characters each of them has.
-COMMON = 200_000
+COMMON = 120_000
 COMMON_CHARS = 32
 #: Bytes of text, or ids, that a task works on at once.
 SLICE = 1 << 19
@@ -81,7 +81,8 @@ def _text(b: bytes) -> str:
 
 
 def _count(batches, added: list[str]):
-    split, seen, held = Pieces(added), Counter(), 0
+    pa.set_memory_pool(pa.system_memory_pool())
+    split, seen = Pieces(added), Counter()
 
     def made():
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
@@ -159,6 +160,7 @@ def gather(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.
 
 def _lookup(batches, added: list[str], shared, content):
     """Each text's ids: those of its pieces, in their order."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
     split, tokenizer = Pieces(added), _tokenizer(content.value)
     number, offsets, values = shared.value.unpacked()
     for batch in batches:
@@ -180,6 +182,7 @@ def _lookup(batches, added: list[str], shared, content):
 
 def _encoder(docs: DataFrame, path: str, text_col: str, common: int):
     """What encodes batches of (id, text), with the table of all pieces of docs."""
+    small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     content, added = _settings(path)
     return partial(_lookup, added=added, shared=share(_Shared(table_of(docs, path, text_col, common).toArrow())), content=share(content))

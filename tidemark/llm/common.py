@@ -35,6 +35,15 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets the session send no more than some MB at once to Python workers, which hold a batch beside their own tables.
+    The setting is read when a plan is made, so it can't be put back before the caller has run what it gets."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if now is None or int(now.rstrip("b")) <= 0 or int(now.rstrip("b")) > most:
+        spark.conf.set(name, str(most))
+
+
 def fold(id_col: Column, k: int) -> Column:
     """crc32 of the id as text, mod k; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % k).cast("int")

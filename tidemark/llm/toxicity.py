@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW_KEY, fold, row_key, texts
+from tidemark.llm.common import ROW_KEY, fold, row_key, small_batches, texts
 
 #: Labelled rows to learn from (fewer than 65,536), entries that the lexicon learns, and the least weight of one: documented bounds.
 SAMPLE = 20_000
@@ -167,6 +167,7 @@ COUNTS = [f"{kind}{part}" for part in range(PARTS) for kind in ("clean", "toxic"
 def _lexicon_rows(batches):
     """How many clean and toxic texts of each part of the sample hold an entry; a task adds up what it holds at once, at
     most some 100,000 entries. An entry's counts are the 16-bit digits of one number."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
     counts: dict[str, int] = {}
 
     def made():
@@ -221,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most SAMPLE labelled rows that aren't held out; rows without a label or an id teach nothing. Of
     labels that repeat, toxic prevails; texts that repeat in the sample teach once."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.filter("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("id").isNotNull() & (fold(F.col("id"), FOLDS) != 0)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     luck = F.xxhash64("id", F.lit(29))
