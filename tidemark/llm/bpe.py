@@ -10,6 +10,7 @@ by the tokenizer."""
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from functools import partial
 from itertools import chain, repeat
@@ -97,6 +98,8 @@ def _count(batches, added: list[str]):
 
 
 def _tokenizer(content: str):
+    # a task has one core; threads of its own would only hold memory
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content)
