@@ -61,3 +61,62 @@ def test_run_is_its_stages(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         docs = spark.createDataFrame(out.collect(), "doc_id long, n_tokens long, ids array<int>" if name == "bpe" else docs.schema)
     assert sorted(map(str, p.run(spark, sf_dir).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_copies_go(spark):
+    """Copies of similarity 0.8 and more over five words go, those below stay; chains, a crowd and null ids."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs = []
+
+    def add(words):
+        docs.append((None if len(docs) % 9 == 5 else len(docs), " ".join(words), "en", "s", 1))
+
+    for i in range(40):
+        body = [word() for _ in range(120)]
+        add(body)
+        for changed in (1, 2, 3, 4, 8):
+            copy = list(body)
+            for at in range(changed):
+                copy[10 + at * 13] = word()
+            add(copy)
+        if i % 8 == 0:  # each like the one before it
+            for at in range(6):
+                body = list(body)
+                body[15 + at * 15] = word()
+                add(body)
+    crowd = [word() for _ in range(200)]
+    for i in range(80):
+        add([*crowd[:i], word(), *crowd[i + 1 :]])
+    docs += [(5000, "", "en", "s", 0), (5001, None, None, None, None), (5002, "a few words", "en", "s", 1), (5003, "A  few words", "en", "s", 1)]
+    rng.shuffle(docs)
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for _, t, *_ in docs]
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    between = 0
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            s = both / (len(sets[i]) + len(sets[j]) - both)
+            between += 0.8 <= s <= 0.95
+            if s >= 0.8:
+                root[top(i)] = top(j)
+    groups = {}
+    for i, d in enumerate(docs):
+        groups.setdefault(top(i), []).append(d)
+    assert between > 100
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = {(r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, spark.createDataFrame(docs, schema).repartition(3), "").collect()}
+    for g in groups.values():
+        own = [d[:2] for d in g if d[:2] in kept]
+        assert len(own) == 1
+        ids = [d[0] for d in g if d[0] is not None]
+        assert own[0][0] == (min(ids) if ids else None)
+    assert len(kept) == len(groups)

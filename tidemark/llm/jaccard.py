@@ -1,0 +1,135 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets of shingles decide.
+
+SimHash bits are no key for this: sets of similarity 0.8 differ in some ten of 64 bits. Texts with equal sets are one node.
+Nodes that share a band are verified in two rounds, so that a crowd under one band forms no square of pairs: each with the
+band's least node first, then all pairs of a band that aren't in one component yet. Every pair that shares a band is thereby
+verified or already linked. A pair of similarity s shares none of the bands with probability (1 - s**ROWS)**BANDS: 3e-5 at
+0.8, the lowest that links, and less above."""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import ROW_KEY, attach, chunks, mixed, reliable, rolling, row_key, small_batches, staying, texts, word_hashes
+from tidemark.llm.components import components
+
+#: Words of a shingle and the least similarity of linked texts; bands of a signature and MinHash values of a band.
+SHINGLE, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 4
+CHUNK_WORDS = 1 << 17
+
+
+def shingled(words: np.ndarray, size: int) -> np.ndarray:
+    """The set of shingles of a text's word hashes, sorted; fewer words than size: all of them are the only shingle."""
+    return np.unique(rolling(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, BANDS): the band keys of some sets that aren't empty."""
+    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
+    rng = np.random.default_rng(11)
+    factors = rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    keys = np.empty((len(sets), BANDS), np.uint64)
+    for b in range(BANDS):
+        total = np.full(len(sets), b, np.uint64)
+        for f in factors[b * ROWS : (b + 1) * ROWS]:
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * f, starts))
+        keys[:, b] = total
+    return keys.view(np.int64)
+
+
+def _nodes(batches, size: int):
+    for chunk in chunks(batches, CHUNK_WORDS, lower=True):
+        sets = [shingled(chunk.words[a:b], size) for a, b in zip(chunk.starts[:-1], chunk.starts[1:], strict=True)]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        bands: list[list[int]] = [[] for _ in sets]
+        if full:
+            for i, keys in zip(full, signatures([sets[i] for i in full]).tolist(), strict=True):
+                bands[i] = keys
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk.keys), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            [ROW_KEY, "node", "size", "bands"],
+        )
+
+
+def _sets(batches, size: int):
+    for batch in batches:
+        found = [shingled(word_hashes(t.lower().split()), size).tobytes() for t in texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+
+
+def _alike(batches, least: float):
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both / (len(a) + len(b) - both) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar."""
+    total = pairs.count()
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node").select(F.col("best.key").alias(ROW_KEY), "node")
+    held = source.join(wanted, ROW_KEY).select("node", "text").dropDuplicates(["node"])
+    sets = reliable(held.mapInArrow(partial(_sets, size=size), "node long, shingles binary"))
+    for end, name in (("u", "a"), ("v", "b")):
+        uses = pairs.groupBy(end).agg(F.count("*").alias("uses"))
+        own = sets.withColumnsRenamed({"node": end, "shingles": name}).join(uses, end)
+        pairs = attach(pairs, own, end, "uses", total).drop("uses")
+    return reliable(pairs.select("u", "v", "a", "b").mapInArrow(partial(_alike, least=least), "u long, v long"))
+
+
+def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """(u, v): links between nodes that give the same components as all similar pairs that share a band."""
+    keys = nodes.select("node", "size", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    keyed = reliable(keys.join(shared, "band"))
+
+    def near(a: str, b: str):
+        # sets of more different sizes can't be as similar
+        return F.least(a, b) >= F.greatest(a, b) * F.lit(least * (1 - 1e-9))
+
+    first = reliable(keyed.filter("node <> hub.node").filter(near("hub.size", "size")).select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct())
+    found = _verified(first, source, nodes, size, least)
+    roots = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = reliable(keyed.select("band", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("band")
+    rooted = rooted.join(open_, "band")
+    a, b = (rooted.withColumnsRenamed({"node": x, "size": f"{x}_size", "root": f"{x}_root"}) for x in "uv")
+    others = a.join(b, "band").filter("u < v and u_root <> v_root").filter(near("u_size", "v_size")).select("u", "v").distinct()
+    others = reliable(others.join(first, ["u", "v"], "left_anti"))
+    return found.union(_verified(others, source, nodes, size, least)) if not others.isEmpty() else found
+
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """(row's key, kept), one row per input row. Of the texts that similar pairs connect, the row with the least id stays
+    (null ids last), then the least row key. Null and wordless texts are like each other and like nothing else."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias(ROW_KEY))
+    made = source.select(F.col(ROW_KEY).alias("key"), "text").mapInArrow(partial(_nodes, size=size), f"{ROW_KEY} long, node long, size long, bands array<long>")
+    marked = reliable(made)
+    total = marked.count()
+    ids = source.select("id", ROW_KEY).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col(ROW_KEY).alias("key"))
+    keyed = marked.groupBy(ROW_KEY, "node", "size").agg(F.first("bands").alias("bands"), F.count("*").alias("times")).join(ids, ROW_KEY)
+    nodes = reliable(keyed.groupBy("node").agg(F.min(order).alias("best"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.sum("times").alias("n")))
+    roots = components(links(source, nodes, size, least)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = nodes.select("node", "best", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = rooted.groupBy("root").agg(F.min("best").alias("stays"))
+    table = reliable(rooted.join(stays, "root").select("node", "n", F.col("stays.key").alias("stays")))
+    return attach(marked.select(ROW_KEY, "node"), table, "node", "n", total).select(ROW_KEY, (F.col(ROW_KEY) == F.col("stays")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
+    """The rows of docs, with all their columns, that stay."""
+    return staying(docs, decisions(docs, id_col, text_col, size, least), id_col, text_col)
