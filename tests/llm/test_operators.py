@@ -453,6 +453,29 @@ def test_rare_words_and_pruned_tries_still_count(docs, monkeypatch):
     assert whole == few
 
 
+@pytest.mark.parametrize("most", [700, 1 << 20])
+def test_scores_are_those_of_the_whole_trie(spark, monkeypatch, most):
+    """However few grams a worker may hold at once."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(40)]
+    held_out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(40)]
+    part = [b" ".join(t.encode().split()) + b"\n" for t in texts]
+    keys, n = np.unique(ppm.grams_of([p for p, h in zip(part, held_out, strict=True) if not h])[0], return_counts=True)
+    assert len(keys) > 2 * 700
+    tables = []
+    for k in range(ppm.ORDER + 1):
+        u, w = np.unique(keys & ppm._mask(k), return_inverse=True)
+        tables.append((u, np.bincount(w, n, len(u))))
+    model = ppm.levels(tables)
+    monkeypatch.setattr(ppm, "LEVEL", most)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in ppm.score(docs).collect()}
+    assert set(held_out) == {True, False} and len(got) == 40
+    for i, p in enumerate(part):
+        assert got[i][0] == held_out[i]
+        assert got[i][1] == pytest.approx(ppm.log10_probability(model, ppm.grams_of([p])[0]).sum())
+
+
 # ---- 10
 def test_shards(docs, rows, empty, spark):
     got = shards.shard(docs, 8).collect()

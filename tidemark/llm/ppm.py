@@ -2,9 +2,11 @@
 
 A text is lower-cased, its words joined by spaces, and ended by a newline: these bytes are what the model predicts, each
 from up to ``ORDER`` bytes before it. Training counts every gram of ORDER + 1 bytes over the whole corpus; the trie of
-shorter contexts follows from these counts. A trie level keeps at most ``LEVEL`` grams, the most frequent ones, as PPM
-with a memory limit does; counts of shorter contexts still cover everything. Scoring looks up each distinct gram of a
-chunk of text once and adds code lengths by document. A unigram baseline over words is counted in the same pass."""
+shorter contexts follows from these counts, and none is left out. All contexts of ``SHARED`` bytes and more that a gram
+is predicted from end in the same SHARED bytes, so the trie is parted by these; only the shorter ones, at most
+256 ** SHARED grams, are known to every part. Each part gives its distinct grams their code lengths. Scoring looks up each
+distinct gram of a chunk of text once, in slices of ``LEVEL`` grams of which a worker holds one at a time, and adds code
+lengths by document. A unigram baseline over words is counted in the same pass."""
 
 from __future__ import annotations
 
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, reliable, texts, word_hashes
 
-#: Bytes of the longest context, the most grams of a level, the most words that are broadcast, bytes worked on at once.
+#: Bytes of the longest context, those that part the trie, the most grams of a slice, the most words that are broadcast, bytes worked on at once.
 ORDER = 5
+SHARED = 2
 LEVEL = 1 << 20
 COMMON = 1 << 18
 CHUNK_BYTES = 3 << 19
@@ -44,10 +47,11 @@ def _mask(order: int) -> np.uint64:
     return np.uint64((1 << 8 * (order + 1)) - 1)
 
 
-def levels(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
-    """The trie from (grams, counts) of the orders 0, 1, ...; a gram whose shorter form is missing is left out."""
-    out: list[Level] = []
-    for k, (grams, counts) in enumerate(tables):
+def levels(tables: list[tuple[np.ndarray, np.ndarray]], lower: list[Level] | None = None) -> list[Level]:
+    """The trie from (grams, counts) of the orders 0, 1, ..., or of those that follow the lower ones; a gram whose shorter
+    form is missing is left out."""
+    out: list[Level] = list(lower or [])
+    for k, (grams, counts) in enumerate(tables, len(out)):
         order = np.argsort(grams)
         grams, counts = grams[order].astype(np.uint64), counts[order].astype(np.float64)
         below = np.zeros(len(grams))
@@ -128,9 +132,14 @@ def _chunks(batches):
 
 
 def _train(batches):
-    for _, parts, words in _chunks(batches):
-        for kind, keys in ((0, np.concatenate(words)), (1, grams_of(parts)[0])):
-            keys, n = np.unique(keys, return_counts=True)
+    """Words of learnt rows, and all grams with their counts in learnt rows; those of held-out rows alone count zero."""
+    for ids, parts, words in _chunks(batches):
+        learnt = [not held_out for (held_out,) in ids]
+        own = np.concatenate([np.empty(0, np.uint64), *(w for w, x in zip(words, learnt, strict=True) if x)])
+        grams = grams_of(parts)[0]
+        times = np.repeat(learnt, [len(p) for p in parts]).astype(np.float64)
+        distinct, which = np.unique(grams, return_inverse=True)
+        for kind, (keys, n) in enumerate((np.unique(own, return_counts=True), (distinct, np.bincount(which, times, len(distinct)).astype(np.int64)))):
             for a in range(0, len(keys), 65536):
                 k = keys[a : a + 65536]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n[a : a + 65536])], ["kind", "key", "n"])
@@ -151,31 +160,90 @@ def _most(df: DataFrame, most: int) -> DataFrame:
     return df.filter(F.col("n") >= least) if total else df.limit(0)
 
 
-def trie(grams: DataFrame, most: int = LEVEL) -> list[Level]:
-    """The model from counts (key, n) of all grams of ORDER + 1 bytes; each level is collected within its limit."""
-    tables: list[tuple[np.ndarray, np.ndarray]] = [()] * (ORDER + 1)
-    for k in range(ORDER, -1, -1):
-        if grams.count() <= most:  # shorter ones are fewer
-            keys, n = _arrays(grams)
-            for j in range(k, -1, -1):
-                keys, which = np.unique(keys & _mask(j), return_inverse=True)
-                n = np.bincount(which, n, len(keys))
-                tables[j] = keys, n
-            break
-        tables[k] = _arrays(_most(grams, most))
-        grams = reliable(grams.groupBy((F.col("key").bitwiseAND(F.lit(int(_mask(k - 1))))).alias("key")).agg(F.sum("n").alias("n")))
-    return levels(tables)
+def shorter(keys: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of some orders, from counts of grams that are as long or longer."""
+    out = []
+    for k in orders:
+        grams, which = np.unique(keys & _mask(k), return_inverse=True)
+        out.append((grams, np.bincount(which, n, len(grams))))
+    return out
+
+
+def _part(table: pa.Table, lower) -> pa.Table:
+    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    model = levels(shorter(keys[n > 0], n[n > 0], range(SHARED, ORDER + 1)), lower.value)
+    return pa.table({"key": keys.view(np.int64), "log": log10_probability(model, keys)})
+
+
+def code_lengths(grams: DataFrame) -> DataFrame:
+    """(key, log): log10 of the probability of each gram of ORDER + 1 bytes, from counts (key, n) that may be zero."""
+    short = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(SHARED - 1)))).alias("key")).agg(F.sum("n").alias("n"))
+    lower = grams.sparkSession.sparkContext.broadcast(levels(shorter(*_arrays(short), range(SHARED))))
+    part = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1)).alias("part")
+
+    def coded(table: pa.Table) -> pa.Table:
+        return _part(table, lower)
+
+    return reliable(grams.select("key", "n", part).groupBy("part").applyInArrow(coded, "key long, log double"))
+
+
+def _packed(batches, most: int):
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            keys, logs = (c.to_numpy(zero_copy_only=False)[a : a + most].tobytes() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([keys]), pa.array([logs])], ["keys", "logs"])
+
+
+def slices(coded: DataFrame, most: int) -> list[tuple]:
+    """(least key, greatest key, broadcast of (keys, logs)) of each run of at most most keys, in order. The driver holds
+    one run at a time beside the partition that it comes from."""
+    out, held, size = [], [], 0
+    share = coded.sparkSession.sparkContext.broadcast
+
+    def close() -> None:
+        keys, logs = (np.concatenate(x) for x in zip(*held, strict=True))
+        out.append((keys[0], keys[-1], share((keys, logs))))
+
+    for r in coded.orderBy("key").mapInArrow(partial(_packed, most=most), "keys binary, logs binary").toLocalIterator():
+        keys, logs = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["logs"], np.float64)
+        if held and size + len(keys) > most:
+            close()
+            held, size = [], 0
+        held.append((keys, logs))
+        size += len(keys)
+    if held:
+        close()
+    return out
+
+
+def looked_up(runs: list[tuple], grams: np.ndarray) -> np.ndarray:
+    """The logs of distinct sorted grams; of several runs, no more than one is kept in memory."""
+    out, found = np.empty(len(grams)), 0
+    for least, greatest, shared in runs:
+        a, b = np.searchsorted(grams, least), np.searchsorted(grams, greatest, side="right")
+        if a < b:
+            keys, logs = shared.value
+            at, held = _find(keys, grams[a:b])
+            out[a:b] = logs[at]
+            found += int(held.sum())
+            if len(runs) > 1:
+                vars(shared).pop("_value", None)
+    if found < len(grams):
+        raise RuntimeError("the texts changed between counting and scoring")
+    return out
 
 
 SCORED = "id {kind}, row long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
 
 
-def _score(batches, model, common, ends: int):
-    levels_, (keys, counts) = model.value, common.value
+def _score(batches, runs, common, ends: int):
+    keys, counts = common.value
     for ids, parts, words in _chunks(batches):
         grams, starts = grams_of(parts)
         distinct, which = np.unique(grams, return_inverse=True)
-        score = np.add.reduceat(log10_probability(levels_, distinct)[which], starts)
+        score = np.add.reduceat(looked_up(runs, distinct)[which], starts)
         flat = np.concatenate(words)
         at, held = _find(keys, flat)
         gain = np.where(held, np.log10((counts[at] if len(counts) else 0) + 1.0), 0.0)
@@ -200,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     held_out = (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out")
     source = docs.select(F.col(id_col).alias("id"), held_out, F.col(text_col).alias("text"))
     learnt = source.filter("not held_out").select("text")
-    counts = reliable(learnt.mapInArrow(_train, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = reliable(source.select("held_out", "text").mapInArrow(_train, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words, grams = counts.filter("kind = 0").select("key", "n"), counts.filter("kind = 1").select("key", "n")
     # every text has one end, and the ends are the grams' newlines: as many as there are texts
     ends = learnt.count()
@@ -209,7 +277,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     common = _arrays(_most(words, COMMON))
     order = np.argsort(common[0])
     share = spark.sparkContext.broadcast
-    run = partial(_score, model=share(trie(grams)), common=share((common[0][order], common[1][order])), ends=ends)
+    run = partial(_score, runs=slices(code_lengths(grams), LEVEL), common=share((common[0][order], common[1][order])), ends=ends)
     numbered = source.select("id", F.monotonically_increasing_id().alias("row"), "held_out", "text")
     rows = reliable(numbered.mapInArrow(run, SCORED.format(kind=kind)))
     rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
