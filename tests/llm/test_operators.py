@@ -189,6 +189,12 @@ def test_near_dedup_keeps_one(docs, rows):
     assert sorted(x for x in kept if x is not None) == sorted({c for c in comps if c is not None})
 
 
+def test_near_dedup_keeps_one_of_null_and_repeated_ids(spark):
+    rows_ = [(None, "One two three four"), (None, "one  two three four"), (None, "one two three four"), (None, "quite another text here"), (7, "the third text of all"), (7, "The third  text of all"), (None, "THE third text of all")]
+    got = simhash.deduplicate(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], " ".join(r["text"].lower().split())) for r in got), key=str) == sorted([(None, "one two three four"), (None, "quite another text here"), (7, "the third text of all")], key=str)
+
+
 # ---- 3
 def test_exact_decisions(docs, rows, empty):
     def norm(t):

@@ -116,25 +116,32 @@ def _prints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column(ROW_KEY), pa.array(fp, pa.int64())], ["id", ROW_KEY, "fp"])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, fingerprint, component_id (the least id reachable over links), and the row's key.
-
-    Null and wordless texts have fingerprint zero and are linked like any other. A null id is passed over when the least
-    one is taken. Rows may repeat; extra columns are left out; an empty table gives an empty result."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, fp, component_id, the row's key, and the key of the row that stays of its component."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias(ROW_KEY))
     rows = reliable(source.mapInArrow(_prints, f"id {kind}, {ROW_KEY} long, fp long"))
-    prints = reliable(rows.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    best = F.struct(F.col("id").isNull().alias("none"), "id", F.col(ROW_KEY).alias("key"))
+    prints = reliable(rows.groupBy("fp").agg(F.min(best).alias("best"), F.count("*").alias("n")))
     total = rows.count()
     roots = components(links(prints)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    table = reliable(rooted.join(least, "root").select("fp", "n", "component_id"))
-    found = attach(rows, table, "fp", "n", total)
+    least = rooted.groupBy("root").agg(F.min("best").alias("least"))
+    table = reliable(rooted.join(least, "root").select("fp", "n", F.col("least.id").alias("component_id"), F.col("least.key").alias("stays")))
+    return attach(rows, table, "fp", "n", total)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, fingerprint, component_id (the least id reachable over links), and the row's key.
+
+    Null and wordless texts have fingerprint zero and are linked like any other. A null id is passed over when the least
+    one is taken. Rows may repeat; extra columns are left out; an empty table gives an empty result."""
+    found = _grouped(docs, id_col, text_col)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", ROW_KEY)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each group stays: that with the least id."""
-    made = near_groups(docs, id_col, text_col)
-    return staying(docs, made.select(ROW_KEY, F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()).alias("kept")), id_col, text_col)
+    """The rows of docs, with all their columns, of which one of each group stays: that with the least id (null ids last),
+    then the least row key."""
+    made = _grouped(docs, id_col, text_col)
+    return staying(docs, made.select(ROW_KEY, (F.col(ROW_KEY) == F.col("stays")).alias("kept")), id_col, text_col)
