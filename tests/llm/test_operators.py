@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import bits, bpe, components, exact, media, mixing, ppm, shards, simhash, substrings, toxicity, urls
+from tidemark.llm import bits, bpe, components, exact, golay, media, mixing, ppm, shards, similar, simhash, substrings, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string"
 
@@ -136,16 +136,36 @@ def united(prints, ids):
 
 
 def test_golay_keys_meet_within_two_bits():
-    tables, rng = simhash.golay_tables(), np.random.default_rng(3)
+    tables, rng = golay.tables(), np.random.default_rng(3)
     assert sorted({len(set(x)) for x in tables[1].tolist()}) == [1, 6]
     x = rng.integers(0, 1 << 23, 3000)
     for a in range(23):
         b = (a * 7 + 3) % 23
         y = x ^ (1 << a) ^ (1 << b)
-        near = simhash.indices(x, tables)[:, :, None] == simhash.indices(y, tables)[:, None, :]
+        near = golay.indices(x, tables)[:, :, None] == golay.indices(y, tables)[:, None, :]
         assert near.any(axis=(1, 2)).all()
 
 
+def test_wide_fingerprints():
+    """Sums of bits are those of a plain count, and the two codewords those that agree best of all 4,096."""
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1, 2, 254, 255, 256, 700)]
+    sums = similar.wide_sums(sets)
+    for s, got in zip(sets, sums, strict=True):
+        h = [similar.mixed(s * np.uint64(2 * lane + 0x9E3779B97F4A7C15)) for lane in range(similar.LANES)]
+        want = sorted(2 * sum(int(x) >> b & 1 for x in lane) - len(s) for lane in h for b in range(64))
+        assert sorted(got.tolist()) == want
+    code = golay.signs()
+    words = {tuple(c) for c in code.T.astype(int).tolist()}
+    assert len(words) == 4096 and min(sum(a != b for a, b in zip(x, code[:, 0], strict=True)) for x in words if x != tuple(code[:, 0].astype(int))) == 7
+    x = sums[:, : similar.SEGMENTS * 23].reshape(-1, 23)
+    agree = x @ code.astype(int)
+    first, second = golay.two_nearest(x, code).T
+    best = np.sort(agree, axis=1)[:, ::-1]
+    rows_ = np.arange(len(x))
+    assert (agree[rows_, first] == best[:, 0]).all() and (agree[rows_, second] == best[:, 1]).all() and (first != second).all()
+
+
 def test_near_groups(docs, rows, empty):
     got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_groups(docs).collect()), key=str)
     prints = [fingerprint(t or "") for _, t, *_ in rows]

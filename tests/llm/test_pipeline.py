@@ -63,10 +63,16 @@ def test_run_is_its_stages(spark, sf_dir):
     assert sorted(map(str, p.run(spark, sf_dir).collect())) == sorted(map(str, docs.collect()))
 
 
-def test_near_copies_go(spark):
-    """Copies of similarity 0.8 and more over five words go, those below stay; chains, a crowd and null ids."""
+@pytest.mark.parametrize("crowd", [8, 48])
+def test_near_copies_go(spark, crowd, monkeypatch):
+    """Copies of similarity 0.8 and more over five words go, those below stay; chains, a crowd and null ids; whatever the
+    size of a group that is compared in pairs."""
     import corpus_pipeline as p
 
+    from tidemark.llm import similar
+
+    monkeypatch.setattr(similar, "CROWD", crowd)
+
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     docs = []

@@ -10,7 +10,7 @@ exactly if some word is within one bit of both, so each sends its 65 neighbours
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import golay, similar
 from tidemark.llm.common import ROW_KEY, attach, reliable, row_key, staying, texts
 from tidemark.llm.components import components
 
@@ -27,8 +28,6 @@ LINKED = 2
 CROWD = 48
 #: Low bit and width of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: The Golay code's generator polynomial, and the length of its words and checks.
-GENERATOR, LENGTH, CHECKS = 0xC75, 23, 11
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -45,42 +44,13 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def _remainder(v: int) -> int:
-    for bit in range(LENGTH - 1, CHECKS - 1, -1):
-        if v >> bit & 1:
-            v ^= GENERATOR << (bit - CHECKS)
-    return v
-
-
-def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """The remainder of each value of the upper twelve bits, and for each remainder what to add to these bits to get the
-    indices of the codewords within four bits: one, or six; the rest of a line repeats its first."""
-    checks = np.array([_remainder(i << CHECKS) for i in range(1 << (LENGTH - CHECKS))], np.int64)
-    one = [_remainder(1 << b) for b in range(LENGTH)]
-    found: list[list[int]] = [[] for _ in range(1 << CHECKS)]
-    for weight in range(5):
-        for bits in combinations(range(LENGTH), weight):
-            error = syndrome = 0
-            for b in bits:
-                error |= 1 << b
-                syndrome ^= one[b]
-            found[syndrome].append(error >> CHECKS)
-    return checks, np.array([x + x[:1] * (6 - len(x)) for x in found], np.int64)
-
-
-def indices(words: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """(n, 6): indices of the codewords near each word of up to 23 bits."""
-    upper = words >> CHECKS
-    return upper[:, None] ^ tables[1][tables[0][upper] ^ (words & ((1 << CHECKS) - 1))]
-
-
 def _keys(batches):
-    tables = golay_tables()
+    tables = golay.tables()
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
         parts = [(fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1) for low, width in SEGMENTS]
         for i in range(3):
-            near = indices(parts[(i + 1) % 3], tables)
+            near = golay.indices(parts[(i + 1) % 3], tables)
             keys = (np.int64(i) << 40) | (parts[i] << 12)[:, None] | near
             new = np.ones(near.shape, bool)
             new[:, 1:] = near[:, 1:] != near[:, :1]
@@ -145,3 +115,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     then the least row key."""
     made = _grouped(docs, id_col, text_col)
     return staying(docs, made.select(ROW_KEY, (F.col(ROW_KEY) == F.col("stays")).alias("kept")), id_col, text_col)
+
+
+def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = similar.SHINGLE, least: float = similar.SIMILAR) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each group of similar texts stays (least id, null ids last).
+    Two bits of 64 are too few for copies that share four fifths of their shingles, so this takes wide fingerprints, whose
+    segments give Golay keys in the same way, and lets whole sets of shingles decide: see similar."""
+    return staying(docs, similar.decisions(docs, id_col, text_col, size, least), id_col, text_col)
