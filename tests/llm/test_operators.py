@@ -234,17 +234,32 @@ def test_exact_decisions(docs, rows, empty):
     assert exact.deduplicate(docs).columns == docs.columns
 
 
-def test_filter_has_no_false_negatives():
+@pytest.mark.parametrize("parts", [1, 3])
+def test_filter_has_no_false_negatives(spark, parts):
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     n = bits.shards_for(len(h))
-    for rows_ in [list(bits.packed(np.concatenate([h, h[:100]]), n))]:
-        once = np.concatenate([np.frombuffer(bits._bits(np.frombuffer(o, np.uint32)), np.uint8) for _, o, _ in rows_])
-        twice = np.concatenate([np.frombuffer(bits._bits(np.frombuffer(t, np.uint32)), np.uint8) for _, _, t in rows_])
+    rows_ = list(bits.packed(np.concatenate([h, h[:100]]), n, parts))
+    df = spark.createDataFrame([(s, p, bytearray(a), bytearray(b)) for s, p, a, b in rows_], bits.SENT)
+    once, twice = bits.filled(df, n, "once", "twice", parts=parts)
     assert bits.passes(once, n, h).all() and bits.passes(twice, n, h[:100]).all()
     assert bits.passes(twice, n, h[100:]).mean() < 0.01
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_most_frequent_is_exact(spark, few, monkeypatch):
+    """Ties, counts of millions, and limits below the first tie: always as many rows as asked for, the greatest ones."""
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "FEW", few)
+    for counts in ([5_000_000, 4_000_000, 2_000_000], [7] * 10, [1] * 50 + [2] * 30 + [9, 1 << 40], [3]):
+        df = spark.createDataFrame(list(enumerate(counts)), "key long, n long").repartition(3).cache()
+        for most in (0, 1, 2, 5, len(counts), 99):
+            got = sorted((r["n"] for r in common.most_frequent(df, most).collect()), reverse=True)
+            assert got == sorted(counts, reverse=True)[:most]
+    assert common.most_frequent(spark.createDataFrame([], "key long, n long"), 3).count() == 0
+
+
 # ---- 4
 def test_repeats(docs, rows, empty):
     texts = [(t or "").encode().split() for _, t, *_ in rows]

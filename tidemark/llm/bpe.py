@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable, slices, small_batches, texts
+from tidemark.llm.common import most_frequent, reliable, slices, small_batches, texts
 
 #: The most pieces that are broadcast, and the most characters each of them has.
 COMMON = 120_000
@@ -122,18 +122,12 @@ def _encode(batches, content):
 
 
 def table_of(docs: DataFrame, path: str, text_col: str = "text", most: int = COMMON) -> DataFrame:
-    """(piece, ids): distinct pieces that repeat in the corpus, most of them at most, the most frequent ones: those above
-    the least count that lets no more through. Counts cover all texts; a task adds up its own before they shuffle."""
+    """(piece, ids): distinct pieces that repeat in the corpus, the most frequent ones, most of them or all. Counts cover all
+    texts; a task adds up its own before they shuffle."""
     content, added = _settings(path)
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_count, added=added), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = reliable(counts.filter((F.col("n") > 1) & (F.length("piece") <= COMMON_CHARS)))
-    total, least = 0, None
-    for r in counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("pieces")).orderBy(F.desc("n")).toLocalIterator():
-        if total + r["pieces"] > most:
-            break
-        total, least = total + r["pieces"], r["n"]
-    chosen = counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)
-    return chosen.select("piece").mapInArrow(partial(_encode, content=docs.sparkSession.sparkContext.broadcast(content)), "piece string, ids array<int>")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(partial(_count, added=added), "piece string, n long").filter(F.length("piece") <= COMMON_CHARS)
+    counts = reliable(counts.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1"))
+    return most_frequent(counts, most, "piece").select("piece").mapInArrow(partial(_encode, content=docs.sparkSession.sparkContext.broadcast(content)), "piece string, ids array<int>")
 
 
 class _Shared:

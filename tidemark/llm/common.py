@@ -124,6 +124,52 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+#: Ranges that a search for a border counts at once, and how many rows may be ordered in one task at its end.
+RANGES, FEW = 1024, 4096
+
+
+def _border(df: DataFrame, most: int) -> tuple[int, int, int] | None:
+    """(low, high, rest): of df's values v, all above high number most - rest, and those from low to high more than rest.
+    The range is narrowed until it is one value or holds FEW rows; each round brings at most RANGES counts to the driver.
+    None if there are no more than most."""
+    total, low, high = df.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if total <= most:
+        return None
+    taken, held = 0, total
+    while low < high and held > FEW:
+        width = -(-(high - low + 1) // RANGES)
+        inside = df.filter(F.col("v").between(low, high)).groupBy(F.expr(f"(v - {low}L) div {width}L").alias("range")).agg(F.count("*").alias("n"))
+        for r in sorted(inside.collect(), key=lambda r: -r["range"]):
+            if taken + r["n"] > most:
+                low, held = low + r["range"] * width, r["n"]
+                high = min(high, low + width - 1)
+                break
+            taken += r["n"]
+    return low, high, most - taken
+
+
+def most_frequent(df: DataFrame, most: int, key: str = "key", n: str = "n") -> DataFrame:
+    """The rows of df with the greatest n, exactly most of them or all; of equal n those whose keys hash highest. df should
+    be kept, since it is read several times. Nothing but counts of ranges, and FEW rows at the end, meets one task."""
+    if most <= 0:
+        return df.limit(0)
+    kept = [c for c in df.columns if c not in ("v", "h")]
+    ranked = df.select(*kept, F.col(n).cast("long").alias("v"), F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1)).alias("h"))
+    found = _border(ranked.select("v"), most)
+    if found is None:
+        return df
+    low, high, rest = found
+    out = ranked.filter(F.col("v") > high)
+    open_ = ranked.filter(F.col("v").between(low, high))
+    if low == high and rest:  # ties, as many as there may be
+        ties = _border(open_.select(F.col("h").alias("v")), rest)
+        if ties is None:
+            return out.union(open_).select(*df.columns)
+        low, high, rest = ties
+        out, open_ = out.union(open_.filter(F.col("h") > high)), open_.filter(F.col("h").between(low, high))
+    return out.union(open_.orderBy(F.desc("v"), F.desc("h"), key).limit(rest)).select(*df.columns) if rest else out.select(*df.columns)
+
+
 #: A key with at least this share of the rows counts as hot; there are at most its inverse of such keys, so they can be broadcast.
 HOT_SHARE = 1 / 500
 ROW_KEY = "__row_key"
@@ -146,7 +192,14 @@ def staying(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> Dat
     """The rows of docs that a decision table (ROW_KEY, kept) keeps; of rows that share a key, one stays at most."""
     keys = reliable(made.groupBy(ROW_KEY).agg(F.max("kept").alias("any"), F.count("*").alias("n")).filter("not any or n > 1"))
     left = docs.withColumn(ROW_KEY, row_key(id_col, text_col)).join(keys.filter("not any"), ROW_KEY, "left_anti")
-    twins = keys.filter("any")
+    twins = keys.filter("any").select(ROW_KEY)
     if not twins.isEmpty():
-        left = left.join(twins, ROW_KEY, "left_anti").unionByName(left.join(twins, ROW_KEY, "left_semi").dropDuplicates([ROW_KEY]))
+        left = left.join(twins, ROW_KEY, "left_anti").unionByName(one_of_each(left.join(twins, ROW_KEY, "left_semi")))
     return left.select(docs.columns)
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Of rows that share ROW_KEY, the one whose columns hash lowest, so that reruns agree; added up before the shuffle."""
+    hashed = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
+    best = F.min_by(F.struct(*rows.columns), F.xxhash64(*hashed)).alias("__best")
+    return rows.groupBy(ROW_KEY).agg(best).select(*[F.col("__best").getField(c).alias(c) for c in rows.columns])

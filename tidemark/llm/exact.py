@@ -5,11 +5,6 @@ rows that cannot repeat go straight to the result; only the rest shuffle, by the
 
 from __future__ import annotations
 
-from functools import partial
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +17,6 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def _emit(batches, shards: int):
-    for batch in batches:
-        h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        yield bits.sent(list(bits.packed(h, shards)))
-
-
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, and the row's key.
 
@@ -39,15 +28,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # numbering a table that is already kept gives each row the same number whenever a task runs again
     rows = reliable(digests).withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("sha"))
     n = rows.count()
-    shards = bits.shards_for(n, 16)
-    sent = rows.select("h").mapInArrow(partial(_emit, shards=shards), bits.SENT)
-    (twice,) = bits.filled(sent, shards, "twice")
-    shared = docs.sparkSession.sparkContext.broadcast(twice.tobytes())
-
-    @F.pandas_udf("boolean")
-    def may_repeat(h: pd.Series) -> pd.Series:
-        return pd.Series(bits.passes(np.frombuffer(shared.value, np.uint8), shards, h.to_numpy().view(np.uint64)))
-
+    may_repeat = bits.among(rows.select("h"), n, "twice")
     rows = reliable(rows.withColumn("maybe", may_repeat("h")).drop("h"))
     best = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("none"), "id", "row"))
     groups = rows.filter("maybe").groupBy("sha").agg(F.count("*").alias("size"), best.alias("best"))

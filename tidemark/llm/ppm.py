@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, reliable, texts, word_hashes
+from tidemark.llm.common import fold, most_frequent, reliable, texts, word_hashes
 
 #: Bytes of the longest context, those that part the trie, the most grams of a slice, the most words that are broadcast, bytes worked on at once.
 ORDER = 5
@@ -150,16 +150,6 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
 
 
-def _most(df: DataFrame, most: int) -> DataFrame:
-    """The rows (key, n) above the least n that lets no more than most through."""
-    total, least = 0, 0
-    for r in df.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("keys")).orderBy(F.desc("n")).toLocalIterator():
-        if total + r["keys"] > most:
-            break
-        total, least = total + r["keys"], r["n"]
-    return df.filter(F.col("n") >= least) if total else df.limit(0)
-
-
 def shorter(keys: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
     """(grams, counts) of some orders, from counts of grams that are as long or longer."""
     out = []
@@ -274,7 +264,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ends = learnt.count()
     in_all, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, types = in_all + ends, distinct + (ends > 0)
-    common = _arrays(_most(words, COMMON))
+    common = _arrays(most_frequent(words, COMMON))
     order = np.argsort(common[0])
     share = spark.sparkContext.broadcast
     run = partial(_score, runs=slices(code_lengths(grams), LEVEL), common=share((common[0][order], common[1][order])), ends=ends)

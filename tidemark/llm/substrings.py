@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bits
-from tidemark.llm.common import ROW_KEY, Chunk, chunks, mixed, rolling, row_key, texts
+from tidemark.llm.common import ROW_KEY, Chunk, chunks, mixed, reliable, rolling, row_key, texts
 
 #: Words of a window, and of a block: the longest that any window holds whole, whatever its offset.
 WINDOW = 35
@@ -37,20 +37,20 @@ def _blocks(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, inside, inside & (c.at()[: len(h)] % BLOCK == 0)
 
 
-def _reference(batches, shards: int):
+def _reference(batches, shards: int, parts: int):
     for c in chunks(batches, CHUNK_WORDS):
         h, _, block = _blocks(c)
-        yield bits.sent(list(bits.packed(h[block], shards)))
+        yield bits.sent(list(bits.packed(h[block], shards, parts)))
 
 
-def _probe(batches, shards: int, once, twice):
+def _probe(batches, shards: int, parts: int, once, twice):
     """Rolling windows that meet a block of elsewhere: each is sent as if the block had come once more."""
     once, twice = (np.frombuffer(x.value, np.uint8) for x in (once, twice))
     for c in chunks(batches, CHUNK_WORDS):
         h, inside, block = _blocks(c)
         h = np.unique(h[inside & ~block])
         h = h[bits.passes(once, shards, h)]
-        yield bits.sent(list(bits.packed(h[~bits.passes(twice, shards, h)], shards)))
+        yield bits.sent(list(bits.packed(h[~bits.passes(twice, shards, h)], shards, parts)))
 
 
 def _windows(c: Chunk, shards: int, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def _candidates(batches, shards: int, buckets: int, anchors):
         single, many = np.repeat(run == 1, run), new.copy()
         many[new] = run > 1
         chunk = first + number
-        rows = [(buckets + chunk % buckets, chunk, b"", places[~single].tobytes(), c.keys.tobytes(), c.starts.tobytes())]
+        rows = [(buckets + int(mixed(np.uint64([chunk]))[0] % np.uint64(buckets)), chunk, b"", places[~single].tobytes(), c.keys.tobytes(), c.starts.tobytes())]
         owner = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         cuts = np.searchsorted(owner, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -155,12 +155,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     source = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
-    shards = bits.shards_for(size // (4 * BLOCK))  # words of four bytes or more, white space included
+    blocks = size // (4 * BLOCK)  # words of four bytes or more, white space included
+    shards = bits.shards_for(blocks)
+    parts = bits.parts_for(blocks, shards)
     buckets = max(64, size // (6 * BUCKET_WINDOWS))
     share = lambda x: spark.sparkContext.broadcast(x.tobytes())
-    once, twice = bits.filled(source.mapInArrow(partial(_reference, shards=shards), bits.SENT), shards, "once", "twice")
-    probed = source.mapInArrow(partial(_probe, shards=shards, once=share(once), twice=share(twice)), bits.SENT)
-    (hit,) = bits.filled(probed, shards, "once")
+    once, twice = bits.filled(source.mapInArrow(partial(_reference, shards=shards, parts=parts), bits.SENT), shards, "once", "twice", parts=parts)
+    probed = source.mapInArrow(partial(_probe, shards=shards, parts=parts, once=share(once), twice=share(twice)), bits.SENT)
+    (hit,) = bits.filled(probed, shards, "once", parts=parts)
     found = source.mapInArrow(partial(_candidates, shards=shards, buckets=buckets, anchors=share(twice | hit)), CANDIDATES)
     spans = found.groupBy("bucket").applyInArrow(_repeats, REPEATS).groupBy("chunk").applyInArrow(_spans, SPANS)
     return spans.groupBy(ROW_KEY).agg(F.first("spans").alias("spans"))
@@ -191,6 +193,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias(ROW_KEY))
-    joined = rows.join(repeated_spans(docs, id_col, text_col), ROW_KEY, "left").select("id", "text", "spans")
+    spans = reliable(repeated_spans(docs, id_col, text_col))
+    # only texts that lose something shuffle, with the few that a filter can't tell from them
+    maybe = bits.among(spans.select(ROW_KEY), spans.count(), "once")(F.col(ROW_KEY))
+    joined = rows.filter(maybe).join(spans, ROW_KEY, "left").select("id", "text", "spans")
+    joined = joined.union(rows.filter(~maybe).select("id", "text", F.lit(None).cast("binary").alias("spans")))
     made = joined.mapInArrow(_cut, f"id {kind}, n_words long, n_removed long, kept string")
     return made.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"))
