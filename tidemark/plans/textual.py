@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, scoring, text
+from tidemark.functions import dates, prospectus, scoring, text
 from tidemark.operators import timeline
 from tidemark.plans.base import ISSUES_SQL, issues, query, table
 from tidemark.sources import readers
@@ -42,7 +42,7 @@ def host_primary_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages)
-    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a""")
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("t"))
 
@@ -53,6 +53,27 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(text.findings(F.col("text")), ",").alias("kinds"))
 
 
+#: What a cover may say, and the kind of offering that it then is of.
+_COVERS = [
+    ("This proxy statement/prospectus is sent to holders of {}.", "merger_proxy"),
+    ("{} 5% notes. Per Note Total Public offering price (1) 99.50%", "debt_offering"),
+    ("Shares of {} are sold in connection with our direct listing. Unlike an initial public offering, the resale is not underwritten.", "direct_listing"),
+    ("Holders on the record date will get shares of {} in the spin-off.", "spin_off_distribution"),
+    ("{}: the last reported sale price was $5.00 on Nasdaq. Since our initial public offering in 2019 we grew.", "follow_on"),
+    ("This prospectus relates to the resale from time to time of 5 shares of {} by holders.", "resale_only"),
+    ("{}: this is our initial public offering. The initial public offering price is $18.00 per share. We have applied to list under the symbol &#147;FWRG&#148;.", "ipo"),
+    ("Since our initial public offering {} grew.", "unknown"),
+]
+_KINDS = " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_COVERS))
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % {len(_COVERS)} {_KINDS} END AS kind, CASE WHEN c_custkey % {len(_COVERS)} = 6 THEN 18.0e0 END AS price, CASE WHEN c_custkey % {len(_COVERS)} = 6 THEN 'FWRG' END AS symbol FROM customer""")
+def offering_type(spark: SparkSession, d: str) -> DataFrame:
+    covers = F.array(*[F.concat(*[x for i, part in enumerate(c.split("{}")) for x in ([F.col("c_name")] if i else []) + [F.lit(part)]]) for c, _ in _COVERS])
+    c = table(spark, d, "customer").select("c_custkey", F.element_at(covers, (F.col("c_custkey") % len(_COVERS) + 1).cast("int")).alias("t"))
+    return c.select("c_custkey", prospectus.offering_type(F.col("t")).alias("kind"), prospectus.priced(F.col("t")).alias("p")).select("c_custkey", "kind", F.col("p.final_price").alias("price"), F.col("p.symbol").alias("symbol"))
+
+
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, 'licensed under') THEN 'licence' WHEN regexp_matches(t, '@[a-z0-9.-]+') AND NOT regexp_matches(t, ' the ') THEN 'contact' WHEN regexp_matches(t, ' (der|die|das) ') THEN 'german' ELSE 'unknown' END AS kind FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def doc_classifier(spark: SparkSession, d: str) -> DataFrame:
     rules = [("licence", ["licensed under"], []), ("contact", ["@[a-z0-9.-]+"], [" the "]), ("german", [" (der|die|das) "], [])]
