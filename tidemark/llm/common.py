@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import bits
+
 #: ASCII white space as a character class, and a word: what stands between it. ``bytes.split()`` cuts at the same places.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -191,11 +193,15 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
 def staying(docs: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs that a decision table (ROW_KEY, kept) keeps; of rows that share a key, one stays at most."""
     keys = reliable(made.groupBy(ROW_KEY).agg(F.max("kept").alias("any"), F.count("*").alias("n")).filter("not any or n > 1"))
-    left = docs.withColumn(ROW_KEY, row_key(id_col, text_col)).join(keys.filter("not any"), ROW_KEY, "left_anti")
+    # only rows that may be named by a key shuffle: a filter tells the others apart
+    keyed = docs.withColumn(ROW_KEY, row_key(id_col, text_col))
+    maybe = bits.among(keys.select(ROW_KEY), keys.count(), "once")(F.col(ROW_KEY))
+    alone = keyed.filter(~maybe)
+    left = keyed.filter(maybe).join(keys.filter("not any"), ROW_KEY, "left_anti")
     twins = keys.filter("any").select(ROW_KEY)
     if not twins.isEmpty():
         left = left.join(twins, ROW_KEY, "left_anti").unionByName(one_of_each(left.join(twins, ROW_KEY, "left_semi")))
-    return left.select(docs.columns)
+    return alone.unionByName(left).select(docs.columns)
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:

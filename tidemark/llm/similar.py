@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import golay
+from tidemark.llm import bits, golay
 from tidemark.llm.common import ROW_KEY, attach, chunks, mixed, reliable, rolling, row_key, small_batches, staying, texts, word_hashes
 from tidemark.llm.components import components
 
@@ -101,8 +101,10 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, size: int,
     """The pairs (u, v) of nodes whose sets are similar."""
     total = pairs.count()
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node").select(F.col("best.key").alias(ROW_KEY), "node")
-    held = source.join(wanted, ROW_KEY).select("node", "text").dropDuplicates(["node"])
+    wanted = reliable(nodes.select("node", F.col("best.key").alias(ROW_KEY)).join(ends, "node").select(ROW_KEY, "node"))
+    # of all texts only those that are wanted shuffle, with the few that a filter can't tell from them
+    maybe = bits.among(wanted.select(ROW_KEY), wanted.count(), "once")(F.col(ROW_KEY))
+    held = source.filter(maybe).select(ROW_KEY, "text").join(wanted, ROW_KEY).select("node", "text").dropDuplicates(["node"])
     sets = reliable(held.mapInArrow(partial(_sets, size=size), "node long, shingles binary"))
     for end, name in (("u", "a"), ("v", "b")):
         uses = pairs.groupBy(end).agg(F.count("*").alias("uses"))
@@ -185,7 +187,10 @@ def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float
         pairs = reliable(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"))
         return pairs if pairs.isEmpty() else _verified(pairs, source, nodes, size, least)
 
-    grouped = _grouped(nodes.select("node", F.explode(_first_keys(F.col("codes"))).alias("key")), nodes)
+    keys = nodes.select("node", F.explode(_first_keys(F.col("codes"))).alias("key"))
+    # most keys are one node's alone and needn't shuffle
+    shared = bits.among(keys.select(F.xxhash64("key")), 4 * SEGMENTS * nodes.count(), "twice")(F.xxhash64("key"))
+    grouped = _grouped(reliable(keys.filter(shared)), nodes)
     first = reliable(_with_hub(grouped, least))
     found = compare(first)
     rooted = _open(grouped, found)
