@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.basic import pick
@@ -100,23 +100,17 @@ def says(found: Column, statements: list[Statement]) -> Column:
     return F.exists(found, is_one)
 
 
-def _sentences(text: Column) -> tuple[Column, Column]:
-    whole = plain(flat(text))
-    return sentences(cover(whole)), sentences(whole)
-
-
-def classify(text: Column) -> Column:
-    """ipo, follow_on or unknown: an earlier offering that is only mentioned doesn't count."""
-    on_cover, anywhere = _sentences(text)
+def classify(on_cover: Column, anywhere: Column) -> Column:
+    """ipo, follow_on or unknown, from the sentences of the cover and of the whole text: an earlier offering that is only
+    mentioned doesn't count."""
     mentioned = says(on_cover, [_said("initial public offering"), *OFFERS_TO_PUBLIC])
     return pick((says(on_cover, FOLLOW_ON), "follow_on"), (says(on_cover, FIRST) | (says(anywhere, SUPPORT) & mentioned), "ipo"), otherwise="unknown")
 
 
-def offering_type(text: Column) -> Column:
+def offering_type(on_cover: Column, base: Column) -> Column:
     """The kind of offering, told in this order: a merger's proxy, debt, a direct listing, a spin-off without a sale, a
-    follow-on, a resale alone, an initial offering; else unknown."""
-    on_cover, _ = _sentences(text)
-    base, sells = classify(text), says(on_cover, [_said("we are offering")])
+    follow-on, a resale alone, an initial offering; else unknown. base: what classify says."""
+    sells = says(on_cover, [_said("we are offering")])
     return pick(
         (says(on_cover, MERGER), "merger_proxy"), (says(on_cover, DEBT), "debt_offering"), (says(on_cover, DIRECT), "direct_listing"),
         (says(on_cover, SPIN_OFF) & ~sells, "spin_off_distribution"), (base == "follow_on", "follow_on"),
@@ -166,45 +160,46 @@ TABLED = [
 LOOSE = [lambda b, a: _ends(b, "at a price of", "at the price of", "fixed price of", "fixed offering price of", "price is", "price was") & _per_share(a)]
 
 
-def price_range(text: Column) -> Column:
-    """struct(low, high) of an expected range, else of the price to the public."""
-    t = F.lower(flat(text))
+def price_range(flat_text: Column, on_cover: Column) -> Column:
+    """struct(low, high) of an expected range, else of the price to the public; on_cover: amounts of the cover."""
     between = r"offering price[^$]{0,80}between ?\$ ?([0-9][0-9,.]*[0-9]|[0-9]) and ?\$ ?([0-9][0-9,.]*[0-9]|[0-9])"
-    money = lambda g: F.regexp_replace(F.regexp_extract(t, between, g), ",", "").try_cast("double")
-    low = F.coalesce(money(1), _ranked(amounts(cover(t)), TABLED[1:2]))
+    money = lambda g: F.regexp_replace(F.regexp_extract(F.lower(flat_text), between, g), ",", "").try_cast("double")
+    low = F.coalesce(money(1), _ranked(on_cover, TABLED[1:2]))
     return F.struct(low.alias("low"), F.coalesce(money(2), low).alias("high"))
 
 
-def final_price(text: Column) -> Column:
+def final_price(on_cover: Column, anywhere: Column) -> Column:
     """The price on the cover; what is stated anywhere; on the cover in looser words. Never a par value, a warrant's price
-    or a total."""
-    t = flat(text)
-    found = amounts(cover(t))
-    return F.coalesce(_ranked(found, STATED + TABLED), _ranked(amounts(t), STATED), _ranked(found, LOOSE))
+    or a total. Both are amounts."""
+    return F.coalesce(_ranked(on_cover, STATED + TABLED), _ranked(anywhere, STATED), _ranked(on_cover, LOOSE))
 
 
-def symbol(text: Column) -> Column:
+def symbol(flat_text: Column) -> Column:
     """The symbol in capitals that follows the word; null if prose does."""
-    return F.nullif(F.regexp_extract(flat(text), r"\b[Ss]ymbols?\W{0,4}([A-Z]{1,6})\b", 1), F.lit(""))
-
-
-def priced(text: Column) -> Column:
-    """struct(symbol, final_price, price_low, price_high) of an initial offering; null of any other text."""
-    band = price_range(text)
-    made = F.struct(symbol(text).alias("symbol"), F.coalesce(final_price(text), band["high"], band["low"]).alias("final_price"), band["low"].alias("price_low"), band["high"].alias("price_high"))
-    return F.when(classify(text) == "ipo", made)
+    return F.nullif(F.regexp_extract(flat_text, r"\b[Ss]ymbols?\W{0,4}([A-Z]{1,6})\b", 1), F.lit(""))
 
 
-def lockup_days(text: Column) -> Column:
+def lockup_days(found: Column) -> Column:
     """Days of the first sentence on a lock-up that names some."""
-    found = F.filter(sentences(plain(flat(text))), lambda s: F.contains(s, F.lit(" lock up ")) & s.rlike(r" [0-9]{2,3} days "))
-    return F.regexp_extract(F.try_element_at(found, F.lit(1)), r" ([0-9]{2,3}) days ", 1).try_cast("int")
+    told = F.filter(found, lambda s: F.contains(s, F.lit(" lock up ")) & s.rlike(r" [0-9]{2,3} days "))
+    return F.regexp_extract(F.try_element_at(told, F.lit(1)), r" ([0-9]{2,3}) days ", 1).try_cast("int")
 
 
-def dual_class(text: Column) -> Column:
+def dual_class(found: Column) -> Column:
     """Whether shares are said to be of two classes; null where no class is mentioned."""
-    t = F.concat(F.lit(" "), plain(flat(text)), F.lit(" "))
-    return F.when(F.contains(t, F.lit("class")), F.contains(t, F.lit(" dual class ")))
+    return F.when(says(found, [_said(("class", "classes"))]), says(found, [_said("dual class")]))
+
+
+def read(filings: DataFrame, text_col: str) -> DataFrame:
+    """filings with kind, base, price_low, price_high, final_price, symbol (all four null unless base is ipo), lockup_days
+    and dual_class. Each step is a column of its own, so that a text is cleaned and cut once."""
+    df = filings.withColumn("_flat", flat(F.col(text_col))).withColumn("_plain", plain(F.col("_flat")))
+    df = df.withColumns({"_cover": sentences(cover(F.col("_plain"))), "_all": sentences(F.col("_plain")), "_near": amounts(cover(F.lower("_flat"))), "_far": amounts(F.col("_flat"))})
+    df = df.withColumn("base", classify(F.col("_cover"), F.col("_all"))).withColumn("_range", price_range(F.col("_flat"), F.col("_near")))
+    found = {"kind": offering_type(F.col("_cover"), F.col("base")), "lockup_days": lockup_days(F.col("_all")), "dual_class": dual_class(F.col("_all"))}
+    first = {"price_low": F.col("_range.low"), "price_high": F.col("_range.high"), "final_price": F.coalesce(final_price(F.col("_near"), F.col("_far")), F.col("_range.high"), F.col("_range.low")), "symbol": symbol(F.col("_flat"))}
+    df = df.withColumns(found | {k: F.when(F.col("base") == "ipo", v) for k, v in first.items()})
+    return df.drop("_flat", "_plain", "_cover", "_all", "_near", "_far", "_range")
 
 
 def is_blank_check(raw: Column) -> Column:

@@ -1,8 +1,9 @@
 """As-of joins and return windows.
 
 Spark has no as-of join. Events and observations are put into one frame and each event takes the last (or next)
-observation of its key from a window over time: one shuffle by key and one sort, no pairs. A key with very many rows can
-be split by time buckets first: then every bucket also gets the last observation before it."""
+observation of its key from a window over time: one shuffle by key and one sort, no pairs. A key with very many rows is
+split by spans of time: windows then hold one span each, and what no observation of its own span answers is taken from the
+nearest span that has one, which is found over one row per span."""
 
 from __future__ import annotations
 
@@ -10,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(events: DataFrame, bars: DataFrame, keys: list[str], at: str, ts: str, values: list[str], *, forward: bool = False, strict: bool = False, most: Column | None = None, prefix: str = "") -> DataFrame:
+def asof(events: DataFrame, bars: DataFrame, keys: list[str], at: str, ts: str, values: list[str], *, forward: bool = False, strict: bool = False, most: Column | None = None, prefix: str = "", span: int | None = None) -> DataFrame:
     """events with values (and ts as <prefix>ts) of the last bar of their key at or before at (strict: before it), or with
     forward of the first at or after it (strict: after). most: how far away the bar may be, in the units of at. Of bars
-    with equal ts the one with the greatest values is taken."""
+    with equal ts the one with the greatest values is taken. span: days (or units of a number) of a part of a key; without
+    it a key is one window."""
     side = "_side"
     found = f"{prefix}bar"
     # at equal times, a bar stands before an event that may see it and after one that may not
@@ -22,10 +24,20 @@ def asof(events: DataFrame, bars: DataFrame, keys: list[str], at: str, ts: str,
     left = events.withColumns({"_t": F.col(at), side: F.lit(order_event), found: F.lit(None).cast(_kind(bars, ts, values))})
     seen = bars.groupBy(*keys, ts).agg(F.max(F.struct(*values)).alias("_v")).select(*keys, F.col(ts).alias("_t"), F.lit(order_bar).alias(side), F.struct(F.col(ts).alias("ts"), *[F.col(f"_v.{v}").alias(v) for v in values]).alias(found))
     both = left.withColumn("_event", F.lit(True)).unionByName(seen.withColumn("_event", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", side)
+    number = F.unix_date("_t") if dict(bars.dtypes)[ts] == "date" else F.col("_t")
+    both = both.withColumn("_span", F.floor(number / span) if span else F.lit(0))
+    near = F.first if forward else F.last
+    w = Window.partitionBy(*keys, "_span").orderBy("_t", side)
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = (F.first if forward else F.last)(found, ignorenulls=True).over(w)
-    out = both.withColumn(found, pick).filter("_event")
+    out = both.withColumn(found, near(found, ignorenulls=True).over(w)).filter("_event")
+    if span:
+        ends = (F.min_by if forward else F.max_by)(found, F.when(~F.col("_event"), F.col("_t")))
+        spans = both.groupBy(*keys, "_span").agg(ends.alias("_end"))
+        v = Window.partitionBy(*keys).orderBy("_span")
+        v = v.rowsBetween(1, Window.unboundedFollowing) if forward else v.rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("_end", near("_end", ignorenulls=True).over(v)).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_span": "_s"})
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_span") == F.col("_s")]
+        out = out.join(spans, same, "left").withColumn(found, F.coalesce(found, "_end"))
     if most is not None:
         gap = (F.col(f"{found}.ts") - F.col(at)) if forward else (F.col(at) - F.col(f"{found}.ts"))
         out = out.withColumn(found, F.when(gap <= most, F.col(found)))
@@ -47,13 +59,21 @@ def known_at(events: DataFrame, observations: DataFrame, keys: list[str], at: st
     listed; with research also comparatives whose period had ended. Any other rule is refused. Columns of observations:
     keys, period_end, available_at, rule, value."""
     o = observations.filter(F.col("value").isNotNull())
-    ok = F.col("rule").isin(*POINT_IN_TIME) & (F.col("available_at") <= F.col(at))
+    seen = _running(events, o.filter(F.col("rule").isin(*POINT_IN_TIME)), keys, at, "available_at", "_best")
     if research:
-        ok = ok | (F.col("rule").isin(*RESEARCH_ONLY) & (F.col("period_end") <= F.col(at)))
-    ids = events.columns
-    joined = events.join(o, keys, "left").withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    best = F.max_by(F.when(F.col("_ok"), F.struct("value", "period_end")), F.when(F.col("_ok"), F.struct("period_end", F.coalesce(F.col("available_at"), F.lit("0001-01-01").cast(dict(o.dtypes)["available_at"])))))
-    return joined.groupBy(*ids).agg(best.alias("_b")).select(*ids, F.col("_b.value").alias("value"), F.col("_b.period_end").alias("period_end"))
+        seen = _running(seen, o.filter(F.col("rule").isin(*RESEARCH_ONLY)), keys, at, "period_end", "_more")
+        seen = seen.withColumn("_best", F.greatest("_best", "_more"))
+    return seen.select(*events.columns, F.col("_best.value").alias("value"), F.col("_best.period_end").alias("period_end"))
+
+
+def _running(events: DataFrame, observations: DataFrame, keys: list[str], at: str, since: str, out: str) -> DataFrame:
+    """events with the greatest (period_end, available_at, value) of their key's observations whose day since is at most at:
+    a running maximum over time, no pairs."""
+    best = F.struct("period_end", F.coalesce(F.col("available_at"), F.lit("0001-01-01").cast(dict(observations.dtypes)["available_at"])).alias("available_at"), "value")
+    rows = observations.filter(F.col(since).isNotNull()).groupBy(*keys, F.col(since).alias("_t")).agg(F.max(best).alias(out)).withColumn("_event", F.lit(False))
+    both = events.withColumns({"_t": F.col(at), "_event": F.lit(True)}).unionByName(rows, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_t", "_event").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(out, F.max(out).over(w)).filter("_event").drop("_t", "_event")
 
 
 # Fixed: days of the forward windows, and how a first bar may lie around a stated listing date.
@@ -75,30 +95,42 @@ def forward_returns(issues: DataFrame, bars: DataFrame, key: str, listed: str =
     first bar on or after it, if no more than fourteen days later. Returns are from the offer price, adjusted for later
     splits, else from the session's close; one that is beyond belief is suppressed and the close taken instead. A window
     whose day lies after the last bar is null, never zero. Bars meet issues once, and are summed up by window."""
-    b = bars.filter("close is not null")
+    b = bars.filter("close is not null").select(key, "day", "open", "close")
     edge = b.groupBy(key).agg(F.min(F.struct("day", "open", "close")).alias("first"), F.max(F.struct("day", "close")).alias("last"))
-    near = issues.join(edge, key)
-    is_first = F.col("first.day").between(F.date_sub(listed, BEFORE_DAYS), F.date_add(listed, AFTER_DAYS))
-    j = near.join(b.select(key, "day", "open", "close"), key)
-    later = F.min(F.when(F.col("day") >= F.col(listed), F.struct("day", "open", "close")))
     own = [c for c in issues.columns if c != key]
-    anchored = j.groupBy(key, *own, "first", "last").agg(later.alias("_later"))
-    session = F.when(is_first, F.col("first")).when(F.datediff(F.col("_later.day"), F.col(listed)) <= AFTER_DAYS, F.col("_later"))
-    anchored = anchored.withColumn("session", session).filter("session is not null").drop("first", "_later")
+    later = asof(issues.filter(F.col(key).isNotNull()), b, [key], listed, "day", ["open", "close"], forward=True, prefix="_")
+    anchored = later.join(edge, key)
+    is_first = F.col("first.day").between(F.date_sub(listed, BEFORE_DAYS), F.date_add(listed, AFTER_DAYS))
+    session = F.when(is_first, F.col("first")).when(F.datediff("_ts", listed) <= AFTER_DAYS, F.struct(F.col("_ts").alias("day"), F.col("_open").alias("open"), F.col("_close").alias("close")))
+    anchored = anchored.withColumn("session", session).filter("session is not null").drop("first", "_ts", "_open", "_close")
     factor = split_factor(F.col(splits), F.col("session.day")) if splits else F.lit(1.0)
     offer = F.nullif(F.col(price), F.lit(0.0)) * factor
     close = F.nullif(F.col("session.close"), F.lit(0.0))
     first_return = (close / offer - 1) * 100
     good = F.coalesce(F.abs(first_return) <= IMPLAUSIBLE, F.lit(True)) & offer.isNotNull()
     anchored = anchored.withColumns({"base": F.when(good, offer).otherwise(close), "from_offer": good, "listing_return": F.when(good, first_return), "open_return": F.when(good, (F.nullif(F.col("session.open"), F.lit(0.0)) / offer - 1) * 100), "day_return": (close / F.nullif(F.col("session.open"), F.lit(0.0)) - 1) * 100})
-    k = anchored.join(b.select(key, "day", "close"), key).filter(F.col("day") > F.col("session.day"))
-    ends = {w: F.date_add(F.col("session.day"), d) for w, d in WINDOWS.items()}
-    found = [F.max(F.when(F.col("day") <= end, F.struct("day", "close"))).alias(f"_{w}") for w, end in ends.items()]
-    held = k.groupBy(key, *own, "session").agg(*found).select(key, *own, "session", *[f"_{w}" for w in WINDOWS])
-    out = anchored.join(held, [key, *own, "session"], "left") if not own else anchored.alias("a").join(held.alias("h"), [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (key, *own, "session")], "left").select("a.*", *[f"h._{w}" for w in WINDOWS])
-    windows = {w: F.when(ends[w] <= F.col("last.day"), (F.col(f"_{w}.close") / F.col("base") - 1) * 100) for w in WINDOWS}
-    out = out.withColumns(windows | {"since_listing": (F.nullif(F.col("last.close"), F.lit(0.0)) / F.col("base") - 1) * 100, "session_day": F.col("session.day"), "last_day": F.col("last.day")})
-    return out.drop("session", "last", *[f"_{w}" for w in WINDOWS])
+    # the closes of all windows come by one as-of join: a row per window, put together again by what the issue is
+    ends = F.explode(F.create_map(*[x for w, d in WINDOWS.items() for x in (F.lit(w), F.date_add(F.col("session.day"), d))])).alias("_w", "_end")
+    asked = anchored.select(key, F.col("session.day").alias("_since"), ends).distinct()
+    held = asof(asked, b, [key], "_end", "day", ["close"], prefix="_").filter(F.col("_ts") > F.col("_since"))
+    found = held.groupBy(key, "_since").agg(*[F.max(F.when(F.col("_w") == w, F.col("_close"))).alias(f"_{w}") for w in WINDOWS])
+    out = anchored.withColumn("_since", F.col("session.day")).join(found, [key, "_since"], "left")
+    windows = {w: F.when(F.date_add("_since", d) <= F.col("last.day"), (F.col(f"_{w}") / F.col("base") - 1) * 100) for w, d in WINDOWS.items()}
+    out = out.withColumns(windows | {"since_listing": (F.nullif(F.col("last.close"), F.lit(0.0)) / F.col("base") - 1) * 100, "session_day": F.col("_since"), "last_day": F.col("last.day")})
+    return out.select(key, *own, "base", "from_offer", "listing_return", "open_return", "day_return", *WINDOWS, "since_listing", "session_day", "last_day")
+
+
+def on_calendar(events: DataFrame, series: DataFrame, at: str, ts: str, value: str, out: str, *, forward: bool = False) -> DataFrame:
+    """events with the value of one short series (a market's closes, a row a day) at or before at, or at or after it. The
+    series is spread over the days from its first to its last, so its size is bounded by the calendar, and broadcast."""
+    days = series.filter(F.col(value).isNotNull()).groupBy(F.col(ts).alias("_day")).agg(F.max(value).alias("_v"))
+    edge = days.agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+    every = edge.filter("_first is not null").select(F.explode(F.sequence("_first", "_last")).alias("_day"))
+    near = Window.orderBy("_day").rowsBetween(0, Window.unboundedFollowing) if forward else Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    dense = every.join(F.broadcast(days), "_day", "left").select("_day", (F.first if forward else F.last)("_v", ignorenulls=True).over(near).alias(out))
+    clamped = F.greatest(F.col(at), F.col("_first")) if forward else F.least(F.col(at), F.col("_last"))
+    keyed = events.join(F.broadcast(edge), F.lit(True), "left").withColumn("_day", F.when(F.col(at).isNotNull(), clamped))
+    return keyed.join(F.broadcast(dense), "_day", "left").select(*events.columns, out)
 
 
 # Fixed: what return windows can read of a series.

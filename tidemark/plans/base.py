@@ -103,14 +103,14 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 BARS_SQL = "bars AS (SELECT l_partkey % 40 AS key, CAST(l_shipdate AS DATE) AS day, floor(min(l_extendedprice / l_quantity) * 100) / 100 AS open, floor(max(l_extendedprice / l_quantity) * 100) / 100 AS close FROM lineitem GROUP BY 1, 2)"
 
 
-def listings(spark: SparkSession, sf_dir: str, step: int = 20) -> DataFrame:
-    """Every twentieth part as an issue that listed on some day: the stated queries of the return windows."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % step == 0)
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as issues that listed on some day."""
+    p = table(spark, sf_dir, "part")
     day = F.date_add(F.to_date(F.lit("1996-01-01")), (F.col("p_partkey") % 1500).cast("int"))
     return p.select(F.col("p_partkey").alias("issue"), (F.col("p_partkey") % 40).alias("key"), day.alias("listed"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice")).alias("price"))
 
 
-LISTINGS_SQL = "listings AS (SELECT p_partkey AS issue, p_partkey % 40 AS key, DATE '1996-01-01' + CAST(p_partkey % 1500 AS INT) AS listed, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS price FROM part WHERE p_partkey % 20 = 0)"
+LISTINGS_SQL = "listings AS (SELECT p_partkey AS issue, p_partkey % 40 AS key, DATE '1996-01-01' + CAST(p_partkey % 1500 AS INT) AS listed, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS price FROM part)"
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

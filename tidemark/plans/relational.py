@@ -111,13 +111,17 @@ def pairwise_agreement_1pct(spark: SparkSession, d: str) -> DataFrame:
     return resolve.agreement(evidence(spark, d), ["entity", "field"], "source", "value", 1, 2)
 
 
-@query("""WITH one AS (SELECT o_custkey AS symbol, count(*) AS n, min(o_orderpriority) AS name_key, min(CAST(o_orderdate AS DATE)) AS listed_on FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 1)
-    SELECT e.event_id, e.symbol, CASE WHEN n = 1 AND one.name_key = '1-URGENT' AND listed_on - closed BETWEEN 0 AND 2500 THEN listed_on END AS listed_on
-    FROM (SELECT event_id, user_id AS symbol, DATE '1996-06-01' + CAST(event_id % 700 AS INT) AS closed FROM events) e LEFT JOIN one USING (symbol)""", days=("listed_on",))
+@query("""WITH master AS (SELECT c_custkey AS symbol, c_mktsegment AS name_key, DATE '1996-06-01' + CAST(c_custkey * 7 % 700 AS INT) AS listed_on FROM customer UNION ALL SELECT s_suppkey * 3, 'BUILDING', DATE '1996-07-01' FROM supplier),
+    one AS (SELECT symbol, count(*) AS n, min(name_key) AS name_key, min(listed_on) AS listed_on FROM master GROUP BY 1)
+    SELECT e.event_id, e.symbol, CASE WHEN n = 1 AND one.name_key = e.name_key AND listed_on - closed BETWEEN 0 AND 30 THEN listed_on END AS listed_on
+    FROM (SELECT event_id, user_id AS symbol, CASE event_id % 2 WHEN 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS name_key, DATE '1996-06-01' + CAST(event_id % 700 AS INT) AS closed FROM events) e LEFT JOIN one USING (symbol)""", days=("listed_on",))
 def interval_join_30d(spark: SparkSession, d: str) -> DataFrame:
-    live = table(spark, d, "events").select("event_id", F.col("user_id").alias("symbol"), F.lit("1-URGENT").alias("name_key"), F.date_add(F.to_date(F.lit("1996-06-01")), (F.col("event_id") % 700).cast("int")).alias("closed"))
-    master = table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("symbol"), F.col("o_orderpriority").alias("name_key"), F.col("o_orderdate").cast("date").alias("listed_on"))
-    return resolve.listed_after(live, master, 2500).select("event_id", "symbol", "listed_on")
+    """Events as live issues; customers as the master, in which suppliers repeat some symbols."""
+    day = lambda n: F.date_add(F.to_date(F.lit("1996-06-01")), n.cast("int"))
+    live = table(spark, d, "events").select("event_id", F.col("user_id").alias("symbol"), F.when(F.col("event_id") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("name_key"), day(F.col("event_id") % 700).alias("closed"))
+    one = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol"), F.col("c_mktsegment").alias("name_key"), day(F.col("c_custkey") * 7 % 700).alias("listed_on"))
+    two = table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("symbol"), F.lit("BUILDING").alias("name_key"), F.to_date(F.lit("1996-07-01")).alias("listed_on"))
+    return resolve.listed_after(live, one.union(two)).select("event_id", "symbol", "listed_on")
 
 
 @query(f"""WITH {ISSUES_SQL} SELECT id, symbol, country FROM issues a WHERE status IN ('Open', 'Closed', 'Upcoming') AND NOT EXISTS (SELECT 1 FROM issues b WHERE b.status = 'Listed' AND b.country = a.country AND b.symbol = a.symbol)""")

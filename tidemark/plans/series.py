@@ -26,26 +26,26 @@ def asof_forward(spark: SparkSession, d: str) -> DataFrame:
     return asof.asof(_events(spark, d), bars(spark, d), ["key"], "at", "day", ["close"], forward=True).select("o_orderkey", "ts", "close")
 
 
-@query(f"""WITH {BARS_SQL}, {_EVENTS}, few AS (SELECT key, date_diff('day', DATE '1970-01-01', day) AS n, close FROM bars WHERE month(day) % 2 = 0), e AS (SELECT o_orderkey, key, date_diff('day', DATE '1970-01-01', at_) AS n FROM ev)
-    SELECT o_orderkey, CASE WHEN e.n - few.n <= 7 THEN close END AS close FROM e ASOF LEFT JOIN few ON e.key = few.key AND e.n > few.n""")
+@query(f"""WITH {BARS_SQL}, {_EVENTS}, few AS (SELECT key, date_diff('day', DATE '1970-01-01', day) AS n, close FROM bars), e AS (SELECT o_orderkey, key, date_diff('day', DATE '1970-01-01', at_) AS n FROM ev)
+    SELECT o_orderkey, CASE WHEN e.n - few.n <= 1 THEN close END AS close FROM e ASOF LEFT JOIN few ON e.key = few.key AND e.n > few.n""")
 def asof_staleness_bounded(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("n", F.unix_date("at"))
-    few = bars(spark, d).filter(F.month("day") % 2 == 0).withColumn("n", F.unix_date("day"))
-    return asof.asof(e, few, ["key"], "n", "n", ["close"], strict=True, most=F.lit(7), prefix="bar_").select("o_orderkey", F.col("bar_close").alias("close"))
+    b = bars(spark, d).withColumn("n", F.unix_date("day"))
+    return asof.asof(e, b, ["key"], "n", "n", ["close"], strict=True, most=F.lit(1), prefix="bar_", span=365).select("o_orderkey", F.col("bar_close").alias("close"))
 
 
-_OBS = """obs AS (SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS period_end, CAST(l_shipdate AS DATE) + 30 AS available_at, CASE l_linenumber % 3 WHEN 0 THEN 'prospectus_filing' WHEN 1 THEN 'xbrl_post_ipo_comparative' ELSE 'hearsay' END AS rule, max(l_quantity) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)"""
+_OBS = """obs AS (SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS period_end, CAST(l_shipdate AS DATE) + 30 AS available_at, CASE l_linenumber % 3 WHEN 0 THEN 'prospectus_filing' WHEN 1 THEN 'xbrl_post_ipo_comparative' ELSE 'hearsay' END AS rule, max(l_quantity) AS v FROM lineitem GROUP BY ALL)"""
 
 
-@query(f"""WITH {_OBS}, e AS (SELECT o_orderkey, o_orderkey % 100 + 1 AS key, CAST(o_orderdate AS DATE) AS at_ FROM orders WHERE o_orderkey % 10 = 0),
+@query(f"""WITH {_OBS}, e AS (SELECT o_orderkey, o_orderkey % 100 + 1 AS key, CAST(o_orderdate AS DATE) AS at_ FROM orders),
     j AS (SELECT o_orderkey, v, period_end, row_number() OVER (PARTITION BY o_orderkey ORDER BY period_end DESC, available_at DESC) AS n FROM e JOIN obs ON obs.key = e.key AND available_at <= at_ AND rule = 'prospectus_filing')
     SELECT e.o_orderkey, v AS val, period_end FROM e LEFT JOIN j ON j.o_orderkey = e.o_orderkey AND n = 1""", days=("period_end",))
 def point_in_time_latest_available(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").filter("l_quantity > 45")
+    li = table(spark, d, "lineitem")
     day = F.col("l_shipdate").cast("date")
     rule = F.element_at(F.array(F.lit("prospectus_filing"), F.lit("xbrl_post_ipo_comparative"), F.lit("hearsay")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     obs = li.groupBy(F.col("l_suppkey").alias("key"), day.alias("period_end"), F.date_add(day, 30).alias("available_at"), rule.alias("rule")).agg(F.max("l_quantity").alias("value"))
-    e = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_orderkey") % 100 + 1).alias("key"), F.col("o_orderdate").cast("date").alias("at"))
+    e = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100 + 1).alias("key"), F.col("o_orderdate").cast("date").alias("at"))
     return asof.known_at(e, obs, ["key"], "at").select("o_orderkey", F.col("value").alias("val"), "period_end")
 
 
@@ -72,10 +72,9 @@ def forward_return_windows(spark: SparkSession, d: str) -> DataFrame:
     SELECT issue, {r4("own - bench")} AS relative FROM x""")
 def benchmark_relative_12m(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
-    r = asof.forward_returns(listings(spark, d), b, "key").select("issue", "session_day", "return_12m").withColumns({"all": F.lit(1), "end": F.date_add("session_day", 365)})
-    market = b.groupBy("day").agg(F.max("close").alias("close")).withColumn("all", F.lit(1))
-    first = asof.asof(r, market, ["all"], "session_day", "day", ["close"], forward=True, prefix="a_")
-    both = asof.asof(first, market, ["all"], "end", "day", ["close"], prefix="b_")
+    r = asof.forward_returns(listings(spark, d), b, "key").select("issue", "session_day", "return_12m").withColumn("end", F.date_add("session_day", 365))
+    market = b.groupBy("day").agg(F.max("close").alias("close"))
+    both = asof.on_calendar(asof.on_calendar(r, market, "session_day", "day", "close", "a_close", forward=True), market, "end", "day", "close", "b_close")
     return both.select("issue", steady(F.col("return_12m") - (F.col("b_close") / F.col("a_close") - 1) * 100, 4).alias("relative"))
 
 

@@ -71,7 +71,7 @@ _KINDS = " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_COVERS))
 def offering_type(spark: SparkSession, d: str) -> DataFrame:
     covers = F.array(*[F.concat(*[x for i, part in enumerate(c.split("{}")) for x in ([F.col("c_name")] if i else []) + [F.lit(part)]]) for c, _ in _COVERS])
     c = table(spark, d, "customer").select("c_custkey", F.element_at(covers, (F.col("c_custkey") % len(_COVERS) + 1).cast("int")).alias("t"))
-    return c.select("c_custkey", prospectus.offering_type(F.col("t")).alias("kind"), prospectus.priced(F.col("t")).alias("p")).select("c_custkey", "kind", F.col("p.final_price").alias("price"), F.col("p.symbol").alias("symbol"))
+    return prospectus.read(c, "t").select("c_custkey", "kind", F.col("final_price").alias("price"), "symbol")
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, 'licensed under') THEN 'licence' WHEN regexp_matches(t, '@[a-z0-9.-]+') AND NOT regexp_matches(t, ' the ') THEN 'contact' WHEN regexp_matches(t, ' (der|die|das) ') THEN 'german' ELSE 'unknown' END AS kind FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
