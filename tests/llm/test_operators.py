@@ -428,6 +428,73 @@ def test_tiles_say_what_is_wrong(spark):
     assert np.load(io.BytesIO(got[1]["tile"])).shape == (32, 32) and got[2]["error"] and got[4]["error"] and got[3]["error"] is None
 
 
+def bmp(width, height, depth, body, masks=(), palette=b""):
+    import struct
+
+    start = 54 + 4 * len(masks) + len(palette)
+    return b"BM" + struct.pack("<IHHI", start + len(body), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, depth, 3 if masks else 0, len(body), 0, 0, len(palette) // 4, 0) + struct.pack(f"<{len(masks)}I", *masks) + palette + body
+
+
+def test_bmp_depths_and_masks():
+    import struct
+
+    grey2 = bytes([0, 0, 0, 0, 255, 255, 255, 0])
+    assert media.decode(bmp(9, -1, 1, b"\xaa\x80\0\0", palette=grey2)).tolist() == [[255, 0, 255, 0, 255, 0, 255, 0, 255]]
+    assert media.decode(bmp(3, -1, 4, b"\x10\x10\0\0", palette=bytes([9, 0, 0, 0, 0, 8, 7, 0]))).tolist() == [[[7, 8, 0], [0, 0, 9], [7, 8, 0]]]
+    assert media.decode(bmp(2, 1, 16, struct.pack("<HH", 0x7C00, 0x3FF))).tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    assert media.decode(bmp(2, 1, 16, struct.pack("<HH", 0xF800, 0x7E0), masks=(0xF800, 0x7E0, 0x1F))).tolist() == [[[255, 0, 0], [0, 255, 0]]]
+    assert media.decode(bmp(1, 1, 32, struct.pack("<I", 0x11223344), masks=(0xFF, 0xFF00, 0xFF0000))).tolist() == [[[0x44, 0x33, 0x22]]]
+    for bad in (bmp(0, 1, 24, b""), bmp(2, 1, 2, b"\0" * 4), bmp(5, 5, 24, b"\0" * 8)):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+
+
+def test_bad_samples_never_fail_the_job_and_greys_are_spread(spark):
+    bad = [b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P2 1 1 255 x", b"P1 2 1 17", b"P5 1 1 99999 a", b"P2 1 1 255 99999999999999999999", b"P5 99999999999 99999999999 255\n", b"P5 1 1 15 \x20", b""]
+    good = {b"P2 1 1 15 15": 255, b"P5 1 1 1023 \x03\xff": 255, b"P5 1 1 1023 \x00\x00": 0, b"P1 1 1 0": 255, b"P1 1 1 1": 0, b"P4 1 1 \x00": 255, b"P2 1 1 3 1": 85, b"P5 1 1 255 \x07": 7}
+    rows_ = list(enumerate([*bad, *good]))
+    got = {r["id"]: r for r in media.tiles(spark.createDataFrame([(i, bytearray(x)) for i, x in rows_], "id long, media binary"), "id", "media", 2).collect()}
+    for i, x in rows_:
+        if x in good:
+            assert np.load(io.BytesIO(got[i]["tile"])).tolist() == [[good[x]] * 2] * 2, x
+        else:
+            assert got[i]["error"] is not None and got[i]["tile"] is None, x
+
+
+def test_stored_form_feature_and_tile_by_hand(docs, rows):
+    """The picture, its difference hash and its tile from plain loops over samples and areas."""
+
+    def area(a, height, width):
+        out = []
+        for i in range(height):
+            line = []
+            for j in range(width):
+                total, weight = 0.0, 0.0
+                top, bottom, left, right = i * len(a) / height, (i + 1) * len(a) / height, j * 64 / width, (j + 1) * 64 / width
+                for y in range(int(top), min(len(a), math.ceil(bottom))):
+                    for x in range(int(left), min(64, math.ceil(right))):
+                        w = (min(bottom, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+                        total, weight = total + w * a[y][x], weight + w
+                line.append(total / weight)
+            out.append(line)
+        return out
+
+    by = {(r["doc_id"], r["n_bytes"]): r for r in media.text_media(docs).collect()}
+    for i, t, *_ in rows[:14]:
+        b = (t or "").encode()
+        p = b + bytes((-len(b)) % 64 if b else 64)
+        a = [list(p[k : k + 64]) for k in range(0, len(p), 64)]
+        r = by[i, len(b)]
+        stored = b"P5\n64 %d\n255\n" % len(a) + p
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), sha(stored))
+        small = [[round(x, 6) for x in line] for line in area(a, 8, 9)]
+        bits_ = "".join("1" if x < y else "0" for line in small for x, y in zip(line, line[1:], strict=False))
+        assert r["feature"] == f"{int(bits_, 2):016x}"
+        tile = np.clip(np.rint(np.round(np.array(area(a, 32, 32)), 9)), 0, 255).astype(np.uint8)
+        mine = np.clip(np.rint(media.resize(np.array(a), 32, 32)), 0, 255).astype(np.uint8)
+        assert np.abs(tile.astype(int) - mine).max() <= 1 and r["tile_sha256"] == sha(media.npy(mine))
+
+
 # ---- 9
 def test_ppm_is_a_distribution():
     text = b"abracadabra\nabra\n"
