@@ -369,6 +369,28 @@ def test_sainte_lague_is_by_highest_quotients(seed):
     assert key(got.tolist()) == key(want)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_quotas_of_cells_are_those_of_the_rule(spark, seed):
+    rng = random.Random(seed)
+    votes = [float(rng.randrange(0, 9)) for _ in range(60)]
+    most, seats = [rng.randrange(0, 9) for _ in votes], 97
+    df = spark.createDataFrame([(0, i, v, m) for i, (v, m) in enumerate(zip(votes, most, strict=True))], "number int, shard int, votes double, most long").cache()
+    got = {r["shard"]: r["quota"] for r in mixing.quotas(df, seats).collect()}
+    want = mixing.sainte_lague(np.array(votes), seats, np.array(most)).tolist()
+    key = lambda s: sorted(round(v / (2 * k + 1), 9) for v, x in zip(votes, s, strict=True) for k in range(x))  # the quotients that won
+    mine = [got[i] for i in range(60)]
+    assert sum(mine) == sum(want) and all(x <= m for x, m in zip(mine, most, strict=True)) and key(mine) == key(want)
+    assert {r["quota"] for r in mixing.quotas(df.limit(0), 5).collect()} == set()
+
+
+def test_mixed_documents_keep_clashing_columns(spark):
+    rows_ = [(i % 7, "a b c", "s", i, i, i) for i in range(20)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, _copies int, times int, document int")
+    got = mixing.mixed_documents(df).collect()
+    assert got and set(map(tuple, got)) <= set(rows_) and sorted(map(str, got)) == sorted(map(str, mixing.mixed_documents(df.repartition(3)).collect()))
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_mixture(docs, rows, empty):
     got = mixing.mixture(docs).collect()
     assert len(got) == len(rows)
@@ -602,3 +624,24 @@ def test_shards_are_near_equal(spark):
     got = shards.shard(df, 8).groupBy("shard").agg({"size": "sum"}).collect()
     sums = [r[1] for r in got]
     assert len(sums) == 8 and max(sums) - min(sums) <= 2 * 60
+
+
+def test_shards_of_odd_tables(spark):
+    """Equal rows, one huge row, fewer rows than shards; and each row where plain sums over the sorted line put it."""
+    tables = [[(1, "same")] * 100, [(i, "x" * (50_000 if i == 7 else 3)) for i in range(60)], [(1, "a"), (2, None)], [(i, f"t{i % 50} " * (i % 9)) for i in range(900)]]
+    for rows_ in tables:
+        df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+        got = shards.shard(df, 8).collect()
+        sizes = [len(t or "") + 1 for _, t in rows_]
+        sums = Counter()
+        for r in got:
+            sums[r["shard"]] += r["size"]
+        assert len(got) == len(rows_) and sum(sums.values()) == sum(sizes)
+        assert max(sums.values()) <= sum(sizes) / 8 + max(sizes)
+        # the line: by checksum of the text, then hash of the id; a row's shard is that of its middle
+        line = sorted(((r["text_crc32"], r["shard"], r["slot"], r["size"]) for r in got), key=lambda r: (r[1], r[2]))
+        assert [x[0] for x in line] == sorted(x[0] for x in line)
+        upto = 0
+        for _, shard_, _, size in line:
+            assert shard_ == min(7, (2 * upto + size) * 8 // (2 * sum(sizes)))
+            upto += size

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW_KEY, WORD, reliable, row_key
+from tidemark.llm.common import ROW_KEY, WORD, most_frequent, one_of_each, reliable, row_key
 
 #: Weights by the order of sources, the share of all words to take, and how often a word may be taken.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -75,6 +77,46 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Divisors that one pass over the cells tries.
+DIVISORS = 1023
+
+
+def _given(batches, divisors: np.ndarray):
+    """Seats that each divisor gives the cells of a task."""
+    total = np.zeros(len(divisors), np.int64)
+    for batch in batches:
+        votes, most = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for a in range(0, len(votes), 256):
+            total += np.minimum(np.floor(votes[a : a + 256, None] / divisors + 0.5), most[a : a + 256, None]).sum(axis=0).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(divisors), dtype=np.int32)), pa.array(total)], ["divisor", "seats"])
+
+
+def quotas(cells: DataFrame, seats: int) -> DataFrame:
+    """cells (number, shard, votes, most) with quota: seats by highest quotients votes / (2 s + 1), none above most, as
+    sainte_lague gives them. The cells stay where they are: passes that add up what DIVISORS divisors would give narrow the
+    divisor down, and of cells that tie at it, as many as seats are left get one more, chosen by hash."""
+    given = lambda d: F.least(F.floor(F.col("votes") / F.lit(float(d)) + 0.5), F.col("most")).cast("long")
+    all_votes, least, room = cells.filter("most > 0").agg(F.sum("votes"), F.min(F.when(F.col("votes") > 0, F.col("votes"))), F.sum("most")).first()
+    seats = int(min(seats, room or 0))
+    if not seats or not least:
+        return cells.withColumn("quota", F.lit(0).cast("long"))
+    low, high = least * 1e-18, 4 * all_votes
+    while True:
+        spread = np.geomspace(low, high, DIVISORS + 2) if high > 2 * low else np.linspace(low, high, DIVISORS + 2)
+        tried = np.unique(spread[(spread > low) & (spread < high)])
+        if not len(tried):
+            break
+        sums = {r["divisor"]: r["seats"] for r in cells.select("votes", "most").mapInArrow(partial(_given, divisors=tried), "divisor int, seats long").groupBy("divisor").agg(F.sum("seats").alias("seats")).collect()}
+        enough = [d for i, d in enumerate(tried) if sums[i] >= seats]
+        few = [d for i, d in enumerate(tried) if sums[i] < seats]
+        low, high = max([low, *enough]), min([high, *few])
+    rows = cells.withColumns({"quota": given(high), "_more": given(low)})
+    left = seats - (rows.agg(F.sum("quota")).first()[0] or 0)
+    ties = reliable(rows.filter("_more > quota").select(F.struct("number", "shard").alias("key"), F.lit(1).alias("n")))
+    one = most_frequent(ties, left).select("key.number", "key.shard", F.lit(1).alias("_one"))
+    return rows.join(one, ["number", "shard"], "left").withColumn("quota", F.col("quota") + F.coalesce("_one", F.lit(0))).drop("_more", "_one")
+
+
 def _taken(sizes: np.ndarray, quota: int, block: int, luck: int) -> np.ndarray:
     """Words taken of documents that lie end to end, if quota blocks of the line are taken."""
     total = int(sizes.sum())
@@ -123,14 +165,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     numbered = rows.join(F.broadcast(table) if len(sources) <= 100_000 else table, rows["source"].eqNullSafe(table["source"])).drop("source")
     cell = F.pmod(F.xxhash64("id", ROW_KEY, F.lit(seed)), F.col("shards")).cast("int")
     numbered = numbered.withColumn("shard", cell)
-    cells = sorted(((r["number"], r["shard"], r["words"]) for r in numbered.groupBy("number", "shard").agg(F.sum("size").alias("words")).toLocalIterator()), key=lambda r: r[:2])
     smallest = min((g for g in goals if g > 0), default=1.0)
     block = max(1, min(BLOCK_WORDS, int(smallest // 256)))
-    words = np.array([w for _, _, w in cells], np.float64)
-    votes = np.array([goals[i] * w / sizes[i] if sizes[i] else 0.0 for i, _, w in cells])
-    most = np.floor(REPEATS) * np.ceil(words / block)
-    quotas = sainte_lague(votes, round(sum(goals) / block), most) if cells else np.zeros(0, np.int64)
-    quota = spark.createDataFrame([(i, s, int(q)) for (i, s, _), q in zip(cells, quotas, strict=True)], "number int, shard int, quota long")
+    cells = numbered.groupBy("number", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("whole"))
+    votes = F.when(F.col("whole") > 0, F.col("target") * F.col("words") / F.col("whole")).otherwise(0.0)
+    quota = quotas(reliable(cells.select("number", "shard", votes.alias("votes"), (math.floor(REPEATS) * F.ceil(F.col("words") / block)).alias("most"))), round(sum(goals) / block)).select("number", "shard", "quota")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,20 +178,22 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         pdf["copies"] = copies_of(pdf["size"].to_numpy(np.int64), pdf["taken"].to_numpy(np.int64))
         return pdf[["id", ROW_KEY, "size", "source_size", "target", "taken", "copies"]]
 
-    placed = numbered.join(F.broadcast(quota) if len(cells) <= 1_000_000 else quota, ["number", "shard"]).withColumn("luck", F.xxhash64(ROW_KEY, "id", F.lit(seed + 1)))
+    placed = numbered.join(quota, ["number", "shard"]).withColumn("luck", F.xxhash64(ROW_KEY, "id", F.lit(seed + 1)))
     made = placed.drop("shards").groupBy("number", "shard").applyInPandas(select, f"id {kind}, {ROW_KEY} long, size long, source_size long, target double, taken long, copies int")
     return made.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies", ROW_KEY)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Documents as often as the mixture takes them: not at all, once or twice, with all their columns. A document without
-    words stays. Of rows that repeat, copies are made as for all of them."""
-    made = mixture(docs, id_col, text_col, source_col).groupBy(ROW_KEY).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    """Documents as often as the mixture takes them: not at all, once or twice, with all their columns, whatever their names.
+    A document without words stays. Of rows that share id and text, copies are made as for all of them, of the one whose
+    columns hash lowest."""
+    made = mixture(docs, id_col, text_col, source_col).groupBy(ROW_KEY).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("times"))
     made = reliable(made)
     keyed = docs.withColumn(ROW_KEY, row_key(id_col, text_col))
-    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    out = keyed.join(made.filter("_copies > 0 and _rows = 1"), ROW_KEY).select(*docs.columns, repeat.alias("_copy"))
-    twins = made.filter("_copies > 0 and _rows > 1")
+    whole = lambda df: df.select(ROW_KEY, F.struct(*docs.columns).alias("document"))
+    out = whole(keyed).join(made.filter("copies > 0 and times = 1"), ROW_KEY)
+    twins = made.filter("copies > 0 and times > 1")
     if not twins.isEmpty():
-        out = out.unionByName(keyed.join(twins, ROW_KEY).dropDuplicates([ROW_KEY]).select(*docs.columns, repeat.alias("_copy")))
-    return out.drop("_copy")
+        out = out.unionByName(whole(one_of_each(keyed.join(twins.select(ROW_KEY), ROW_KEY, "left_semi"))).join(twins, ROW_KEY))
+    out = out.select("document", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])

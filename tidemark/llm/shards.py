@@ -17,19 +17,32 @@ from tidemark.llm.common import reliable
 OVERSAMPLE = 16
 RANGE_ROWS = 20_000
 MIN_RANGES, MAX_RANGES = 256, 1 << 17
-#: A range is overfull beyond this many times its fair share; it is split at most ROUNDS times.
+#: A range is overfull beyond this many times its fair share; it is split as long as new boundaries part it.
 OVERFULL = 3.0
-ROUNDS = 4
+#: Bits of a key, and the most of its first bits that the table of boundaries is joined by.
+KEY_BITS, PREFIX_BITS = 63, 16
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most key, by binary search in a literal array."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*map(F.lit, bounds))
-    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
-    n = len(bounds)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, s: F.when((lo + s <= n) & (F.element_at(table, F.least(lo + s, F.lit(n))) <= key), lo + s).otherwise(lo))
+def _upto(key: Column, bounds: Column, most: int) -> Column:
+    """How many of the sorted bounds, most of them at most, are not above key, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(bounds, at + s) <= key, F.lit(False)), at + s).otherwise(at))
+
+
+def _ranged(rows: DataFrame, bounds: list[int], measures: dict[int, tuple] | None = None, names: str = "") -> DataFrame:
+    """rows with range, the number of sorted bounds that are not above key; and with the measures of their range. Boundaries
+    come by a broadcast join on the key's first bits; the table has as many rows as there can be first bits, 65,536 at most."""
+    spark, power = rows.sparkSession, min(PREFIX_BITS, max(4, len(bounds).bit_length()))
+    width = KEY_BITS - power
+    cuts = [bisect.bisect_left(bounds, p << width) for p in range((1 << power) + 1)]
+    table = [(p, cuts[p], bounds[cuts[p] : cuts[p + 1]]) for p in range(1 << power)]
+    found = spark.createDataFrame(table, "_prefix long, _base int, _bounds array<long>")
+    longest = max(1, *(len(b) for _, _, b in table))
+    out = rows.withColumn("_prefix", F.shiftright("key", width)).join(F.broadcast(found), "_prefix")
+    out = out.withColumn("range", F.col("_base") + _upto(F.col("key"), F.col("_bounds"), longest)).select(*rows.columns, "range")
+    if measures is not None:  # a line per range, of which there are about MAX_RANGES at most
+        out = out.join(F.broadcast(spark.createDataFrame([(r, *m) for r, m in measures.items()], f"range int, {names}")), "range")
+    return out
 
 
 def _sample(rows: DataFrame, rate: float, n: int, total: int) -> list[int]:
@@ -54,14 +67,14 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     ranges = max(MIN_RANGES, min(MAX_RANGES, n // RANGE_ROWS))
     sample = _sample(rows, ranges * OVERSAMPLE, n, total)
     bounds = sorted(set(sample[OVERSAMPLE::OVERSAMPLE]))
-    for _ in range(ROUNDS):
+    while True:
         sums = _sums(rows, bounds)
         fair = lambda s: max(s[0] / max(1, total), s[1] / max(1, n)) * ranges
         full = {r: fair(s) for r, s in sums.items() if fair(s) > OVERFULL}
         if not full:
             break
         # overfull ranges are sampled anew, as densely as their weight asks; a single key can't be parted further
-        more = _sample(rows.filter(_range_of(F.col("key"), bounds).isin(*sorted(full)[:1000])), ranges * OVERSAMPLE * 4, n, total)
+        more = _sample(_ranged(rows, bounds, {r: (True,) for r in full}, "full boolean").drop("full", "range"), ranges * OVERSAMPLE * 4, n, total)
         by: dict[int, list[int]] = {}
         for k in more:
             by.setdefault(bisect.bisect_right(bounds, k), []).append(k)
@@ -69,17 +82,16 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         if not new:
             break
         bounds = sorted({*bounds, *new})
-    sums = _sums(rows, bounds)
-    before_bytes, before_rows, b, c = [], [], 0, 0
+    before, b, c = {}, 0, 0
     for r in range(len(bounds) + 1):
-        before_bytes.append(b)
-        before_rows.append(c)
+        before[r] = (b, c)
         b, c = b + sums.get(r, (0, 0))[0], c + sums.get(r, (0, 0))[1]
-    at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range") + 1)
     inside = Window.partitionBy("range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("range", _range_of(F.col("key"), bounds)).withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)})
-    middle = (at(before_bytes) + F.col("upto")) * 2 - F.col("size")
-    placed = placed.select("id", "size", "crc", F.least(F.lit(n_shards - 1), F.floor(middle * F.lit(n_shards) / F.lit(max(1, 2 * total)))).cast("int").alias("shard"), (at(before_rows) + F.col("nth") - 1).alias("rank"))
+    # partitioned by range, which is what the window asks for: no second shuffle
+    placed = _ranged(rows, bounds, before, "before_bytes long, before_rows long").repartitionByRange("range")
+    placed = placed.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)})
+    middle = (F.col("before_bytes") + F.col("upto")) * 2 - F.col("size")
+    placed = placed.select("id", "size", "crc", F.least(F.lit(n_shards - 1), F.floor(middle * F.lit(n_shards) / F.lit(max(1, 2 * total)))).cast("int").alias("shard"), (F.col("before_rows") + F.col("nth") - 1).alias("rank"))
     placed = reliable(placed)
     first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
     starts = F.array(*[F.lit(first.get(s, 0)).cast("long") for s in range(n_shards)])
@@ -88,5 +100,5 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
 
 def _sums(rows: DataFrame, bounds: list[int]) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each range: one line per range reaches the driver."""
-    made = rows.groupBy(_range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    made = _ranged(rows, bounds).groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     return {r["range"]: (r["b"], r["n"]) for r in made.toLocalIterator()}
