@@ -319,6 +319,37 @@ def test_grammar_reads_scopes():
     assert out[0] == "insult" and out[2].endswith("|aimed") and out[5].endswith("|negated") and not out[7].endswith("negated") and out[10].endswith("|reported")
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_readings_are_those_of_a_plain_reader(seed):
+    """Aimed: a target within reach on either side; negated: a negation within reach before; reported: any report before."""
+    rng = random.Random(seed)
+    words_ = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(1, 30))]
+    want = []
+    for i, x in enumerate(words_):
+        if x not in toxicity.HITS:
+            want.append(None)
+            continue
+        near = words_[max(0, i - toxicity.AIMED) : i] + words_[i + 1 : i + 1 + toxicity.AIMED]
+        want.append("reported" if "report" in words_[:i] else "negated" if "negation" in words_[max(0, i - toxicity.NEGATED) : i] else "aimed" if "target" in near else "bare")
+    assert toxicity.readings(words_, toxicity.grammar(), toxicity.aim()) == want
+
+
+def test_features_by_hand_and_the_order_of_readings():
+    lexicon, machines = toxicity.Lexicon({"grob$": 4.0, "zzfi": 2.0}), (toxicity.grammar(), toxicity.aim())
+    got = toxicity.features("You grob zzfies! A plain clause. He said you grob; not grob\nI will kill", lexicon, machines)
+    first, second, third = 1.5 * (4 + 2), 0.5 * 4, 0.25 * 4
+    assert got == pytest.approx([math.log1p(first + second + third), math.log1p(1.5 * 2 + 0.5 + 0.25), math.log1p(1.0), first])
+    assert toxicity.features("no word of it", lexicon, machines).tolist() == [0, 0, 0, 0]
+    rng = np.random.default_rng(3)
+    x = rng.random((200, 4)) * [2, 1, 1, 6]
+    for y in ((x[:, 0] > 1).astype(float), (x[:, 0] < 1).astype(float), rng.integers(0, 2, 200).astype(float)):
+        w = toxicity.monotone(x, y)
+        assert (w[:-1] >= 0).all()
+    w = toxicity.monotone(x, (x[:, 3] + x[:, 0] > 4).astype(float))
+    score = [toxicity.features(t, lexicon, machines) @ w[:-1] + w[-1] for t in ("you grob", "some grob", "he said some grob", "it is not grob", "some words")]
+    assert score == sorted(score, reverse=True) and len(set(score)) == 5
+
+
 def test_toxicity_learns_words_and_beginnings(spark):
     rng = random.Random(4)
     rows_, labels = [], []

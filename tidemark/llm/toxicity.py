@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A text is cut into clauses; each word of a clause becomes a terminal: insult, threat, target, negation, report, or other.
-Transducers mark what stands in the scope of a negation, what is reported speech and what is aimed at a target; composed,
-they read a clause once and give each insult or threat its reading. Insults are a seed list and what labelled rows add to
-it: words and word beginnings with weights, learnt from a bounded sample. A document's readings, summed by kind, make
-features of a logistic model, which sees each part of the sample through a lexicon learnt from the others."""
+Transducers mark what is aimed at a target, what stands in the scope of a negation and what is reported speech. Aim is read
+from either side: its transducer runs over the reversed clause first, the composed one over the clause. The mark that an
+insult or threat ends with is its reading, and each reading has a weight: an aimed one counts more than a bare one, as in
+a clause that leaves its target out, and far more than a reported or negated one. A clause's score is the sum along its
+path. Insults are a seed list and what labelled rows add to it: words and word beginnings with weights, learnt from a
+bounded sample. A document's matched clauses make features of a logistic model whose weights are never negative, so among
+texts of the same words the order of the readings is that of the scores. The model sees each part of the sample through a
+lexicon learnt from the others."""
 
 from __future__ import annotations
 
@@ -42,8 +46,8 @@ SEEDS = {
     "report": "said says reported quoted according called wrote sagte laut schrieb zitierte dit selon écrit dijo según escribió",
 }
 OTHER = "other"
-#: What a reading can be; each has a sum of weights and a count among the features.
-READINGS = ("plain", "aimed", "negated", "reported")
+#: What a reading counts for.
+READINGS = {"bare": 1.0, "aimed": 1.5, "reported": 0.5, "negated": 0.25}
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n\r]+(?:\s|$)|\n")
@@ -88,16 +92,34 @@ def compose(first: Transducer, second: Transducer, symbols: tuple[str, ...]) ->
     return Transducer(arcs, {})
 
 
-SYMBOLS = ("insult", "threat", "target", "negation", "report", OTHER)
+HITS = ("insult", "threat")
+SYMBOLS = (*HITS, "target", "negation", "report", OTHER)
+#: What the reversed reading leaves for the other: symbols, and hits that a target follows.
+ONCE_READ = (*SYMBOLS, *(f"{h}|aimed" for h in HITS))
+
+
+def aim() -> Transducer:
+    return _scope("target", AIMED, "aimed", HITS)
 
 
 def grammar() -> Transducer:
     """Report over negation over aim: the last mark of a symbol decides its reading."""
-    hits = ("insult", "threat")
-    aim = _scope("target", AIMED, "aimed", hits)
-    negate = _scope("negation", NEGATED, "negated", (*hits, *(f"{h}|aimed" for h in hits)))
-    report = _scope("report", None, "reported", tuple(f"{h}{a}{n}" for h in hits for a in ("", "|aimed") for n in ("", "|negated")))
-    return compose(compose(aim, negate, SYMBOLS), report, SYMBOLS)
+    negate = _scope("negation", NEGATED, "negated", (*HITS, *(f"{h}|aimed" for h in HITS)))
+    report = _scope("report", None, "reported", tuple(f"{h}{a}{n}" for h in HITS for a in ("", "|aimed") for n in ("", "|negated")))
+    return compose(compose(aim(), negate, ONCE_READ), report, ONCE_READ)
+
+
+def readings(terminals: list[str], machine: Transducer, backward: Transducer) -> list[str | None]:
+    """The reading of each insult or threat of a clause; None of other words."""
+    state, marked = 0, []
+    for x in reversed(terminals):
+        x, state = backward.step(state, x)
+        marked.append(x)
+    state, out = 0, []
+    for x, kind in zip(reversed(marked), terminals, strict=True):
+        x, state = machine.step(state, x)
+        out.append((x.rpartition("|")[2] if "|" in x else "bare") if kind in HITS else None)
+    return out
 
 
 class Lexicon:
@@ -129,36 +151,29 @@ def entries(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in BEGINNINGS if len(word) > n)]
 
 
-N_FEATURES = 2 * len(READINGS) + 3
+N_FEATURES = 4
 
 
-def features(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
-    """Sums and counts by reading of insults, those of threats, and the heaviest insult; counts on a log scale."""
-    out = np.zeros(N_FEATURES)
+def features(text: str, lexicon: Lexicon, machines: tuple[Transducer, Transducer]) -> np.ndarray:
+    """Of the clauses that match: the sum of their scores for insults, how many insults that makes by reading, the same for
+    threats (all on a log scale), and the score of the heaviest clause."""
+    total = hits = threats = best = 0.0
     for clause in _CLAUSE.split(text.lower()):
         terminals = [lexicon(w) for w in _WORD.findall(clause)]
-        if not any(k in ("insult", "threat") for k, _ in terminals):
+        kinds = [k for k, _ in terminals]
+        if not ("insult" in kinds or "threat" in kinds):
             continue
-        state = 0
-        # a target may follow what is aimed at it: the clause is read both ways, and either aim counts
-        aims = set()
-        for i in range(len(terminals) - 1, -1, -1):
-            if terminals[i][0] == "target":
-                aims.update(range(max(0, i - AIMED), i))
-        for i, (kind, weight) in enumerate(terminals):
-            symbol, state = machine.step(state, kind)
-            if kind not in ("insult", "threat"):
+        score = 0.0
+        for (kind, weight), reading in zip(terminals, readings(kinds, *machines), strict=True):
+            if reading is None:
                 continue
-            reading = symbol.rpartition("|")[2] if "|" in symbol else ("aimed" if i in aims else "plain")
             if kind == "threat":
-                out[-2 if reading == "aimed" else -3] += 1
-                continue
-            r = READINGS.index(reading)
-            out[r] += weight
-            out[len(READINGS) + r] += 1
-            out[-1] = max(out[-1], weight)
-    out[:-1] = np.log1p(out[:-1])
-    return out
+                threats += READINGS[reading]
+            else:
+                score += READINGS[reading] * weight
+                hits += READINGS[reading]
+        total, best = total + score, max(best, score)
+    return np.array([math.log1p(total), math.log1p(hits), math.log1p(threats), best])
 
 
 COUNTS = [f"{kind}{part}" for part in range(PARTS) for kind in ("clean", "toxic")]
@@ -192,7 +207,7 @@ def _weight(toxic, clean, n_toxic: int, n_clean: int):
 
 
 def _featurize(batches, lexica):
-    own, machine = [Lexicon(x) for x in lexica.value], grammar()
+    own, machine = [Lexicon(x) for x in lexica.value], (grammar(), aim())
     for batch in batches:
         x = [features(t.decode("utf-8", "replace"), own[p], machine) for t, p in zip(texts(batch), batch.column("part").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
@@ -213,6 +228,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def monotone(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same, with no weight but the constant below zero: features that would get one are left out in turn."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = logistic(x * used, y)
+        low = np.where(used, w[:-1], 0.0)
+        if low.min(initial=0.0) >= 0:
+            return np.append(np.where(used, w[:-1], 0.0), w[-1])
+        used[low.argmin()] = False
+
+
 class Model(NamedTuple):
     lexicon: dict[str, float]
     weights: np.ndarray
@@ -220,7 +246,7 @@ class Model(NamedTuple):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most SAMPLE labelled rows that aren't held out; rows without a label or an id teach nothing. Of
-    labels that repeat, toxic prevails; texts that repeat in the sample teach once."""
+    labels that repeat, for an id or for a text, toxic prevails; texts that repeat in the sample teach once."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.filter("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -229,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.orderBy(luck, "id").limit(SAMPLE).withColumn("part", F.pmod(F.xxhash64("id", F.lit(31)), F.lit(PARTS)).cast("int"))
     texts_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("toxic", "part", "text")
     # the sample has a bound, and so has what is kept of it between the two uses
-    rows = texts_.dropDuplicates(["text"]).persist()
+    rows = texts_.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("part").alias("part")).persist()
     try:
         n = {(r["toxic"], r["part"]): r["n"] for r in rows.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
         counted = rows.mapInArrow(_lexicon_rows, "entry string, " + ", ".join(f"{c} int" for c in COUNTS)).groupBy("entry").agg(*(F.sum(c).alias(c) for c in COUNTS))
@@ -248,8 +274,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = np.array([r["x"] for r in taught] or np.zeros((0, N_FEATURES)))
     y = np.array([r["toxic"] for r in taught], float)
     # one row of each kind by hand, so that a sample of one class or none still gives a model
-    x, y = np.vstack([x, np.zeros(N_FEATURES), np.full(N_FEATURES, math.log1p(4.0))]), np.append(y, [0.0, 1.0])
-    return Model(lexica[-1], logistic(x, y))
+    x, y = np.vstack([x, np.zeros(N_FEATURES), [math.log1p(6.0), math.log1p(2.0), math.log1p(1.0), 6.0]]), np.append(y, [0.0, 1.0])
+    return Model(lexica[-1], monotone(x, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +285,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(batches):
-        lexicon, machine, w = Lexicon(shared.value.lexicon), grammar(), shared.value.weights
+        lexicon, machine, w = Lexicon(shared.value.lexicon), (grammar(), aim()), shared.value.weights
         for batch in batches:
             z = np.array([features(t.decode("utf-8", "replace"), lexicon, machine) @ w[:-1] + w[-1] for t in texts(batch)], float)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -275,7 +301,7 @@ def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     place = docs.columns.index(text_col)
 
     def made(batches):
-        lexicon, machine, w = Lexicon(shared.value.lexicon), grammar(), shared.value.weights
+        lexicon, machine, w = Lexicon(shared.value.lexicon), (grammar(), aim()), shared.value.weights
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
             clean = [features(t.decode("utf-8", "replace"), lexicon, machine) @ w[:-1] + w[-1] < 0 for t in texts(named)]
