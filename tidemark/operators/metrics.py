@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,25 +55,37 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:
 
 
 def top_share_mean(df: DataFrame, score: str, id_col: str, value: str, share: int = 10) -> DataFrame:
-    """The mean of value over the best tenth by score (one row at least)."""
-    n = df.count()
-    most = max(1, n // share)
-    return df.orderBy(F.desc(score), F.asc(id_col)).limit(most).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    """The mean of value over the best tenth by score (one row at least). Scores are counted and summed first, so whole
+    scores never meet in a task; of the score at the border only, the least ids fill what is left."""
+    per = df.groupBy((-F.col(score)).alias("_o")).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    upto = running_total(per, [], "_o", "_n", "_upto").persist()
+    try:
+        n = upto.agg(F.sum("_n")).first()[0] or 0
+        most = max(1, n // share)
+        border = upto.filter(F.col("_upto") > most).agg(F.min(F.struct("_o", F.lit(most) - (F.col("_upto") - F.col("_n"))))).first()[0]
+        taken = upto.filter(F.col("_upto") <= most).agg(F.sum("_n"), F.sum("_s"), F.sum("_c")).first()
+    finally:
+        upto.unpersist()
+    rest = df.filter(F.lit(False)) if border is None else df.filter(-F.col(score) == F.lit(border[0])).orderBy(F.asc(id_col)).limit(border[1])
+    total, seen, known = (x or 0 for x in taken)
+    return rest.agg((F.count("*") + F.lit(total)).alias("n"), F.try_divide(F.coalesce(F.sum(value), F.lit(0)) + F.lit(float(seen)), F.count(value) + F.lit(known)).alias("mean"))
 
 
 def bootstrap_auc(df: DataFrame, id_col: str, rounds: int = 200, seed: int = 7, least: int = 20) -> DataFrame:
-    """low and high: a 95 percent interval of AUC. Each row is drawn a Poisson(1) number of times per round, decided by a
-    hash of its id, so rows need not meet and reruns agree. Rows of equal p are summed up first: what is multiplied by the
-    rounds is the distinct predictions."""
-    u = F.pmod(F.xxhash64(id_col, "round", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times, tail, term = F.lit(0), 1.0, 0.36787944117144233
-    edge = 0.0
-    for k in range(8):
-        edge += term
-        times = times + (u >= edge).cast("int")
-        term /= k + 1
-    drawn = df.select(id_col, "p", "y", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("times", times)
-    per = drawn.groupBy("round", "p").agg(F.sum(F.col("times") * F.col("y")).alias("pos"), F.sum(F.col("times") * (1 - F.col("y"))).alias("neg"))
+    """low and high: a 95 percent interval of AUC. Each row is drawn a Poisson(1) number of times per round; rows of equal p
+    and y are counted first, since what they are drawn together is a Poisson number of their count. The generator starts
+    from p, y and seed, so reruns agree however the rows are partitioned."""
+
+    def draw(frames):
+        for pdf in frames:
+            out = []
+            for p, y, n in pdf.itertuples(index=False):
+                times = np.random.default_rng([seed, int(np.float64(p).view(np.uint64)), int(y)]).poisson(n, rounds)
+                out.append(pd.DataFrame({"round": np.arange(1, rounds + 1, dtype=np.int32), "p": p, "pos": times * int(y), "neg": times * (1 - int(y))}))
+            yield pd.concat(out) if out else pd.DataFrame({"round": [], "p": [], "pos": [], "neg": []})
+
+    drawn = df.filter("p is not null and y is not null").groupBy(F.col("p").cast("double").alias("p"), "y").agg(F.count("*").alias("n")).mapInPandas(draw, "round int, p double, pos long, neg long")
+    per = drawn.groupBy("round", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     below = running_total(per, ["round"], "p", "neg", "upto")
     each = below.groupBy("round").agg(F.try_divide(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc")).filter("auc is not null")
     at = lambda q: F.element_at(F.sort_array(F.collect_list("auc")), F.least(F.floor(F.count("*") * q).cast("int") + 1, F.count("*").cast("int")))

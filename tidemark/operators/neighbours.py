@@ -1,16 +1,47 @@
-"""Nearest neighbours in z-score space, with missing dimensions; and over embedding vectors."""
+"""Nearest neighbours in z-score space, with missing dimensions; and over embedding vectors.
+
+Targets and queries are a stated set. They are broadcast in blocks of a bounded number of rows; each task holds its batches
+against a block by matrix operations and keeps the k best of each target, so what shuffles is k rows per target and batch."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed: what each missing dimension adds, how far a neighbour may be, values a feature needs, dimensions a pair needs.
 PENALTY, FARTHEST, LEAST_VALUES, LEAST_DIMENSIONS = 0.25, 2.0, 5, 2
-#: Rows of targets that are compared with all candidates at once, if targets are given; the side that is broadcast.
-TARGETS_AT_ONCE = 20_000
+#: Targets that are broadcast at once, and candidates that are compared with them at once.
+BLOCK, AT_ONCE = 4096, 1024
+
+
+def _blocks(df: DataFrame, id_col: str) -> Iterator[pd.DataFrame]:
+    """The rows of df, some BLOCK at a time; a block has the ids that hash to it, so no more than one is on the driver."""
+    n = -(-df.count() // BLOCK)
+    for i in range(n):
+        block = df.filter(F.pmod(F.xxhash64(id_col), F.lit(n)) == i).toPandas()
+        if len(block):
+            yield block
+
+
+def _best(candidates: DataFrame, blocks: Iterator[pd.DataFrame], schema: str, best: Callable) -> DataFrame | None:
+    """What best(a block's frame, a batch of candidates) keeps, over all blocks."""
+    share, out = candidates.sparkSession.sparkContext.broadcast, None
+    for block in blocks:
+        shared = share(block)
+
+        def made(batches, shared=shared):
+            for batch in batches:
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    yield pa.RecordBatch.from_pandas(best(shared.value, batch.slice(at, AT_ONCE).to_pandas()), preserve_index=False)
+
+        found = candidates.mapInArrow(made, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def zscores(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
@@ -22,32 +53,37 @@ def zscores(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
 
 def nearest(targets: DataFrame, candidates: DataFrame, features: list[str], by: list[str], id_col: str, k: int = 8) -> DataFrame:
     """(target, neighbour, distance, adjusted, dims, nth): up to k candidates of the same group within FARTHEST, by
-    distance over shared dimensions times a penalty for missing ones.
-
-    An adjusted distance of at most FARTHEST bounds each single coordinate: over d shared dimensions of u, a coordinate
-    differs by at most FARTHEST * sqrt(d), so rows meet only in neighbouring cells of the first feature that both have;
-    rows that lack it meet in a cell of their own. Targets are a stated query set, no table against itself."""
-    z = zscores(candidates, features, by)
-    stats = [f"z_{f}" for f in features]
-    width = FARTHEST * len(features) ** 0.5
-    lead = F.coalesce(F.floor(F.col(stats[0]) / width), F.lit(-(1 << 40)))
-    t = z.join(targets.select(id_col).distinct(), id_col, "left_semi").select(*by, F.col(id_col).alias("target"), *[F.col(s).alias(f"t{s}") for s in stats], lead.alias("_cell"))
-    # where either side lacks the first feature, all cells are searched: that side is told apart by its own cell
-    cells = z.select(*by, lead.alias("_cell")).distinct()
-    some = t.filter(f"t{stats[0]} is not null")
-    near = some.withColumn("_cell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1, F.lit(-(1 << 40)))))
-    none = t.filter(f"t{stats[0]} is null").drop("_cell").join(cells, by)
-    c = z.select(*by, F.col(id_col).alias("neighbour"), *stats, lead.alias("_cell"))
-    pairs = c.join(near.unionByName(none), [*by, "_cell"]).filter("target <> neighbour")
-    both = [F.col(s).isNotNull() & F.col(f"t{s}").isNotNull() for s in stats]
-    dims = reduce(lambda a, b: a + b, (x.cast("int") for x in both))
-    usable = reduce(lambda a, b: a + b, (F.col(f"t{s}").isNotNull().cast("int") for s in stats))
-    square = reduce(lambda a, b: a + b, (F.when(x, F.pow(F.col(s) - F.col(f"t{s}"), F.lit(2))).otherwise(0.0) for x, s in zip(both, stats, strict=True)))
-    d = pairs.withColumns({"dims": dims, "_usable": usable, "_sq": square}).filter(f"dims >= {LEAST_DIMENSIONS}")
-    d = d.withColumn("distance", F.sqrt(F.col("_sq") / F.col("dims"))).withColumn("adjusted", F.col("distance") * (1 + PENALTY * (F.col("_usable") - F.col("dims")))).filter(F.col("adjusted") <= FARTHEST)
+    distance over shared dimensions times a penalty for missing ones. Targets are a stated query set, no table against
+    itself."""
+    zs = [f"z_{f}" for f in features]
+    z = zscores(candidates, features, by).select(F.col(id_col).alias("id"), F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by]).alias("group"), *zs)
+    t = z.join(targets.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    kind = dict(candidates.dtypes)[id_col]
+
+    def best(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for group, mine in own.groupby("group"):
+            at = block[block["group"] == group]
+            a, c = at[zs].to_numpy(float)[:, None, :], mine[zs].to_numpy(float)[None, :, :]
+            gap = a - c
+            both = ~np.isnan(gap)
+            dims, usable = both.sum(axis=2), (~np.isnan(a)).sum(axis=2)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                distance = np.sqrt((np.where(both, gap, 0.0) ** 2).sum(axis=2) / dims)
+            adjusted = distance * (1 + PENALTY * (usable - dims))
+            ok = (dims >= LEAST_DIMENSIONS) & (adjusted <= FARTHEST) & (at["id"].to_numpy()[:, None] != mine["id"].to_numpy()[None, :])
+            i, j = np.nonzero(ok)
+            out.append(pd.DataFrame({"target": at["id"].to_numpy()[i], "neighbour": mine["id"].to_numpy()[j], "distance": distance[i, j], "adjusted": adjusted[i, j], "dims": dims[i, j].astype(np.int32)}))
+        found = pd.concat(out) if out else pd.DataFrame({"target": [], "neighbour": [], "distance": [], "adjusted": [], "dims": np.array([], np.int32)})
+        found = found.assign(near=found["adjusted"].astype(float).round(9), few=-found["dims"]).sort_values(["target", "near", "few", "neighbour"])
+        return found.groupby("target").head(k)[["target", "neighbour", "distance", "adjusted", "dims"]]
+
+    d = _best(z, _blocks(t, "id"), f"target {kind}, neighbour {kind}, distance double, adjusted double, dims int", best)
+    if d is None:
+        return z.sparkSession.createDataFrame([], f"target {kind}, neighbour {kind}, distance double, adjusted double, dims int, nth int")
     # distances that differ by rounding alone are ties
     w = Window.partitionBy("target").orderBy(F.round("adjusted", 9), F.desc("dims"), "neighbour")
-    return d.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k).select("target", "neighbour", "distance", "adjusted", "dims", "nth")
+    return d.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
 
 
 def summary(matches: DataFrame, returns: DataFrame, id_col: str, value: str) -> DataFrame:
@@ -58,13 +94,27 @@ def summary(matches: DataFrame, returns: DataFrame, id_col: str, value: str) ->
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
-    """(query, neighbour, score, nth) by cosine: queries are a stated set, sent to the vectors in blocks; each task keeps
-    the k best of its own before anything shuffles."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = lambda v: F.transform(F.col(v), lambda x: x.cast("double") / norm(F.col(v)))
-    q = queries.select(F.col(id_col).alias("query"), unit(vector).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(16)).cast("int").alias("_block"))
-    v = vectors.select(F.col(id_col).alias("neighbour"), unit(vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_block"))
-    dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    s = v.join(q, "_block").filter("query <> neighbour").select("query", "neighbour", dot.alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
+    """(query, neighbour, score, nth) by cosine, exactly: all vectors against a stated set of queries. Null and zero vectors
+    have no neighbours. Scores that differ by rounding alone are ties."""
+    kind = dict(vectors.dtypes)[id_col]
+    some = lambda df: df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(e, float) for e in v])
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def best(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = np.nan_to_num(unit(block["v"]) @ unit(own["v"]).T, nan=-2.0)
+        ids, asked = own["id"].to_numpy(), block["id"].to_numpy()
+        score[asked[:, None] == ids[None, :]] = -2.0
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 12)), axis=1)[:, :k]
+        found = np.take_along_axis(score, order, axis=1)
+        i, j = np.nonzero(found > -1.5)
+        return pd.DataFrame({"query": asked[i], "neighbour": ids[order[i, j]], "score": found[i, j]})
+
+    s = _best(some(vectors), _blocks(some(queries), "id"), f"query {kind}, neighbour {kind}, score double", best)
+    if s is None:
+        return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, score double, nth int")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "neighbour")
     return s.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)

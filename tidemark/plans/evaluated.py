@@ -80,33 +80,43 @@ def walk_forward_logistic(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("year").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("base").alias("base"), F.avg(F.pow(F.col("p") / 100 - F.col("y"), F.lit(2))).alias("brier"))
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, x AS (SELECT a.toxic, sum(CASE WHEN a.p > b.p THEN 1.0e0 WHEN a.p = b.p THEN 0.5e0 ELSE 0 END) / count(*) AS auc FROM pairs a JOIN pairs b USING (toxic) WHERE a.y = 1 AND b.y = 0 GROUP BY 1),
+    w AS (SELECT sum(CASE WHEN a.p > b.p THEN 1.0e0 WHEN a.p = b.p THEN 0.5e0 ELSE 0 END) / count(*) AS auc FROM pairs a, pairs b WHERE a.y = 1 AND b.y = 0),
+    e AS (SELECT sum(n * abs(predicted - actual) / 100) / sum(n) AS ece FROM (SELECT least(floor(p / 10), 9) AS bin, count(*) AS n, avg(p) AS predicted, avg(y) * 100 AS actual FROM pairs GROUP BY 1)),
+    m AS (SELECT count(*) AS n, avg(power(p / 100 - y, 2)) AS brier, avg(y) * (1 - avg(y)) AS base FROM pairs), s AS (SELECT avg(CASE WHEN auc > 0.5 THEN 1.0e0 ELSE 0 END) AS stable, count(*) AS folds FROM x),
+    g AS (SELECT n, auc, ece, stable, folds, CASE WHEN base > 0 AND brier < base THEN (base - brier) / base ELSE 0 END AS gain FROM m, w, e, s),
+    t AS (SELECT *, n >= 100 AND auc >= 0.58 AND gain > 0 AND stable >= 0.6 AS screening, n >= 300 AND auc >= 0.60 AND gain >= 0.02 AND stable >= 0.7 AND folds >= 3 AS production FROM g)
+    SELECT unnest(['screening', 'production', 'probability', 'stable_share', 'brier_gain']) AS tier, unnest([CAST(screening AS DOUBLE), CAST(production AS DOUBLE), 0.0e0, stable, {r4("gain")}]) AS "value" FROM t""")
 def release_gate(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
     per = {r["toxic"]: r["auc"] for r in metrics.auc(p, "toxic").collect()}
     b, rate = metrics.brier(p).first(), p.agg(F.avg("y")).first()[0]
     got = metrics.release_gate({"n": b["n"], "brier": b["brier"], "auc": metrics.auc(p).first()["auc"], "ece": metrics.ece(p).first()["ece"]}, rate * (1 - rate), list(per.values()))
-    return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "tier string, value double")
+    return _rounded(spark.createDataFrame([(k, float(v)) for k, v in got.items()], "tier string, value double"), "value")
 
 
 _F = ["issue_size_m", "cash_m", "total_sub", "ofs_pct"]
 
 
-@query(f"""WITH {ISSUES_SQL}, s AS (SELECT country, {", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s_{f}, count({f}) AS n_{f}" for f in _F)} FROM issues GROUP BY 1),
+_KNN = f"""WITH {ISSUES_SQL}, s AS (SELECT country, {", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s_{f}, count({f}) AS n_{f}" for f in _F)} FROM issues GROUP BY 1),
     z AS (SELECT id, country, {", ".join(f"CASE WHEN n_{f} >= 5 THEN ({f} - m_{f}) / s_{f} END AS z_{f}" for f in _F)} FROM issues JOIN s USING (country)),
     p AS (SELECT t.id AS target, c.id AS neighbour, {" + ".join(f"(CASE WHEN t.z_{f} IS NOT NULL AND c.z_{f} IS NOT NULL THEN 1 ELSE 0 END)" for f in _F)} AS dims, {" + ".join(f"(CASE WHEN t.z_{f} IS NOT NULL THEN 1 ELSE 0 END)" for f in _F)} AS usable, {" + ".join(f"coalesce(power(t.z_{f} - c.z_{f}, 2), 0)" for f in _F)} AS sq FROM z t JOIN z c ON t.country = c.country AND t.id <> c.id WHERE t.id % 20 = 0),
     d AS (SELECT *, sqrt(sq / dims) AS distance, sqrt(sq / dims) * (1 + 0.25e0 * (usable - dims)) AS adjusted FROM p WHERE dims >= 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(adjusted, 9), dims DESC, neighbour) AS nth FROM d WHERE adjusted <= 2)
+    r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(adjusted, 9), dims DESC, neighbour) AS nth FROM d WHERE adjusted <= 2)"""
+
+
+@query(f"""{_KNN}
     SELECT target, neighbour, CAST(dims AS INT) AS dims, {r4("adjusted")} AS adjusted FROM r WHERE nth <= 8""")
 def zscore_knn_topk(spark: SparkSession, d: str) -> DataFrame:
     i = issues(spark, d).select("id", "country", *_F)
     return neighbours.nearest(i.filter("id % 20 = 0"), i, _F, ["country"], "id").select("target", "neighbour", "dims", steady(F.col("adjusted"), 4).alias("adjusted"))
 
 
-@query()
+@query(f"""{_KNN}, j AS (SELECT r.target, i.gmp_pct AS v FROM r JOIN issues i ON i.id = r.neighbour WHERE nth <= 8 AND i.gmp_pct IS NOT NULL)
+    SELECT target, count(*) AS n, {r4("avg(v)")} AS mean, {r4("list_sort(list(v))[count(*) // 2 + 1]")} AS median, {r4("avg(CASE WHEN v > 0 THEN 1.0e0 ELSE 0 END) * 100")} AS success FROM j GROUP BY 1""")
 def similarity_aggregate(spark: SparkSession, d: str) -> DataFrame:
     i = issues(spark, d).select("id", "country", "gmp_pct", *_F)
-    return neighbours.summary(neighbours.nearest(i.filter("id % 20 = 0"), i, _F, ["country"], "id"), i, "id", "gmp_pct")
+    return _rounded(neighbours.summary(neighbours.nearest(i.filter("id % 20 = 0"), i, _F, ["country"], "id"), i, "id", "gmp_pct"), "mean", "median", "success")
 
 
 @query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),

@@ -161,16 +161,21 @@ def scenario_dcf(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", *[steady(F.col(f"{n}_{k}"), 4).alias(f"{n}_{k}") for n in valuation.SCENARIOS for k in ("ev", "fair")])
 
 
-@query(f"""WITH RECURSIVE {_DCF_BASE}, r AS (SELECT *, px * post_issue_shares_m - net AS goal, least(0.40e0, greatest(coalesce(nullif(m0, 0), 0.10e0), coalesce(nullif(m0, 0), 0.10e0) + 0.05e0)) AS m1, CASE WHEN {_IN} THEN 0.13e0 ELSE 0.11e0 END AS wacc FROM m WHERE revenue_m > 0 AND px * post_issue_shares_m IS NOT NULL),
+_HALVED = f"""WITH RECURSIVE {_DCF_BASE}, r AS (SELECT *, px * post_issue_shares_m - net AS goal, least(0.40e0, greatest(coalesce(nullif(m0, 0), 0.10e0), coalesce(nullif(m0, 0), 0.10e0) + 0.05e0)) AS m1, CASE WHEN {_IN} THEN 0.13e0 ELSE 0.11e0 END AS wacc FROM m WHERE revenue_m > 0 AND px * post_issue_shares_m IS NOT NULL),
     s AS (SELECT *, coalesce(nullif(m0, 0), m1) AS ms FROM r),
     b AS (SELECT id, revenue_m, goal, ms, m1, wacc, term, -0.3e0 AS lo, 3.0e0 AS hi, 0 AS step FROM s
-      UNION ALL SELECT id, revenue_m, goal, ms, m1, wacc, term, CASE WHEN {_ev('((lo + hi) / 2)', 'ms', 'm1', 'wacc', 'term')} < goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_ev('((lo + hi) / 2)', 'ms', 'm1', 'wacc', 'term')} < goal THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM b WHERE step < 60)
+      UNION ALL SELECT id, revenue_m, goal, ms, m1, wacc, term, CASE WHEN {_ev('((lo + hi) / 2)', 'ms', 'm1', 'wacc', 'term')} < goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_ev('((lo + hi) / 2)', 'ms', 'm1', 'wacc', 'term')} < goal THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM b WHERE step < 60)"""
+
+
+@query(f"""{_HALVED}
     SELECT i.id, {r4("(lo + hi) / 2")} AS implied_cagr FROM issues i LEFT JOIN b ON b.id = i.id AND step = 60""")
 def reverse_dcf_bisection(spark: SparkSession, d: str) -> DataFrame:
     return valuation.implied_growth(issues(spark, d)).select("id", steady(F.col("implied_cagr"), 4).alias("implied_cagr"))
 
 
-@query()
+@query(f"""{_HALVED}, x AS (SELECT m.id, (lo + hi) / 2 AS i, g0, m0, least(0.40e0, greatest(coalesce(nullif(m0, 0), 0.10e0), coalesce(nullif(m0, 0), 0.10e0) + 0.05e0)) AS e FROM m LEFT JOIN b ON b.id = m.id AND step = 60),
+    y AS (SELECT *, CASE WHEN i > 0.35 THEN 2 WHEN i > 0.22 THEN 1 ELSE 0 END + CASE WHEN i > g0 * 1.5e0 THEN 2 WHEN i > g0 * 1.15e0 THEN 1 ELSE 0 END + CASE WHEN e > coalesce(m0, 0) + 0.10e0 THEN 1 ELSE 0 END AS gap FROM x)
+    SELECT CASE WHEN i IS NULL THEN 'INSUFFICIENT DATA' WHEN gap >= 4 THEN 'EXTREME' WHEN gap >= 3 THEN 'HIGH' WHEN gap >= 1 THEN 'MODERATE' ELSE 'LOW' END AS expectations_gap, count(*) AS n FROM y GROUP BY 1""")
 def expectations_gap(spark: SparkSession, d: str) -> DataFrame:
     return valuation.implied_growth(issues(spark, d)).groupBy("expectations_gap").agg(F.count("*").alias("n"))
 
