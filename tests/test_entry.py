@@ -15,22 +15,31 @@ def test_without_the_training_data_part(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
-@pytest.mark.parametrize("name", ["latest_scored", "forward_return_windows", "cross_source_conflicts"])
+TABLES = "/root/testdata/sf0.001"
+
+
+def _names():
+    from tidemark.plans import evaluated, ledger, live, relational, scored, selected, series, textual  # noqa: F401
+    from tidemark.plans.base import ORACLES
+
+    return sorted(ORACLES)
+
+
+@pytest.mark.parametrize("name", _names())
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import os
 
-    d = "/root/testdata/sf0.001"
-    if not os.path.isdir(d):
+    if not os.path.isdir(TABLES):
         pytest.skip("no tables")
-    import __spark_entry__ as e
+    from tidemark.plans.base import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in os.listdir(d):
-        con.sql(f"create view {t.split('.')[0]} as select * from '{d}/{t}'")
-    want = con.sql(e.oracle_sql()[name])
+    for t in os.listdir(TABLES):
+        con.sql(f"create view {t.split('.')[0]} as select * from '{TABLES}/{t}'")
+    want = con.sql(ORACLES[name])
     cols = sorted(want.columns)
-    df = e.queries()[name](spark, d)
+    df = QUERIES[name](spark, TABLES)
     assert sorted(df.columns) == cols
     show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     got = sorted(tuple(map(show, r)) for r in df.select(*cols).collect())

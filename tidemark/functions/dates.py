@@ -68,6 +68,11 @@ def is_annual(start: Column, end: Column) -> Column:
     return F.datediff(end, start).between(350, 380)
 
 
+def as_utc(naive: Column) -> Column:
+    """A time without a zone as one of UTC, whatever the session's zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive.cast("timestamp_ntz")).cast("timestamp")
+
+
 def missing_days(have: DataFrame, day: str, first: str, last: str) -> DataFrame:
     """Business days between first and last that a ledger lacks."""
     spark = have.sparkSession

@@ -47,8 +47,11 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("t"))
 
 
-@query(r"""SELECT doc_id, concat_ws(',', CASE WHEN contains(text, '—') THEN 'dash' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'email' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END,
-    CASE WHEN regexp_matches(text, '(?i)\b(?:api[_-]?key|secret|token|password)\b\s*[:=]\s*["'']?[A-Za-z0-9_\-]{12,}') THEN 'token' END) AS kinds FROM documents""")
+def _kind_sql(kind: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(text, '{pattern.replace(chr(39), chr(39) * 2)}') THEN '{kind}' END"
+
+
+@query(f"SELECT doc_id, concat_ws(',', {', '.join(_kind_sql(k, p) for k, p in sorted(text.SECRETS.items()))}) AS kinds FROM documents")
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(text.findings(F.col("text")), ",").alias("kinds"))
 
