@@ -133,3 +133,34 @@ def test_snapshots_are_written_when_something_moved(spark, tmp_path):
     s = spark.readStream.schema("k long, ts long, v double").parquet(str(src))
     got = live.drained(live.snapshots(s, "k", "ts", "v", 0.1), "snaps", "append", str(tmp_path / "cp")).collect()
     assert sorted((r["k"], r["ts"]) for r in got) == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_limits_do_not_count_what_they_reject(spark, tmp_path):
+    """Against a plain limiter that keeps a list of accepted times per key; files come in several batches."""
+    import datetime
+    import random
+
+    rng, rows = random.Random(2), []
+    start = datetime.datetime(2024, 1, 1)
+    for i in range(300):
+        rows.append((rng.randrange(4), start + datetime.timedelta(seconds=i * 7 + rng.random())))
+    src = tmp_path / "in"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], "k long, ts timestamp").coalesce(1).write.mode("append").parquet(str(src))
+    s = spark.readStream.schema("k long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    got = sorted((r["k"], r["ts"], r["rejected"]) for r in live.drained(live.limited(s, "ts", "k", 3, 60.0), "limits", "append", str(tmp_path / "cp")).collect())
+    held, want = {}, []
+    for k, t in rows:
+        mine = held[k] = [x for x in held.get(k, []) if (t - x).total_seconds() < 60]
+        want.append((k, t, len(mine) >= 3))
+        if len(mine) < 3:
+            mine.append(t)
+    assert got == sorted(want) and any(r for *_, r in want)
+
+
+def test_cycles_and_empty_streams(spark, tmp_path):
+    assert live.due_jobs(0) == ["ingest", "performance", "history"] and live.due_jobs(4) == ["ingest", "performance"] and live.due_jobs(5) == ["ingest"]
+    assert live.trigger(5) == {"processingTime": "60 seconds"} and live.trigger() == {"processingTime": "900 seconds"}
+    (tmp_path / "none").mkdir()
+    s = spark.readStream.schema("k long, ts timestamp, value double").parquet(str(tmp_path / "none"))
+    assert live.drained(live.tumbling(s, "ts", ["k"]), "nothing", "complete", str(tmp_path / "c")).count() == 0

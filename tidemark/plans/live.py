@@ -47,6 +47,13 @@ def stream_dedupe_watermark(spark: SparkSession, d: str) -> DataFrame:
     return live.drained(live.deduplicated(_stream(spark, d), "ts", ["user_id", "event_type"], "400 days").select("user_id", "event_type"), _name("dedupe"), "append")
 
 
+@query()
+def stream_exact_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Which events a limit of two per hour and user would reject; held against brute force in the tests."""
+    s = _stream(spark, d).select("user_id", "ts")
+    return live.drained(live.limited(s, "ts", "user_id", 2, 3600.0), _name("limited"), "append").select(F.unix_micros("ts").alias("us"), "user_id", "rejected")
+
+
 @query()
 def stream_state_snapshotting(spark: SparkSession, d: str) -> DataFrame:
     s = _stream(spark, d).select("user_id", "ts", "value")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_label, findings
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests), a folder in the warehouse."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/_checkpoints"
+
+
 def json_tree(df: DataFrame, path: str, by: list[str]) -> None:
     """One folder per value of by, with texts cleaned of forbidden dashes."""
     kinds = dict(df.dtypes)
