@@ -164,3 +164,22 @@ def test_cycles_and_empty_streams(spark, tmp_path):
     (tmp_path / "none").mkdir()
     s = spark.readStream.schema("k long, ts timestamp, value double").parquet(str(tmp_path / "none"))
     assert live.drained(live.tumbling(s, "ts", ["k"]), "nothing", "complete", str(tmp_path / "c")).count() == 0
+
+
+def test_feeds_of_open_and_upcoming_issues(spark):
+    one = lambda rows: spark.createDataFrame([(json.dumps(rows),)], "j string")
+    open_ = one({"total": 2, "live": [{"company": "Acme", "symbol": "acme", "issueType": "SME", "issuePrice": "Rs.90", "qib": "-", "hniSubscription": "3"}, {"companyName": "B", "symbol": "B", "issuePriceMin": "10", "capPrice": "12", "noOfTime": "1.5"}]})
+    next_ = one([{"companyName": "ACME", "symbol": "ACME"}, {"companyName": "C", "symbol": "C", "industry": "Tea", "issuePrice": "Rs.5 to Rs.6"}, {"x": "no name"}])
+    details = spark.createDataFrame([("acme", json.dumps({"bidDetails": [{"category": "Qualified Institutional Buyers", "noOfTime": "7", "srNo": "1"}]}))], "symbol string, j string")
+    got = {r["company"]: r for r in readers.current_and_upcoming(open_, next_, details, "j").collect()}
+    assert set(got) == {"Acme", "B", "C"}
+    a, b, c = got["Acme"], got["B"], got["C"]
+    assert (a["status"], a["board"], a["final_price"], a["qib_sub"], a["nii_sub"]) == ("Open", "SME", 90.0, 7.0, 3.0)
+    assert (b["price_low"], b["price_high"], b["final_price"], b["total_sub"]) == (10.0, 12.0, None, 1.5)
+    assert (c["status"], c["sector"], c["price_low"], c["price_high"], c["final_price"]) == ("Upcoming", "Tea", 5.0, 6.0, None)
+
+
+def test_past_issues(spark):
+    rows = [{"symbol": "aa", "company": " A ", "securityType": "EQ", "ipoEndDate": "05-MAR-2024", "listingDate": "12-MAR-2024", "issuePrice": "100", "priceRange": "Rs.95 to Rs.100"}, {"symbol": "n", "securityType": "N0"}, {"symbol": "", "securityType": "EQ"}]
+    (r,) = readers.past_issues(spark.createDataFrame([(json.dumps({"data": rows}),)], "j string"), "j").collect()
+    assert (r["symbol"], r["company"], str(r["closed"]), str(r["listed"]), r["final_price"], r["price_low"], r["security_type"]) == ("AA", "A", "2024-03-05", "2024-03-12", 100.0, 95.0, "EQ")

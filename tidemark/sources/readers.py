@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parsed
-from tidemark.functions.text import absolute, links, number, strip_tags
+from tidemark.functions.text import absolute, links, number, price_band, strip_tags
 
 #: Fixed: series of shares that are kept of a daily price file.
 SERIES = ("EQ", "BE", "SM", "ST")
@@ -90,15 +90,87 @@ def bid_categories(raw: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return own.groupBy(id_col).pivot("cat", ["qib", "nii", "retail"]).agg(F.min_by("x", "pos"))
 
 
-def live_issues(raw: DataFrame, json_col: str) -> DataFrame:
-    """Rows of a live feed in any envelope: a list, or an object that has one under data or similar."""
-    item = "struct<companyName:string,symbol:string,series:string,priceBandMin:string,priceBandMax:string,issuePrice:string,noOfSharesOffered:string,noOfSharesBid:string,marketLot:string,issueStartDate:string,issueEndDate:string,status:string>"
-    body = F.col(json_col)
-    arrays = [F.from_json(body, f"array<{item}>")] + [F.from_json(F.get_json_object(body, f"$.{k}"), f"array<{item}>") for k in ("data", "issues", "result", "rows")]
-    found = F.coalesce(*[F.when(F.size(F.filter(a, lambda x: x.isNotNull() & (x["companyName"].isNotNull() | x["symbol"].isNotNull()))) > 0, a) for a in arrays])
-    r = raw.select(F.inline(found))
-    offered = number(F.col("noOfSharesOffered"))
-    return r.select(F.trim("companyName").alias("company"), F.upper(F.trim("symbol")).alias("symbol"), number(F.col("priceBandMin")).alias("price_low"), number(F.col("priceBandMax")).alias("price_high"), number(F.col("issuePrice")).alias("final_price"), (offered / 1e6).alias("shares_offered_m"), F.try_divide(number(F.col("noOfSharesBid")), offered).alias("total_sub"), number(F.col("marketLot")).cast("int").alias("lot_size"), parsed(F.col("issueStartDate")).alias("opened"), parsed(F.col("issueEndDate")).alias("closed"), "status")
+# Fixed: what a live feed calls each field, best name first.
+FEED_NAMES = {
+    "company": ("companyName", "company", "issuerName", "name", "symbol"),
+    "symbol": ("symbol", "issueSymbol"),
+    "isin": ("isin",),
+    "kind": ("issueType", "series", "board", "category"),
+    "sector": ("industry", "sector"),
+    "price_low": ("issuePriceMin", "priceBandMin", "minPrice", "floorPrice"),
+    "price_high": ("issuePriceMax", "priceBandMax", "maxPrice", "capPrice"),
+    "band": ("issuePrice",),
+    "offered": ("noOfSharesOffered", "sharesOffered", "issueSize"),
+    "bid": ("noOfsharesBid", "noOfSharesBid", "sharesBid"),
+    "total_sub": ("noOfTime", "subscription", "totalSubscription"),
+    "qib_sub": ("qibSubscription", "qib", "qibSub", "qibNoOfTime"),
+    "nii_sub": ("niiSubscription", "hniSubscription", "nii", "niiSub", "niiNoOfTime"),
+    "retail_sub": ("retailSubscription", "retail", "retailSub", "retailNoOfTime"),
+    "lot": ("marketLot", "lotSize", "minimumBidQuantity"),
+    "opened": ("issueStartDate", "openDate", "ipoStartDate"),
+    "closed": ("issueEndDate", "closeDate", "ipoEndDate"),
+    "listed": ("listingDate",),
+    "status": ("status",),
+}
+ENVELOPES = ("data", "records", "issues", "result", "results", "rows")
+#: Fixed: kinds of security that past issues are taken of.
+EQUITY_KINDS = ("EQ", "BE", "SME", "SM", "ST")
+
+
+def feed_rows(raw: DataFrame, json_col: str) -> DataFrame:
+    """A row (entry: map of texts) for each object of a feed's list, whatever envelope the list stands in: the text itself, a
+    known name, or else all lists of objects that it has."""
+    body, rows = F.col(json_col), "array<map<string,string>>"
+    named = [F.from_json(F.get_json_object(body, f"$.{k}"), rows) for k in ENVELOPES]
+    lists = F.filter(F.map_values(F.from_json(body, "map<string,string>")), lambda v: F.ltrim(v).startswith("["))
+    others = F.flatten(F.array_compact(F.transform(lists, lambda v: F.from_json(v, rows))))
+    is_list = F.ltrim(body).startswith("[")
+    found = F.when(is_list, F.from_json(body, rows)).otherwise(F.coalesce(*named, others))
+    return raw.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("entry"))
+
+
+def _named(field: str) -> Column:
+    """The first name's value that isn't blank or a dash."""
+    return F.coalesce(*[F.when(~F.trim(F.coalesce(v, F.lit(""))).isin("", "-", "--"), F.trim(v)) for v in (F.col("entry")[n] for n in FEED_NAMES[field])])
+
+
+def live_issues(raw: DataFrame, json_col: str, status: str = "Upcoming") -> DataFrame:
+    """Issues of a live feed: names, board, prices, sizes, subscription and days. A single price is a fixed price: the final
+    one. Subscription is as told, else shares bid over shares offered."""
+    r = feed_rows(raw, json_col).select(*[_named(f).alias(f) for f in FEED_NAMES]).filter("company is not null")
+    offered, band = number(F.col("offered")), price_band(F.col("band"))
+    stated = F.col("price_low").isNotNull() | F.col("price_high").isNotNull()
+    single = ~stated & band["low"].isNotNull() & (band["low"] == band["high"])
+    kind = F.lower(F.coalesce("kind", F.lit("")))
+    return r.select(
+        "company", F.upper("symbol").alias("symbol"), F.coalesce("isin", F.lit("")).alias("isin"), F.when(kind.contains("sme") | kind.contains("emerge"), "SME").otherwise("Mainboard").alias("board"), F.coalesce("sector", F.lit("Unknown")).alias("sector"),
+        F.coalesce(number(F.col("price_low")), band["low"]).alias("price_low"), F.coalesce(number(F.col("price_high")), band["high"]).alias("price_high"), F.when(single, band["low"]).alias("final_price"),
+        F.when(offered > 100_000, offered / 1e6).otherwise(offered).alias("shares_offered_m"), F.coalesce(number(F.col("total_sub")), F.try_divide(number(F.col("bid")), offered)).alias("total_sub"),
+        *[number(F.col(c)).alias(c) for c in ("qib_sub", "nii_sub", "retail_sub")], F.nullif(number(F.col("lot")).cast("int"), F.lit(0)).alias("lot_size"),
+        parsed(F.col("opened")).alias("opened"), parsed(F.col("closed")).alias("closed"), F.coalesce("status", F.lit(status)).alias("status"),
+    )
+
+
+def current_and_upcoming(current: DataFrame, upcoming: DataFrame, details: DataFrame, json_col: str) -> DataFrame:
+    """Open issues and upcoming ones as one table, an issue (company and symbol, whatever their case) where it comes first.
+    Open ones take their categories from details (symbol, and the category table under json_col) where these have them."""
+    both = live_issues(current, json_col, "Open").withColumns({"status": F.lit("Open"), "_o": F.lit(0)}).unionByName(live_issues(upcoming, json_col).withColumns({"status": F.lit("Upcoming"), "_o": F.lit(1)}))
+    best = both.groupBy(F.lower("company").alias("_c"), F.lower(F.coalesce("symbol", F.lit(""))).alias("_s")).agg(F.min_by(F.struct(*both.columns), F.struct("_o", F.xxhash64(*both.columns))).alias("r")).select("r.*").drop("_o")
+    cats = bid_categories(details.select(F.upper("symbol").alias("_symbol"), json_col), "_symbol", json_col)
+    j = best.join(cats, (F.col("symbol") == F.col("_symbol")) & (F.col("status") == "Open"), "left")
+    return j.withColumns({f"{c}_sub": F.coalesce(c, f"{c}_sub") for c in ("qib", "nii", "retail")}).select(*best.columns)
+
+
+def past_issues(raw: DataFrame, json_col: str) -> DataFrame:
+    """Final prices and days of past equity issues; other instruments and rows without a symbol are left out."""
+    r = feed_rows(raw, json_col)
+    get = lambda k: F.trim(F.coalesce(F.col("entry")[k], F.lit("")))
+    band = price_band(get("priceRange"))
+    kind = F.upper(get("securityType"))
+    return r.filter((get("symbol") != "") & kind.isin(*EQUITY_KINDS)).select(
+        F.upper(get("symbol")).alias("symbol"), F.coalesce(_named("company"), F.lit("")).alias("company"), parsed(get("ipoEndDate")).alias("closed"), parsed(get("ipoStartDate")).alias("opened"), parsed(get("listingDate")).alias("listed"),
+        number(get("issuePrice")).alias("final_price"), band["low"].alias("price_low"), band["high"].alias("price_high"), kind.alias("security_type"),
+    )
 
 
 def archive_links(pages: DataFrame, html_col: str, base_col: str, label: str, extension: str) -> DataFrame:
