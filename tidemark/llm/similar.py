@@ -8,8 +8,8 @@ neighbouring segments with a codeword of each. A segment shares one with a proba
 
 Nodes that share a key are compared in 64 bits of their fingerprints, and if these are near, by their sets. Each is compared
 with the key's least node first, so that a crowd of copies forms no square of pairs. Where a group's nodes aren't all linked
-yet, those outside its main component are compared with all of the group. A group of more than CROWD is parted before that:
-its keys are extended by one more segment, which copies survive and strangers don't."""
+yet, those outside its main component are compared with all of the group. If these are more than CROWD, the group is parted
+before that: its keys are extended by one more segment, which copies survive and strangers don't."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from tidemark.llm.components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: Segments of a fingerprint, the words of 64 bits that hold them, and the most differing bits of 64 that sets are compared at.
 SEGMENTS, LANES, NEAR_BITS = 24, 9, 22
-#: The most nodes of a group whose key isn't extended, and how many segments may extend it.
+#: The most nodes outside the main component of a group whose key isn't extended, and how many segments may extend it.
 CROWD, EXTENSIONS = 48, 8
 CHUNK_WORDS = 1 << 17
 _BYTES = np.uint64(0x0101010101010101)
@@ -147,36 +147,37 @@ def _near(a: str, b: str, least: float) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.short").bitwiseXOR(F.col(f"{b}.short"))) <= NEAR_BITS)
 
 
-def _grouped(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, n, own): the nodes, with what is needed to compare them, of keys that several share."""
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    own = nodes.select("node", F.struct("node", "size", "short").alias("own"))
-    held = attach(keys, reliable(shared), "key", "n", keys.count()).filter("n is not null")
-    return reliable(held.join(own, "node").select("key", "n", "own"))
+def _keyed(nodes: DataFrame, keys: Column) -> DataFrame:
+    """(key, own): a row for each key of a node, with what is needed to compare nodes; only keys that several rows may have,
+    since most are one node's alone and needn't shuffle."""
+    made = nodes.select(F.explode(keys).alias("key"), F.struct("node", "size", "short").alias("own"))
+    shared = bits.among(made.select(F.xxhash64("key")), 4 * SEGMENTS * nodes.count(), "twice")(F.xxhash64("key"))
+    return reliable(made.filter(shared))
 
 
-def _with_hub(grouped: DataFrame, least: float) -> DataFrame:
+def _with_hub(keyed: DataFrame, least: float) -> DataFrame:
     """Pairs (u, v) of each node and the least node of its group."""
-    hubs = reliable(grouped.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("held")))
-    met = attach(grouped, hubs, "key", "held", grouped.count()).filter("own.node <> hub.node").filter(_near("own", "hub", least))
+    hubs = reliable(keyed.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("held")).filter("held > 1"))
+    met = attach(keyed, hubs, "key", "held", keyed.count()).filter("own.node <> hub.node").filter(_near("own", "hub", least))
     return met.select(F.col("hub.node").alias("u"), F.col("own.node").alias("v")).distinct()
 
 
-def _open(grouped: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups whose nodes aren't all linked yet, each node with its component's root."""
+def _open(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, own, root, main, others): groups whose nodes aren't all linked yet. root: a node's component; main: the most
+    frequent one of the group; others: how many nodes are outside it."""
     roots = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = grouped.withColumn("node", F.col("own.node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    rooted = keyed.withColumn("node", F.col("own.node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
     rooted = reliable(rooted)
-    open_ = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("key")
-    return reliable(rooted.join(open_, "key"))
+    sums = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    return reliable(rooted.join(groups, "key"))
 
 
 def _pairs(rooted: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of nodes in different components that share a key: what is outside a key's most frequent component
-    meets all nodes of the key, so a crowd that is linked already doesn't meet itself."""
-    main = rooted.groupBy("key").agg(F.mode("root").alias("main"))
-    others = rooted.join(main, "key").filter("root <> main").select("key", F.col("own").alias("u"), F.col("root").alias("u_root"))
-    met = others.join(rooted.select("key", F.col("own").alias("v"), F.col("root").alias("v_root")), "key").filter("u_root <> v_root").filter(_near("u", "v", least))
+    """Pairs (u, v) of nodes in different components that share a key: what is outside a key's main component meets all
+    nodes of the key, so a crowd that is linked already doesn't meet itself."""
+    outside = rooted.filter("root <> main").select("key", F.col("own").alias("u"), F.col("root").alias("u_root"))
+    met = outside.join(rooted.select("key", F.col("own").alias("v"), F.col("root").alias("v_root")), "key").filter("u_root <> v_root").filter(_near("u", "v", least))
     return met.select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v")).distinct()
 
 
@@ -187,18 +188,17 @@ def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float
         pairs = reliable(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"))
         return pairs if pairs.isEmpty() else _verified(pairs, source, nodes, size, least)
 
-    keys = nodes.select("node", F.explode(_first_keys(F.col("codes"))).alias("key"))
-    # most keys are one node's alone and needn't shuffle
-    shared = bits.among(keys.select(F.xxhash64("key")), 4 * SEGMENTS * nodes.count(), "twice")(F.xxhash64("key"))
-    grouped = _grouped(reliable(keys.filter(shared)), nodes)
-    first = reliable(_with_hub(grouped, least))
+    keyed = _keyed(nodes, _first_keys(F.col("codes")))
+    first = reliable(_with_hub(keyed, least))
     found = compare(first)
-    rooted = _open(grouped, found)
-    pairs = _pairs(rooted.filter(F.col("n") <= CROWD), least)
-    many = rooted.filter(F.col("n") > CROWD).select("key", F.col("own.node").alias("node"))
+    rooted = _open(keyed, found)
+    pairs = _pairs(rooted.filter(F.col("others") <= CROWD), least)
+    many = rooted.filter(F.col("others") > CROWD).select("key", F.col("own.node").alias("node"))
     if not many.isEmpty():
-        longer = F.explode(_longer_keys(F.col("key"), F.col("codes"))).alias("key")
-        parted = _grouped(many.join(nodes.select("node", "codes"), "node").select("node", longer).distinct(), nodes)
+        # the extended keys of crowds with many strangers; a node has them in one row
+        own = many.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes, "node")
+        longer = F.array_distinct(F.flatten(F.transform("keys", lambda k: _longer_keys(k, F.col("codes")))))
+        parted = _keyed(own.select("node", "size", "short", longer.alias("longer")), F.col("longer"))
         hubs = reliable(_with_hub(parted, least))
         found = reliable(found.union(compare(hubs, first)))
         pairs, first = pairs.union(_pairs(_open(parted, found), least)).distinct(), first.union(hubs).distinct()
