@@ -125,3 +125,45 @@ def test_kinds_of_offering(spark, cover, kind):
 @pytest.mark.parametrize(("raw", "want"), [("SME-IPO", "SME IPO"), ("Main Board IPO", "IPO"), ("invit ipo", "InvIT IPO"), ("Preferential", None), ("", None), (None, None)])
 def test_issue_types(spark, raw, want):
     assert spark.range(1).select(text.issue_type(F.lit(raw).cast("string"))).first()[0] == want
+
+
+def test_thresholds_are_those_of_halvings_one_by_one(spark):
+    from tidemark.operators import sensitivity as s
+
+    def ranked(df):
+        return df.withColumn("rank", F.when(F.col("x") + F.col("y") > 6.2, 0).when(F.col("x") + F.col("y") > 3.1, 1).when((F.col("x") > 1.27) & (F.col("x") < 1.91), 3).otherwise(2))
+
+    def plain(x, y):
+        return 0 if x + y > 6.2 else 1 if x + y > 3.1 else 3 if 1.27 < x < 1.91 else 2
+
+    levers = [
+        s.Lever("x", "x", True, lambda: F.col("x"), lambda v: v, lambda v: F.lit(9.0), lambda v, w: w > v + 0.1),
+        s.Lever("x", "x", False, lambda: F.col("x"), lambda v: F.lit(0.0), lambda v: v, lambda v, w: w < v),
+        s.Lever("y", "y", False, lambda: F.col("y"), lambda v: v, lambda v: v * 3, lambda v, w: F.lit(True), lambda: F.col("x") < 2),
+        s.Lever("y", "y", True, lambda: F.col("y"), lambda v: v, lambda v: F.lit(7.0), lambda v, w: F.lit(True)),
+    ]
+    rows = [(i, 0.37 * i + 0.2, 5.0 - 0.41 * i if i % 4 else None) for i in range(12)] + [(50, 1.0, 0.0)]
+    want = set()
+    for i, x, y in rows:
+        for n, (name, better) in enumerate((("x", True), ("x", False), ("y", False), ("y", True))):
+            now = x if name == "x" else y
+            if now in (None, 0.0) or (n == 2 and not x < 2):
+                continue
+            low, high = [(now, 9.0), (0.0, now), (now, now * 3), (now, 7.0)][n]
+            at = lambda v: plain(v, y) if name == "x" else plain(x, v)  # noqa: B023, E731
+            if y is None:
+                continue
+            base = plain(x, y)
+            flips = lambda v: at(v) < base if better else at(v) > base  # noqa: B023, E731
+            if not flips(high):
+                continue
+            a, b = (low, high) if better else (high, low)
+            for _ in range(24):
+                mid = (a + b) / 2
+                a, b = (a, mid) if flips(mid) else (mid, b)
+            if n == 0 and not round(b, 2) > now + 0.1 or n == 1 and not round(b, 2) < now:
+                continue
+            want.add((i, name, "better" if better else "worse", round(b, 2)))
+    df = spark.createDataFrame([r for r in rows if r[2] is not None], "id long, x double, y double")
+    got = {(r["id"], r["lever"], r["direction"], r["value"]) for r in s.thresholds(df, "id", ranked, levers).collect()}
+    assert got == want and len(want) > 5

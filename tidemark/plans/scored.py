@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import basic, dates, rules, scoring, valuation
 from tidemark.functions.basic import steady
-from tidemark.operators import ranked, summaries, timeline
+from tidemark.operators import ranked, sensitivity, summaries, timeline
 from tidemark.plans.base import ISSUES_SQL, issues, query, r4, table
 
 # ---- the model as SQL -----------------------------------------------------------------------------------------------
@@ -180,25 +180,15 @@ def expectations_gap(spark: SparkSession, d: str) -> DataFrame:
     return valuation.implied_growth(issues(spark, d)).groupBy("expectations_gap").agg(F.count("*").alias("n"))
 
 
-#: Lever to its column and the factors of its present value that are tried, nearest first.
-LEVERS = {"price": ("final_price", [1 + s * k / 40 for k in range(1, 33) for s in (-1, 1)]), "qib": ("qib_sub", [1 + s * k / 20 for k in range(1, 20) for s in (-1, 1)])}
-
-
 @query()
 def sensitivity_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """For each lever and direction the smallest change that flips the recommendation: the score runs over a fixed grid of
-    changed inputs, all in one plan, and the nearest flip is an aggregate. A fixed share of issues is not enough for a
-    reader: all issues with a price are tried."""
-    base = scoring.verdict(scoring.totals(scoring.pillars(issues(spark, d))), strict=False).select(*issues(spark, d).columns, F.col("recommendation").alias("now"))
-    base = base.withColumn("final_price", basic.price_of(F.col("final_price"), F.col("price_high")))
-    out = None
-    for name, (column, factors) in LEVERS.items():
-        tried = base.filter(F.col(column).isNotNull()).withColumn("factor", F.explode(F.array(*map(F.lit, factors)))).withColumn(column, F.col(column) * F.col("factor"))
-        flips = scoring.verdict(scoring.totals(scoring.pillars(tried)), strict=False).filter("recommendation <> now")
-        near = flips.groupBy("id", F.when(F.col("factor") < 1, "down").otherwise("up").alias("direction")).agg(F.min_by(F.struct("factor", "recommendation"), F.abs(F.col("factor") - 1)).alias("f"))
-        made = near.select("id", F.lit(name).alias("lever"), "direction", "f.factor", "f.recommendation")
-        out = made if out is None else out.unionByName(made)
-    return out
+    """For all issues, the value of each input at which the recommendation flips; the tests hold it against halvings one by
+    one."""
+
+    def rank(df: DataFrame) -> DataFrame:
+        return scoring.verdict(scoring.totals(scoring.pillars(df)), strict=False).withColumn("rank", sensitivity.band_rank(F.col("recommendation")))
+
+    return sensitivity.thresholds(issues(spark, d), "id", rank)
 
 
 _GRADE = f"""CASE WHEN status IN ('Not IPO', 'Withdrawn') THEN 'INVALID_FORWARD_RECORD' WHEN has_return THEN 'GRADED' WHEN status <> 'Listed' THEN 'NOT_YET_ELIGIBLE' WHEN listed_on IS NULL THEN 'BLOCKED_IDENTITY'

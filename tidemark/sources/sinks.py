@@ -13,6 +13,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse") + "/_checkpoints"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def json_tree(df: DataFrame, path: str, by: list[str]) -> None:
     """One folder per value of by, with texts cleaned of forbidden dashes."""
     kinds = dict(df.dtypes)
