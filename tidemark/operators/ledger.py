@@ -37,6 +37,22 @@ def edges(df: DataFrame, text_day: str, target: str) -> DataFrame:
     return df.agg(F.min(parsed(F.col(text_day))).alias("first_day"), F.max(target).alias("last_target"))
 
 
+def nested(rows: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
+    """rows with a struct (null where there is none) of each part's row of the same key: what is shown of an entity as one
+    document. Parts have one row per key."""
+    out = rows
+    for name, part in parts.items():
+        side = part.select(F.col(key).alias("_k"), F.struct(*[c for c in part.columns if c != key]).alias(name))
+        out = out.join(side, F.col(key) == F.col("_k"), "left").drop("_k")
+    return out
+
+
+def manifest(df: DataFrame, by: list[str], id_col: str) -> DataFrame:
+    """What a tree of files holds: rows, least and greatest id of each folder, and a digest that changes with any row."""
+    digest = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"), digest.alias("digest"))
+
+
 def members_last(df: DataFrame, members: DataFrame, id_col: str, n: int) -> DataFrame:
     """n rows, those that members lacks first, then by id."""
     m = members.select(F.col(id_col).alias("_m")).distinct()

@@ -55,17 +55,19 @@ def fit(train: DataFrame, cols: list[Column], y: str) -> np.ndarray:
     rows = train.select(F.col(y).cast("double").alias("y"), F.array(*cols).alias("x")).persist()
     w, penalty = np.zeros(d), np.append(0.0, np.full(d - 1, RIDGE))
     x = [F.col("x")[i] for i in range(d)]
-    for _ in range(STEPS):
-        p = rows.select("x", "y", (1 / (1 + F.exp(-_logit(w)))).alias("p"))
-        sums = p.agg(*[F.sum((F.col("p") - F.col("y")) * c) for c in x], *[F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i in range(d) for j in range(i, d)]).first()
-        g, h = np.array(sums[:d], float), np.zeros((d, d))
-        h[np.triu_indices(d)] = sums[d:]
-        h = h + np.triu(h, 1).T
-        step = np.linalg.solve(h + np.diag(penalty) + 1e-12 * np.eye(d), g + penalty * w)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    rows.unpersist()
+    try:
+        for _ in range(STEPS):
+            p = rows.select("x", "y", (1 / (1 + F.exp(-_logit(w)))).alias("p"))
+            sums = p.agg(*[F.sum((F.col("p") - F.col("y")) * c) for c in x], *[F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]) for i in range(d) for j in range(i, d)]).first()
+            g, h = np.array(sums[:d], float), np.zeros((d, d))
+            h[np.triu_indices(d)] = sums[d:]
+            h = h + np.triu(h, 1).T
+            step = np.linalg.solve(h + np.diag(penalty) + 1e-12 * np.eye(d), g + penalty * w)
+            w = w - step
+            if np.abs(step).max() < 1e-6:
+                break
+    finally:
+        rows.unpersist()
     return w
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, rules, text
 from tidemark.functions.basic import steady
-from tidemark.operators import ledger, metrics
+from tidemark.operators import ledger, ranked
 from tidemark.plans.base import EVIDENCE_SQL, ISSUES_SQL, PAIRS_SQL, evidence, issues, pairs, query, r4, table
 
 _CATEGORY = "CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(rules.GRADES)) + " END"
@@ -158,3 +158,18 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", dates.as_utc(F.col("ts")))
     seen = dates.as_utc(F.lit("2024-01-10 00:00:00"))
     return ledger.changed_since(e, "ts", seen).select(F.unix_micros("newest").alias("newest"), "event")
+
+
+@query("WITH s AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS snapshot FROM orders GROUP BY 1), n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey, to_json({'id': c_custkey, 'score': CASE WHEN snapshot IS NOT NULL THEN {'snapshot': snapshot} END, 'performance': CASE WHEN n IS NOT NULL THEN {'n': n} END})::VARCHAR AS document FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN n ON n.o_custkey = c_custkey")
+def nested_projection(spark: SparkSession, d: str) -> DataFrame:
+    """An entity with its latest score and its performance as one JSON document."""
+    o = table(spark, d, "orders")
+    score = ranked.latest_values(o, ["o_custkey"], "o_orderdate", "o_orderkey", ["o_orderkey"]).select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("snapshot"))
+    returns = o.filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    whole = ledger.nested(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id", score=score, performance=returns)
+    return whole.select(F.col("id").alias("c_custkey"), ledger.frozen(whole, ["id", "score", "performance"]).alias("document"))
+
+
+@query("SELECT o_orderstatus, count(*) AS rows, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY 1")
+def tree_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.manifest(table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey").drop("digest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import basic, dates, rules, scoring, valuation
+from tidemark.functions import dates, rules, scoring, valuation
 from tidemark.functions.basic import steady
 from tidemark.operators import ranked, sensitivity, summaries, timeline
 from tidemark.plans.base import ISSUES_SQL, issues, query, r4, table
