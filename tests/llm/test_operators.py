@@ -676,3 +676,25 @@ def test_shards_of_odd_tables(spark):
         for _, shard_, _, size in line:
             assert shard_ == min(7, (2 * upto + size) * 8 // (2 * sum(sizes)))
             upto += size
+
+
+# ---- all
+def test_stages_of_empty_tables_and_of_null_ids(spark, empty):
+    """Filtering operators give back docs' own columns, nothing of nothing, and treat rows without ids as rows."""
+    none = spark.createDataFrame([(None, "a b c d e f", "en", None, None), (None, "a b  c d e f", "en", "s", "x"), (None, None, None, None, None)], SCHEMA)
+    model = toxicity.Model({}, np.array([1.0, 0, 0, 0, -3.0]))
+    steps = {
+        "reject": (lambda d: toxicity.reject(d, model), 3), "exact": (exact.deduplicate, 2), "bits": (simhash.deduplicate, 2), "similar": (simhash.deduplicate_similar, 2),
+    }
+    for name, (step, left) in steps.items():
+        assert step(empty).count() == 0 and step(empty).columns == empty.columns, name
+        got = step(none)
+        assert got.count() == left and got.columns == none.columns, name
+    assert mixing.mixed_documents(empty).count() == 0 and mixing.mixed_documents(none).columns == none.columns
+
+
+def test_rules_beyond_the_literal_table_without_tokens(spark, monkeypatch):
+    monkeypatch.setattr(urls, "LITERAL_RULES", 1)
+    df = spark.createDataFrame([(1, "http://abc.org/x1z/k"), (2, "http://b.net/"), (2, "http://b.net/"), (3, None)], "page_id long, url string")
+    got = sorted((r["page_id"], r["rule"]) for r in urls.judge(df, [("a*c.org/x*z/", "block"), ("*b*/", "block"), ("q.com/y/", "block")]).collect() if r["page_id"] < 3)
+    assert got == [(1, "a*c.org/x*z/"), (2, "*b*/"), (2, "*b*/")]
