@@ -6,8 +6,6 @@ running sum inside each range places every row on one line of bytes, which is cu
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +27,25 @@ def _upto(key: Column, bounds: Column, most: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(bounds, at + s) <= key, F.lit(False)), at + s).otherwise(at))
 
 
-def _ranged(rows: DataFrame, bounds: list[int], measures: dict[int, tuple] | None = None, names: str = "") -> DataFrame:
-    """rows with range, the number of sorted bounds that are not above key; and with the measures of their range. Boundaries
-    come by a broadcast join on the key's first bits; the table has as many rows as there can be first bits, 65,536 at most."""
-    spark, power = rows.sparkSession, min(PREFIX_BITS, max(4, len(bounds).bit_length()))
+def _ranged(rows: DataFrame, bounds: DataFrame, n: int) -> DataFrame:
+    """rows with range: how many of the n bounds are not above key. Boundaries come by a broadcast join on the key's first
+    bits; the table has a row for each that there can be, 65,536 at most."""
+    power = min(PREFIX_BITS, max(4, n.bit_length()))
     width = KEY_BITS - power
-    cuts = [bisect.bisect_left(bounds, p << width) for p in range((1 << power) + 1)]
-    table = [(p, cuts[p], bounds[cuts[p] : cuts[p + 1]]) for p in range(1 << power)]
-    found = spark.createDataFrame(table, "_prefix long, _base int, _bounds array<long>")
-    longest = max(1, *(len(b) for _, _, b in table))
+    own = bounds.groupBy(F.shiftright("bound", width).alias("_prefix")).agg(F.sort_array(F.collect_list("bound")).alias("_bounds"))
+    every = rows.sparkSession.range(1 << power).select(F.col("id").alias("_prefix")).join(own, "_prefix", "left")
+    size = F.when(F.col("_bounds").isNull(), 0).otherwise(F.size("_bounds"))
+    earlier = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    found = every.withColumn("_base", F.coalesce(F.sum(size).over(earlier), F.lit(0)))
     out = rows.withColumn("_prefix", F.shiftright("key", width)).join(F.broadcast(found), "_prefix")
-    out = out.withColumn("range", F.col("_base") + _upto(F.col("key"), F.col("_bounds"), longest)).select(*rows.columns, "range")
-    if measures is not None:  # a line per range, of which there are about MAX_RANGES at most
-        out = out.join(F.broadcast(spark.createDataFrame([(r, *m) for r, m in measures.items()], f"range int, {names}")), "range")
-    return out
+    return out.withColumn("range", (F.col("_base") + _upto(F.col("key"), F.col("_bounds"), max(1, n))).cast("int")).select(*rows.columns, "range")
 
 
-def _sample(rows: DataFrame, rate: float, n: int, total: int) -> list[int]:
-    """Keys, each taken with a chance in proportion to its row's share of bytes and rows; the same ones on every run."""
+def _sample(rows: DataFrame, rate: float, n: int, total: int, *others: str) -> DataFrame:
+    """Distinct keys, each taken with a chance in proportion to its row's share of bytes and rows; the same ones on every run."""
     share = (F.col("size") / F.lit(float(max(1, total))) + F.lit(1.0 / max(1, n))) / 2
     luck = (F.xxhash64("key", "size", F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    return sorted(r["key"] for r in rows.filter(luck < share * F.lit(float(rate))).select("key").distinct().toLocalIterator())
+    return rows.filter(luck < share * F.lit(float(rate))).select("key", *others).distinct()
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,30 +61,30 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     rows = reliable(docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), crc.alias("crc"), key.alias("key")))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(MIN_RANGES, min(MAX_RANGES, n // RANGE_ROWS))
-    sample = _sample(rows, ranges * OVERSAMPLE, n, total)
-    bounds = sorted(set(sample[OVERSAMPLE::OVERSAMPLE]))
+    # the sample has some 16 keys per range, so it has a bound: a task may number it
+    numbered = _sample(rows, ranges * OVERSAMPLE, n, total).withColumn("nth", F.row_number().over(Window.orderBy("key")))
+    bounds = reliable(numbered.filter((F.col("nth") > 1) & (F.col("nth") % OVERSAMPLE == 1)).select(F.col("key").alias("bound")))
     while True:
-        sums = _sums(rows, bounds)
-        fair = lambda s: max(s[0] / max(1, total), s[1] / max(1, n)) * ranges
-        full = {r: fair(s) for r, s in sums.items() if fair(s) > OVERFULL}
-        if not full:
+        count = bounds.count()
+        sums = reliable(_ranged(rows, bounds, count).groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")))
+        fair = F.greatest(F.col("b") / F.lit(float(max(1, total))), F.col("n") / F.lit(float(max(1, n)))) * ranges
+        full = sums.withColumn("fair", fair).filter(F.col("fair") > OVERFULL).select("range", "fair")
+        if full.isEmpty():
             break
         # overfull ranges are sampled anew, as densely as their weight asks; a single key can't be parted further
-        more = _sample(_ranged(rows, bounds, {r: (True,) for r in full}, "full boolean").drop("full", "range"), ranges * OVERSAMPLE * 4, n, total)
-        by: dict[int, list[int]] = {}
-        for k in more:
-            by.setdefault(bisect.bisect_right(bounds, k), []).append(k)
-        new = {k for r, keys in by.items() if r in full for k in keys[:: max(1, int(len(keys) // (2 * full[r])))]} - set(bounds)
-        if not new:
+        more = _sample(_ranged(rows, bounds, count).join(F.broadcast(full), "range"), ranges * OVERSAMPLE * 4, n, total, "range", "fair")
+        of = Window.partitionBy("range")
+        step = F.greatest(F.lit(1), F.floor(F.count("*").over(of) / (2 * F.col("fair"))))
+        chosen = more.withColumns({"nth": F.row_number().over(of.orderBy("key")) - 1, "step": step}).filter("nth % step = 0")
+        new = reliable(chosen.select(F.col("key").alias("bound")).join(bounds, "bound", "left_anti"))
+        if new.isEmpty():
             break
-        bounds = sorted({*bounds, *new})
-    before, b, c = {}, 0, 0
-    for r in range(len(bounds) + 1):
-        before[r] = (b, c)
-        b, c = b + sums.get(r, (0, 0))[0], c + sums.get(r, (0, 0))[1]
+        bounds = reliable(bounds.union(new).distinct())
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(out) for c, out in (("b", "before_bytes"), ("n", "before_rows"))])
     inside = Window.partitionBy("range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # partitioned by range, which is what the window asks for: no second shuffle
-    placed = _ranged(rows, bounds, before, "before_bytes long, before_rows long").repartitionByRange("range")
+    placed = _ranged(rows, bounds, count).join(F.broadcast(before), "range").repartitionByRange("range")
     placed = placed.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)})
     middle = (F.col("before_bytes") + F.col("upto")) * 2 - F.col("size")
     placed = placed.select("id", "size", "crc", F.least(F.lit(n_shards - 1), F.floor(middle * F.lit(n_shards) / F.lit(max(1, 2 * total)))).cast("int").alias("shard"), (F.col("before_rows") + F.col("nth") - 1).alias("rank"))
@@ -96,9 +92,3 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
     starts = F.array(*[F.lit(first.get(s, 0)).cast("long") for s in range(n_shards)])
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.element_at(starts, F.col("shard") + 1)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _sums(rows: DataFrame, bounds: list[int]) -> dict[int, tuple[int, int]]:
-    """Bytes and rows of each range: one line per range reaches the driver."""
-    made = _ranged(rows, bounds).groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    return {r["range"]: (r["b"], r["n"]) for r in made.toLocalIterator()}
