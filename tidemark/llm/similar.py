@@ -173,6 +173,15 @@ def _open(keyed: DataFrame, found: DataFrame) -> DataFrame:
     return reliable(rooted.join(groups, "key"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v) that links haven't put in one component yet."""
+    roots = components(found)
+    for end in "uv":
+        own = roots.select(F.col("u").alias(end), F.col("v").alias(f"{end}_root"))
+        pairs = pairs.join(own, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs.filter("u_root <> v_root").select("u", "v")
+
+
 def _pairs(rooted: DataFrame, least: float) -> DataFrame:
     """Pairs (u, v) of nodes in different components that share a key: what is outside a key's main component meets all
     nodes of the key, so a crowd that is linked already doesn't meet itself."""
@@ -189,8 +198,11 @@ def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float
         return pairs if pairs.isEmpty() else _verified(pairs, source, nodes, size, least)
 
     keyed = _keyed(nodes, _first_keys(F.col("codes")))
+    # each node with the least of its hubs first; with its other hubs only where that hasn't linked them
     first = reliable(_with_hub(keyed, least))
-    found = compare(first)
+    least_hubs = reliable(first.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    found = compare(least_hubs)
+    found = reliable(found.union(compare(_apart(first, found), least_hubs)))
     rooted = _open(keyed, found)
     pairs = _pairs(rooted.filter(F.col("others") <= CROWD), least)
     many = rooted.filter(F.col("others") > CROWD).select("key", F.col("own.node").alias("node"))
