@@ -1,4 +1,4 @@
-"""The queries op1 to op10 for the driver, and SQL for those that SQL can express."""
+"""The queries op1 to op13 for the driver, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, media, mixing, ppm, shards, simhash, substrings, toxicity, urls
-from tidemark.llm.common import ROW_KEY
+from tidemark.llm import bpe, exact, idfiles, media, mixing, ppm, shards, simhash, substrings, toxicity, urls
+from tidemark.llm.common import ROW_KEY, stage_folder
 
 #: Fixed by the contract.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
@@ -62,7 +62,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), 8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_toxicity, op7_mixing, op8_media, op9_lm_scoring, op10_sharding)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = stage_folder(spark)
+    idfiles.write(idfiles.encoded(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end=1), folder)
+    return idfiles.digests(spark, folder)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_toxicity, op7_mixing, op8_media, op9_lm_scoring, op10_sharding, op11_token_files)}
 
 _URL_CASES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
