@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, idfiles, media, mixing, ppm, shards, simhash, substrings, toxicity, urls
+from tidemark.llm import bpe, exact, idfiles, media, mixing, phrases, ppm, shards, simhash, substrings, toxicity, urls
 from tidemark.llm.common import ROW_KEY, stage_folder
 
 #: Fixed by the contract.
@@ -70,7 +70,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.digests(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_toxicity, op7_mixing, op8_media, op9_lm_scoring, op10_sharding, op11_token_files)}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_toxicity, op7_mixing, op8_media, op9_lm_scoring, op10_sharding, op11_token_files, op12_phrases)}
 
 _URL_CASES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
@@ -97,4 +101,18 @@ ORACLES: dict[str, str] = {
         word AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
         kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS k FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_phrases": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+        n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p),
+        runs AS (SELECT lang, w[i:i + k - 1] AS w FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, w, count(*) AS a FROM runs GROUP BY lang, w HAVING count(*) >= 100),
+        gone AS (SELECT DISTINCT s.lang, s.w FROM f AS s JOIN (SELECT lang, a, unnest([w[:len(w) - 1], w[2:]]) AS w FROM f WHERE len(w) > 2) AS b USING (lang, w) WHERE b.a >= s.a),
+        cut AS (SELECT lang, w, a, unnest(generate_series(1, len(w) - 1)) AS k FROM f ANTI JOIN gone USING (lang, w) WHERE len(w) > 1),
+        s AS (SELECT cut.*, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * cut.a * n.n) // (x.a::HUGEINT * y.a) AS score
+              FROM cut JOIN n USING (lang) JOIN f AS x ON x.lang = cut.lang AND x.w = cut.w[:k] JOIN f AS y ON y.lang = cut.lang AND y.w = cut.w[k + 1:]),
+        best AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
