@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, idfiles, media, mixing, phrases, ppm, shards, simhash, substrings, toxicity, urls
+from tidemark.llm import bpe, exact, idfiles, media, mixing, phrases, ppm, shards, simhash, spelling, substrings, toxicity, urls
 from tidemark.llm.common import ROW_KEY, stage_folder
 
 #: Fixed by the contract.
@@ -74,7 +74,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents", "text", "lang"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_toxicity, op7_mixing, op8_media, op9_lm_scoring, op10_sharding, op11_token_files, op12_phrases)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.words_of(_table(spark, sf_dir, "documents", "doc_id", "text"), lose=199))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_toxicity, op7_mixing, op8_media, op9_lm_scoring, op10_sharding, op11_token_files, op12_phrases, op13_spelling)}
 
 _URL_CASES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
