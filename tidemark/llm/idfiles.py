@@ -11,9 +11,10 @@ eight), and the two codings of ``simple8b`` (documents' lengths; all ids), each
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import partial
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simple8b
-from tidemark.llm.bpe import _ids, _settings, _sizes, _tokenizer, gather
+from tidemark.llm.bpe import _ids, _settings, _sizes, _tokenizer, _unicode_bytes, gather
 from tidemark.llm.common import reliable, slices, small_batches, texts
 
 MAGIC = int.from_bytes(b"tidsids1", "little")
 #: Ids of a file, about; a document with more has a file of its own.
 FILE_IDS = 1 << 21
-#: Words whose ids a task keeps, and bytes of text that it splits at once.
-KEPT, SLICE = 200_000, 1 << 20
+#: Words whose ids a worker keeps, and bytes of text that it splits at once.
+KEPT, SLICE = 300_000, 1 << 20
 MANIFEST = "part int, number int, name string, documents long, ids long, bytes long"
 
 
@@ -140,12 +141,47 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", *also: str) -> DataFrame:
     return keyed.repartitionByRange(F.col(id_col).asc_nulls_first(), "__tie").sortWithinPartitions(F.col(id_col).asc_nulls_first(), "__tie").drop("__tie")
 
 
+#: Lower-case letters of ASCII and Latin-1, which no step before the model changes or parts, and the characters that stand
+#: for bytes in the model.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_CHARS = {b: c for c, b in _unicode_bytes().items()}
+
+
 class _Words:
-    """Ids of words, each encoded once in a task as long as KEPT isn't reached. A tokenizer that drops white space and whose
-    pieces never span it gives a text the ids of its words, one after another."""
+    """Ids of words. A tokenizer that drops white space, and whose pieces never span it, gives a text the ids of its words, one
+    after another. A worker keeps up to KEPT words with their ids over all its tasks. A word of plain letters, alone or with
+    one mark after it, goes to the tokenizer's model as it is, since the steps before the model leave letters together."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, added: list[str]):
         self.tokenizer, self.number, self.values, self.offsets = _tokenizer(content), {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+        steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lowers = steps[0] is not None and steps[0].normalize_str("AbZ") == "abz"
+        self.plain = (steps[0] is None or steps[0].normalize_str("abz") == "abz") and steps[1] is not None and [w for w, _ in steps[1].pre_tokenize_str("ab\u00fc. ab")] == ["ab\u00c3\u00bc", ".", "ab"]
+        self.added = [a.lower().encode() for a in added]
+        self.marks = {m: self._whole([m.decode()])[0] for m in (b".", b",", b";", b":", b"!", b"?")}
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return _ids(self.tokenizer, words)
+
+    def split(self, text: bytes) -> list[bytes]:
+        """A text's words; if the tokenizer lower-cases, A-Z are lower-cased here, unless that would make an added token."""
+        low = text.lower() if self.lowers else text
+        return (text if self.lowers and any(a in low for a in self.added) else low).split()
+
+    def _made(self, words: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(words)
+        if self.plain:
+            tokens = self.tokenizer.model.tokenize
+            for i, w in enumerate(words):
+                mark = self.marks.get(w[-1:])
+                core = w if mark is None else w[:-1]
+                if _PLAIN(core):
+                    own = [t.id for t in tokens(core.decode("latin-1").translate(_CHARS))]
+                    out[i] = own if mark is None else own + mark
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._whole([words[i].decode("utf-8", "replace") for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of words, and how many each has."""
@@ -154,22 +190,29 @@ class _Words:
         own: dict[bytes, int] = {}
         n = len(self.number)
         found[missing] = [own.setdefault(words[i], n + len(own)) for i in missing.tolist()]
-        made = _ids(self.tokenizer, [w.decode("utf-8", "replace") for w in own])
-        values = np.concatenate([self.values, np.array([x for ids in made for x in ids], np.int32)])
-        offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in made], dtype=np.int64)])
+        made = self._made(list(own))
+        values = np.concatenate([self.values, np.fromiter(chain.from_iterable(made), np.int32)])
+        offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])
         if n + len(own) <= KEPT:
             self.number.update(own)
             self.values, self.offsets = values, offsets
         return gather(values, offsets, found)
 
 
-def _encode(batches, content, end: int | None):
+#: A worker's words, by tokenizer.
+_HELD: dict[str, _Words] = {}
+
+
+def _encode(batches, content, added: list[str], end: int | None):
     pa.set_memory_pool(pa.system_memory_pool())
-    words = _Words(content.value)
+    if content.value not in _HELD:
+        _HELD.clear()
+        _HELD[content.value] = _Words(content.value, added)
+    words = _HELD[content.value]
     for batch in batches:
         for rows in slices(batch, _sizes(batch.column("text"), pc.binary_length), SLICE):
-            split = [t.split() for t in texts(rows)]
-            ids, sizes = words([w for x in split for w in x])
+            split = [words.split(t) for t in texts(rows)]
+            ids, sizes = words(list(chain.from_iterable(split)))
             upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0] + [len(x) for x in split])]
             if end is not None:
                 ids = np.insert(ids, upto[1:], end)
@@ -182,10 +225,10 @@ def encoded(docs: DataFrame, path: str, end: int | None = None, id_col: str = "d
     one that drops white space and parts texts at it; end, if given, is put after each. Strings of added tokens become those
     tokens. A null text has no ids but the end; repeated rows are each encoded; an empty table gives an empty result."""
     small_batches(docs.sparkSession)
-    content, _ = _settings(path)
+    content, added = _settings(path)
     kind = docs.schema[id_col].dataType.simpleString()
     source = in_order(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    made = source.mapInArrow(partial(_encode, content=docs.sparkSession.sparkContext.broadcast(content), end=end), f"id {kind}, ids array<int>")
+    made = source.mapInArrow(partial(_encode, content=docs.sparkSession.sparkContext.broadcast(content), added=added, end=end), f"id {kind}, ids array<int>")
     return made.withColumnRenamed("id", id_col)
 
 
