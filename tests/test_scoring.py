@@ -109,19 +109,6 @@ def test_numbers(spark, raw, want):
     assert spark.range(1).select(text.number(F.lit(raw))).first()[0] == want
 
 
-def test_prices_in_prose(spark):
-    one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(text.price_range(F.lit("The initial public offering price is expected to be between $14.00 and $16.50 per share"))).asDict() == {"low": 14.0, "high": 16.5}
-    assert one(text.first_price(F.lit("offering price of common stock, par value $0.0001 per share; offering price is $17.00"), "offering price")) == 17.0
-    assert one(text.lockup_days(F.lit("a lock-up period of 180 days after"))) == 180
-    assert one(text.dual_class(F.lit("Class A and class B: a dual-class structure"))) is True and one(text.dual_class(F.lit("shares"))) is None
-
-
-@pytest.mark.parametrize(("cover", "kind"), [("This is an initial public offering of shares", "ipo"), ("the last reported sale price of our stock", "follow_on"), ("proxy statement/prospectus", "merger_proxy"), ("in connection with our direct listing", "direct_listing"), ("This prospectus relates to the resale of shares", "resale_only"), ("we are offering shares; relates to the resale of", "unknown"), ("public offering price 99.500 %", "debt_offering"), ("hello", "unknown")])
-def test_kinds_of_offering(spark, cover, kind):
-    assert spark.range(1).select(text.offering_type(F.lit(cover))).first()[0] == kind
-
-
 @pytest.mark.parametrize(("raw", "want"), [("SME-IPO", "SME IPO"), ("Main Board IPO", "IPO"), ("invit ipo", "InvIT IPO"), ("Preferential", None), ("", None), (None, None)])
 def test_issue_types(spark, raw, want):
     assert spark.range(1).select(text.issue_type(F.lit(raw).cast("string"))).first()[0] == want
