@@ -19,6 +19,8 @@ ESCAPE, RUN, FIRST = 0, 1, 2
 RUN_BITS = 32
 BLOCK = 1024
 _MOST = CUTS[0][0]
+#: Bit lengths of all 16-bit numbers: what most ids are.
+_BITS = np.repeat(np.arange(17, dtype=np.uint8), [1, *(1 << i for i in range(16))])
 _HELD = np.array([1, 0, *(n for n, _ in CUTS)], np.int64)
 
 
@@ -32,6 +34,8 @@ class Coded(NamedTuple):
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """How many bits each value needs; none for 0."""
+    if values.max(initial=0) < len(_BITS):
+        return _BITS[values]
     low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     high = values >> np.uint64(32)
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
@@ -42,15 +46,13 @@ def _selectors(table: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndar
     columns of zeros after a block's values."""
     rows = bits[:, :BLOCK]
     selector = np.where(rows > 60, ESCAPE, FIRST + len(CUTS) - 1).astype(np.uint8)
-    peak, have = rows.copy(), 1
+    reach, have = bits.copy(), 1
+    peak = reach[:, :BLOCK]
     for s in range(len(CUTS) - 2, -1, -1):
         n, width = CUTS[s]
         while have < n:  # the greatest of the next `have` bit lengths becomes that of the next n
             step = min(have, n - have)
-            reach = np.zeros_like(bits)
-            reach[:, :BLOCK] = peak
-            reach[:, BLOCK:] = 0
-            np.maximum(peak, reach[:, step : step + BLOCK], out=peak)
+            np.maximum(reach[:, :-step], reach[:, step:], out=reach[:, :-step])
             have += step
         selector[peak <= width] = FIRST + s
     held = _HELD[selector].astype(np.int32)
@@ -73,7 +75,9 @@ def encode(values: np.ndarray) -> Coded:
     whole = np.zeros(blocks * BLOCK, np.uint64)
     whole[: len(values)] = values
     table[:, :BLOCK] = whole.reshape(blocks, BLOCK)
-    selector, held = _selectors(table, bit_lengths(table))
+    bits = np.zeros((blocks, width), np.uint8)
+    bits[:, :BLOCK] = bit_lengths(whole).reshape(blocks, BLOCK)
+    selector, held = _selectors(table, bits)
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = len(values) - (blocks - 1) * BLOCK
     begins = np.zeros((blocks, BLOCK), bool)
