@@ -99,10 +99,11 @@ def due_jobs(cycle: int) -> list[str]:
     return ["ingest", *(["performance"] if cycle % PERFORMANCE_EVERY == 0 else []), *(["history"] if cycle % HISTORY_EVERY == 0 else [])]
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None, clocked: bool = False) -> DataFrame:
     """Runs a stream over what there is and returns its result as a table of Parquet files in the shared folder. A batch
     that is run again overwrites its own files; with the same checkpoint a later call goes on where this one ended. In
-    complete mode the last batch is the result, else all of them."""
+    complete mode the last batch is the result, else all of them. clocked: the stream waits for a clock, so it would never have
+    nothing left to do; all that there is makes one batch."""
     spark = stream.sparkSession
     checkpoint = checkpoint or f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     rows = f"{checkpoint}_rows"
@@ -110,7 +111,7 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = No
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{rows}/batch={batch}")
 
-    stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**({"once": True} if clocked else {"availableNow": True})).foreachBatch(keep).start().awaitTermination()
     try:
         found = spark.read.schema(stream.schema.add("batch", "long")).parquet(rows)
     except AnalysisException:  # nothing came, so nothing was written
