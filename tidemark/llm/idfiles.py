@@ -30,7 +30,7 @@ MAGIC = int.from_bytes(b"tidsids1", "little")
 #: Ids of a file, about; a document with more has a file of its own.
 FILE_IDS = 1 << 21
 #: Words whose ids a worker keeps, and bytes of text that it splits at once.
-KEPT, SLICE = 300_000, 1 << 20
+KEPT, SLICE = 400_000, 1 << 20
 MANIFEST = "part int, number int, name string, documents long, ids long, bytes long"
 
 
@@ -141,10 +141,11 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", *also: str) -> DataFrame:
     return keyed.repartitionByRange(F.col(id_col).asc_nulls_first(), "__tie").sortWithinPartitions(F.col(id_col).asc_nulls_first(), "__tie").drop("__tie")
 
 
-#: Lower-case letters of ASCII and Latin-1, which no step before the model changes or parts, and the characters that stand
-#: for bytes in the model.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-_CHARS = {b: c for c, b in _unicode_bytes().items()}
+#: Words of lower-case letters of ASCII and Latin-1, which no step before the model changes or parts, and one mark after them at
+#: most, which is a piece of its own; what parts words for the model; the characters that stand for bytes in it.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,;:!?]?").fullmatch
+_BETWEEN = b"\x7f"
+_CHARS = {b: c for c, b in _unicode_bytes().items() if b != 32}
 
 
 class _Words:
@@ -153,35 +154,38 @@ class _Words:
     one mark after it, goes to the tokenizer's model as it is, since the steps before the model leave letters together."""
 
     def __init__(self, content: str, added: list[str]):
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.tokenizer, self.number, self.values, self.offsets = _tokenizer(content), {}, np.empty(0, np.int32), np.zeros(1, np.int64)
         steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lowers = steps[0] is not None and steps[0].normalize_str("AbZ") == "abz"
         self.plain = (steps[0] is None or steps[0].normalize_str("abz") == "abz") and steps[1] is not None and [w for w, _ in steps[1].pre_tokenize_str("ab\u00fc. ab")] == ["ab\u00c3\u00bc", ".", "ab"]
         self.added = [a.lower().encode() for a in added]
-        self.marks = {m: self._whole([m.decode()])[0] for m in (b".", b",", b";", b":", b"!", b"?")}
-
-    def _whole(self, words: list[str]) -> list[list[int]]:
-        return _ids(self.tokenizer, words)
+        # the model alone: words stand between white space, and what parts them is a token that no word of letters has
+        self.model = _tokenizer(content)
+        self.model.normalizer, self.model.pre_tokenizer = None, WhitespaceSplit()
+        between = self.model.encode(_CHARS[_BETWEEN[0]], add_special_tokens=False).ids
+        self.plain, self.between = self.plain and len(between) == 1, between[0]
 
     def split(self, text: bytes) -> list[bytes]:
         """A text's words; if the tokenizer lower-cases, A-Z are lower-cased here, unless that would make an added token."""
         low = text.lower() if self.lowers else text
         return (text if self.lowers and any(a in low for a in self.added) else low).split()
 
-    def _made(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        if self.plain:
-            tokens = self.tokenizer.model.tokenize
-            for i, w in enumerate(words):
-                mark = self.marks.get(w[-1:])
-                core = w if mark is None else w[:-1]
-                if _PLAIN(core):
-                    own = [t.id for t in tokens(core.decode("latin-1").translate(_CHARS))]
-                    out[i] = own if mark is None else own + mark
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._whole([words[i].decode("utf-8", "replace") for i in rest]), strict=True):
-            out[i] = ids
-        return out
+    def _made(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, and how many each has."""
+        plain = np.fromiter((self.plain and _PLAIN(w) is not None for w in words), bool, len(words))
+        letters = [w if w[-1] > 63 else w[:-1] + b" " + w[-1:] for w, p in zip(words, plain.tolist(), strict=True) if p]
+        joined = [(b" " + _BETWEEN + b" ").join(letters[a : a + 256]).decode("latin-1").translate(_CHARS) for a in range(0, len(letters), 256)]
+        parts = [np.array([*ids, self.between], np.int32) for ids in _ids(self.model, joined)]
+        ids = np.concatenate([np.empty(0, np.int32), *parts])
+        ends = np.flatnonzero(ids == self.between)
+        rest = _ids(self.tokenizer, [w.decode("utf-8", "replace") for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.fromiter(map(len, rest), np.int64, len(rest))])
+        values = np.concatenate([ids[ids != self.between], np.fromiter(chain.from_iterable(rest), np.int32)])
+        at = np.empty(len(words), np.int64)
+        at[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
+        return gather(values, np.concatenate([[0], np.cumsum(sizes)]), at)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of words, and how many each has."""
@@ -190,9 +194,9 @@ class _Words:
         own: dict[bytes, int] = {}
         n = len(self.number)
         found[missing] = [own.setdefault(words[i], n + len(own)) for i in missing.tolist()]
-        made = self._made(list(own))
-        values = np.concatenate([self.values, np.fromiter(chain.from_iterable(made), np.int32)])
-        offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])
+        made, sizes = self._made(list(own))
+        values = np.concatenate([self.values, made])
+        offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
         if n + len(own) <= KEPT:
             self.number.update(own)
             self.values, self.offsets = values, offsets
