@@ -1,13 +1,13 @@
-"""What a prospectus says of its offering, read from statements.
+"""What a prospectus says of its offering, by what a cover has to tell: what is sold and by whom, whether it has a market and a
+price there already, where it will be listed, and at what price it is offered.
 
-The text is reduced to lower-case words in sentences. A statement is a sentence that holds one phrase of each of some groups
-and none of others; kinds of offering follow from the statements on the cover. Prices are read by cutting the text at its
-dollar signs: each amount then stands between the words before and after it, which rank it."""
+The text is reduced to lower-case words and full stops. A statement is a regular expression that looks for word classes within
+one sentence, so that each is one test of the whole text. An amount of money is the price if what stands before it is a noun
+for the price, followed by nothing but words that describe the security, or say "is"."""
 
 from __future__ import annotations
 
 from functools import reduce
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,46 +23,45 @@ PAST_TABLE, NO_TABLE = 1_500, 30_000
 TABLE_MARKS = ("price to public", "price to the public", "underwriting discounts and commissions", "underwriting discount and commissions", "proceeds before expenses")
 
 
-class Statement(NamedTuple):
-    """One phrase of each group stands in the sentence, and no phrase of none."""
-
-    groups: tuple[tuple[str, ...], ...]
-    none: tuple[str, ...] = ()
-
-
-def _said(*groups: tuple[str, ...] | str, none: tuple[str, ...] = ()) -> Statement:
-    return Statement(tuple((g,) if isinstance(g, str) else g for g in groups), none)
-
-
-NATIONAL = ("nasdaq", "nyse", "new york stock exchange")
-JUNIOR = ("otc", "otcqb", "otcqx", "otc pink", "otc markets", "tsx", "tsxv", "tsx venture", "cse")
-SOLD_SECURITIES = ("common stock", "common shares", "ordinary shares", "units", "ads", "adss", "american depositary", "shares", "securities")
-TRADES = tuple(f"{verb} {adverb}{done}" for verb in ("is", "are") for adverb in ("", "currently ", "presently ") for done in ("listed", "quoted", "traded", "trading"))
-BEGAN = ("began trading", "commenced trading", "started trading")
-
-MERGER = [_said(("proxy statement prospectus", "proxy statement and prospectus", "business combination agreement"))]
-DEBT = [_said(("public offering price percentage", "price to public percentage"))]
-DIRECT = [_said("direct listing", ("in connection with our", "in connection with the")), _said("current reference price"), _said("unlike an initial public offering", "resale")]
-SPIN_OFF = [_said("spin off", ("record date", "will be distributed", "distribution"))]
-FOLLOW_ON = [
-    _said(("last reported sale price", "last reported sales price")),
-    _said(("closing price of", "closing sale price of", "closing sales price of"), (*NATIONAL, *JUNIOR)),
-    _said(TRADES, (*NATIONAL, *JUNIOR), ("symbol", "symbols")),
-    _said(BEGAN, NATIONAL, ("symbol", "symbols")),
+#: Word classes: what is sold, who holds it, where it is traded (on a national exchange, or anywhere).
+SECURITY = r"(?:stock|shares?|units?|adss?|securities)"
+HOLDERS = r"(?:(?:share|stock|security|unit)?holders?|sellers?)"
+NATIONAL = r"(?:nasdaq|nyse|new york stock exchange|cboe)"
+VENUE = rf"(?:{NATIONAL}|otc\w*|pink|tsxv?|toronto stock exchange|cse|asx|aim)"
+SYMBOL = r"symbols?"
+
+
+def _sentence(*parts: str, none: str | None = None) -> str:
+    """A sentence that holds all parts, in any order, and not none."""
+    within = lambda p: rf"[^.]*\b(?:{p})\b"
+    return r"(?:^|\.)" + "".join(f"(?={within(p)})" for p in parts) + (f"(?!{within(none)})" if none else "")
+
+
+# what is sold
+MERGER = [_sentence(r"proxy statement(?: and)? prospectus"), _sentence("business combination agreement")]
+DEBT = [_sentence(r"price (?:to (?:the )?public )?percentage")]
+SPIN_OFF = [_sentence("spin off", r"record date|distribut\w+")]
+DIRECT = [_sentence("direct listing", r"in connection with (?:our|the)|reference price"), _sentence(r"current reference price"), _sentence("unlike an initial public offering", "resale")]
+# who sells it
+ISSUER = [_sentence(r"we are (?:\w+ )?offering"), _sentence(r"offered by (?:us|the company|our company)"), _sentence(r"(?:ipo|primary offering|initial public offering) prospectus"), _sentence(r"in (?:our|the) initial public offering")]
+RESALE = [_sentence(r"relates? to (?:\w+ ){0,3}re(?:sale|offer)"), _sentence(r"prospectus relates to", r"offer and (?:re)?sale", rf"{HOLDERS}|from time to time")]
+# whether it has a market and a price
+TRADED = [
+    _sentence(r"last reported (?:\w+ ){0,2}price"),
+    _sentence(r"closing (?:\w+ ){0,2}price", VENUE),
+    _sentence(rf"(?:is|are) (?:\w+ )?(?:listed|quoted|traded|trading)\b", VENUE, SYMBOL),
+    _sentence(r"(?:began|commenced|started) trading", NATIONAL, SYMBOL),
 ]
-RESALE = [_said("this prospectus relates to the", ("resale", "offer and sale", "offer and resale"), ("from time to time", "of", "by")), _said(("relates to the resale of", "relates to the resale by"))]
-PRIMARY = [_said(("we are offering", "shares offered by us", "shares offered by the company", "ipo prospectus", "primary offering prospectus", "initial public offering prospectus", "in our initial public offering", "in the initial public offering"))]
+UNTRADED = [_sentence(rf"no (?:\w+ ){{0,3}}market (?:\w+ ){{0,3}}for (?:\w+ ){{0,3}}{SECURITY}", none=r"for (?:\w+ ){0,2}warrants|purchase warrants")]
+# whether this is the first sale to the public
 FIRST = [
-    _said(("this is an initial public offering", "this is our initial public offering", "this is the initial public offering")),
-    _said("this prospectus", ("relates to", "describes", "covers", "is for"), ("our initial public offering", "the initial public offering"), none=("since", "after", "following")),
-    _said("we are offering", ("in our initial public offering", "in this initial public offering")),
-    _said("no", ("market for", "market exists for", "market currently exists for"), ("public", "trading"), SOLD_SECURITIES, none=("for our warrants", "for the warrants", "for warrants", "purchase warrants")),
-]
-SUPPORT = [
-    _said("initial public offering price", ("exceeds", "higher than"), "tangible book value"),
-    _said(("been approved for listing", "applied to list", "applied for listing", "applied for the listing", "approved to list", "approved to be listed", "approved to have", "approved to list our")),
+    _sentence(r"this is (?:an|our|the) initial public offering"),
+    _sentence(r"this prospectus (?:\w+ ){1,2}(?:our|the) initial public offering", none="since|after|following"),
+    _sentence(r"we are offering", r"in (?:our|this) initial public offering"),
+    *UNTRADED,
 ]
-OFFERS_TO_PUBLIC = [_said(tuple(f"this is {how}public offering of" for how in ("a ", "an ", "an initial ", "a firm commitment ", "an underwritten ", "a best efforts ", "a self underwritten ")))]
+TO_BE_LISTED = [_sentence(r"appl(?:y|ied|ication)\b(?: \w+){0,5} list(?:ing|ed)?"), _sentence(r"approved\b(?: \w+){0,4} list(?:ing|ed)?"), _sentence("initial public offering price", r"exceeds|higher than", "book value")]
+TO_THE_PUBLIC = [_sentence("initial public offering"), _sentence(r"this is (?:\w+ ){0,4}public offering of")]
 
 
 def flat(text: Column) -> Column:
@@ -88,33 +87,26 @@ def sentences(plain_text: Column) -> Column:
     return F.transform(F.split(plain_text, r"\."), lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(s, " +", " ")), F.lit(" ")))
 
 
-def says(found: Column, statements: list[Statement]) -> Column:
-    """Whether one of the sentences is one of the statements."""
-
-    def any_of(s: Column, phrases: tuple[str, ...]) -> Column:
-        return reduce(lambda a, b: a | b, (F.contains(s, F.lit(f" {p} ")) for p in phrases), F.lit(False))
-
-    def is_one(s: Column) -> Column:
-        return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (any_of(s, g) for g in x.groups)) & ~any_of(s, x.none) for x in statements))
-
-    return F.exists(found, is_one)
+def says(plain_text: Column, statements: list[str]) -> Column:
+    """Whether one of the statements is made in the text."""
+    return reduce(lambda a, b: a | b, (plain_text.rlike(x) for x in statements))
 
 
 def classify(on_cover: Column, anywhere: Column) -> Column:
-    """ipo, follow_on or unknown, from the sentences of the cover and of the whole text: an earlier offering that is only
-    mentioned doesn't count."""
-    mentioned = says(on_cover, [_said("initial public offering"), *OFFERS_TO_PUBLIC])
-    return pick((says(on_cover, FOLLOW_ON), "follow_on"), (says(on_cover, FIRST) | (says(anywhere, SUPPORT) & mentioned), "ipo"), otherwise="unknown")
+    """ipo, follow_on or unknown, from the words of the cover and of the whole text. What has a price on a market is no first
+    sale; a listing that is only sought makes one of an offering to the public."""
+    first = says(on_cover, FIRST) | (says(anywhere, TO_BE_LISTED) & says(on_cover, TO_THE_PUBLIC))
+    return pick((says(on_cover, TRADED), "follow_on"), (first, "ipo"), otherwise="unknown")
 
 
 def offering_type(on_cover: Column, base: Column) -> Column:
-    """The kind of offering, told in this order: a merger's proxy, debt, a direct listing, a spin-off without a sale, a
-    follow-on, a resale alone, an initial offering; else unknown. base: what classify says."""
-    sells = says(on_cover, [_said("we are offering")])
+    """The kind of offering: what is sold, then who sells it, then whether it is sold for the first time. base: what classify
+    says."""
+    by_issuer = says(on_cover, ISSUER)
     return pick(
         (says(on_cover, MERGER), "merger_proxy"), (says(on_cover, DEBT), "debt_offering"), (says(on_cover, DIRECT), "direct_listing"),
-        (says(on_cover, SPIN_OFF) & ~sells, "spin_off_distribution"), (base == "follow_on", "follow_on"),
-        (says(on_cover, RESALE) & ~says(on_cover, PRIMARY), "resale_only"), otherwise=base,
+        (says(on_cover, SPIN_OFF) & ~says(on_cover, ISSUER[:1]), "spin_off_distribution"), (base == "follow_on", "follow_on"),
+        (says(on_cover, RESALE) & ~by_issuer, "resale_only"), otherwise=base,
     )
 
 
@@ -127,51 +119,38 @@ def amounts(flat_text: Column) -> Column:
     return pair
 
 
-def _ranked(found: Column, ranks: list) -> Column:
-    """The first plausible amount of the best rank; ranks are conditions on (before, after)."""
-    stained = ("par value", "warrant", "exercis", "option")
-    good = F.filter(found, lambda x: x["value"].between(*PRICE_BAND) & ~reduce(lambda a, b: a | b, (F.contains(F.right(x["before"], F.lit(160)), F.lit(w)) for w in stained)))
-    rank = lambda x: F.coalesce(*[F.when(ok(x["before"], x["after"]), F.lit(i)) for i, ok in enumerate(ranks)])
-    return F.array_min(F.filter(F.transform(good, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("nth"), x["value"].alias("value"))), lambda x: x["rank"].isNotNull()))["value"]
-
-
-def _near(before: Column, phrase: str, within: int) -> Column:
-    return F.contains(F.right(before, F.lit(within + len(phrase))), F.lit(phrase))
-
-
-def _ends(before: Column, *phrases: str) -> Column:
-    return reduce(lambda a, b: a | b, (F.endswith(before, F.lit(p)) for p in phrases))
+#: What may stand between the price and its amount: words that describe the security, and a verb, which makes it a statement.
+_OF = rf"(?: (?:of|per|for|the|our|each|in|this|total|initial|public|offering|class|[ab]|common|ordinary|american|depositary|{SECURITY}))*"
+_IS = r"(?: (?:is|was|will be))"
+_PRICE = r"\b(?:(?:public )?offering price|price to (?:the )?public|ipo price)"
+#: On the cover: the price, with or without a verb. Further on: a statement, or a cell of a table. In looser words: any price per
+#: share. A price that is assumed, or that somebody else pays, is none.
+ON_COVER, STATED, CELL, LOOSE = rf"{_PRICE}{_OF}{_IS}?$", rf"{_PRICE}{_OF}{_IS}$", rf"(?:per {SECURITY}|total) (?:initial )?{_PRICE[2:]}$", rf"\bprice(?: of|{_IS})?$"
+_PER_SHARE = rf"^per (?:\w+ ){{0,3}}{SECURITY}\b"
+_OTHERWISE = r"par value|warrant|exercis|option|assum|based (?:up)?on"
 
 
-def _per_share(after: Column) -> Column:
-    return after.rlike(r"^per (\w+ ){0,3}(share|unit|ads|adss)")
-
-
-UNITS = ("share", "unit", "ads")
-STATED = [
-    lambda b, a: _near(b, "initial public offering price", 100),
-    lambda b, a: _near(b, "public offering price", 80) & _per_share(a),
-]
-TABLED = [
-    lambda b, a: _ends(b, "offering price of", "offering price", *(f"offering price per {u}" for u in UNITS)),
-    lambda b, a: _near(b, "price to public", 160) | _near(b, "price to the public", 160),
-    lambda b, a: _near(b, "ipo price", 40),
-]
-LOOSE = [lambda b, a: _ends(b, "at a price of", "at the price of", "fixed price of", "fixed offering price of", "price is", "price was") & _per_share(a)]
+def _first(found: Column, before: str, after: str | None = None) -> Column:
+    """The first amount in the band of a price per share with the words before it, and those after it."""
+    ok = lambda x: x["value"].between(*PRICE_BAND) & x["before"].rlike(before) & ~F.right(x["before"], F.lit(160)).rlike(_OTHERWISE)
+    fits = (lambda x: ok(x) & x["after"].rlike(after)) if after else ok
+    return F.try_element_at(F.filter(found, fits), F.lit(1))["value"]
 
 
 def price_range(flat_text: Column, on_cover: Column) -> Column:
-    """struct(low, high) of an expected range, else of the price to the public; on_cover: amounts of the cover."""
-    between = r"offering price[^$]{0,80}between ?\$ ?([0-9][0-9,.]*[0-9]|[0-9]) and ?\$ ?([0-9][0-9,.]*[0-9]|[0-9])"
+    """struct(low, high) of a range that the price is said to lie in, else of the price to the public; on_cover: amounts of
+    the cover."""
+    amount = r"\$ ?([0-9](?:[0-9,.]*[0-9])?)"
+    between = rf"price (?:\S+ ){{0,12}}(?:between|range of|from) (?:us)?{amount} (?:and|to) (?:us)?{amount}"
     money = lambda g: F.regexp_replace(F.regexp_extract(F.lower(flat_text), between, g), ",", "").try_cast("double")
-    low = F.coalesce(money(1), _ranked(on_cover, TABLED[1:2]))
+    low = F.coalesce(money(1), _first(on_cover, r"price to (?:the )?public(?: \S+){0,8}$"))
     return F.struct(low.alias("low"), F.coalesce(money(2), low).alias("high"))
 
 
 def final_price(on_cover: Column, anywhere: Column) -> Column:
-    """The price on the cover; what is stated anywhere; on the cover in looser words. Never a par value, a warrant's price
-    or a total. Both are amounts."""
-    return F.coalesce(_ranked(on_cover, STATED + TABLED), _ranked(anywhere, STATED), _ranked(on_cover, LOOSE))
+    """The price on the cover; one that a sentence states, or a table shows, anywhere; on the cover in looser words. Never a par
+    value, a warrant's price, an assumption or a total. Both are amounts."""
+    return F.coalesce(_first(on_cover, ON_COVER), _first(anywhere, rf"{STATED}|{CELL}"), _first(on_cover, LOOSE, _PER_SHARE))
 
 
 def symbol(flat_text: Column) -> Column:
@@ -185,21 +164,21 @@ def lockup_days(found: Column) -> Column:
     return F.regexp_extract(F.try_element_at(told, F.lit(1)), r" ([0-9]{2,3}) days ", 1).try_cast("int")
 
 
-def dual_class(found: Column) -> Column:
+def dual_class(plain_text: Column) -> Column:
     """Whether shares are said to be of two classes; null where no class is mentioned."""
-    return F.when(says(found, [_said(("class", "classes"))]), says(found, [_said("dual class")]))
+    return F.when(plain_text.rlike(r"\bclass(?:es)?\b"), plain_text.rlike(r"\bdual class\b"))
 
 
 def read(filings: DataFrame, text_col: str) -> DataFrame:
     """filings with kind, base, price_low, price_high, final_price, symbol (all four null unless base is ipo), lockup_days
     and dual_class. Each step is a column of its own, so that a text is cleaned and cut once."""
     df = filings.withColumn("_flat", flat(F.col(text_col))).withColumn("_plain", plain(F.col("_flat")))
-    df = df.withColumns({"_cover": sentences(cover(F.col("_plain"))), "_all": sentences(F.col("_plain")), "_near": amounts(cover(F.lower("_flat"))), "_far": amounts(F.col("_flat"))})
-    df = df.withColumn("base", classify(F.col("_cover"), F.col("_all"))).withColumn("_range", price_range(F.col("_flat"), F.col("_near")))
-    found = {"kind": offering_type(F.col("_cover"), F.col("base")), "lockup_days": lockup_days(F.col("_all")), "dual_class": dual_class(F.col("_all"))}
+    df = df.withColumns({"_cover": cover(F.col("_plain")), "_near": amounts(cover(F.lower("_flat"))), "_far": amounts(F.col("_flat"))})
+    df = df.withColumn("base", classify(F.col("_cover"), F.col("_plain"))).withColumn("_range", price_range(F.col("_flat"), F.col("_near")))
+    found = {"kind": offering_type(F.col("_cover"), F.col("base")), "lockup_days": lockup_days(sentences(F.col("_plain"))), "dual_class": dual_class(F.col("_plain"))}
     first = {"price_low": F.col("_range.low"), "price_high": F.col("_range.high"), "final_price": F.coalesce(final_price(F.col("_near"), F.col("_far")), F.col("_range.high"), F.col("_range.low")), "symbol": symbol(F.col("_flat"))}
     df = df.withColumns(found | {k: F.when(F.col("base") == "ipo", v) for k, v in first.items()})
-    return df.drop("_flat", "_plain", "_cover", "_all", "_near", "_far", "_range")
+    return df.drop("_flat", "_plain", "_cover", "_near", "_far", "_range")
 
 
 def is_blank_check(raw: Column) -> Column:

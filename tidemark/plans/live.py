@@ -75,7 +75,7 @@ _FIRST = """SELECT p.id, {n} AS attempt, min(v."at") AS "at", arg_min(v.price, s
 @query(f"""WITH p AS (SELECT event_id AS id, user_id AS key, ts AS due FROM events WHERE event_id % 10 = 1), v AS (SELECT user_id AS key, ts AS "at", "value" AS price FROM events WHERE event_id % 3 = 0),
     t AS ({_FIRST.format(n=1)} UNION ALL {_FIRST.format(n=2)}),
     best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY "at" IS NULL, CASE WHEN "at" IS NULL THEN -attempt ELSE attempt END) = 1)
-    SELECT id, attempt, epoch_us("at") AS at_us, price, CASE WHEN "at" IS NULL THEN 'BLOCKED_MARKET_DATA' ELSE 'GRADED' END AS category FROM best""")
+    SELECT id, attempt, coalesce(epoch_us("at"), -1) AS at_us, price, CASE WHEN "at" IS NULL THEN 'BLOCKED_MARKET_DATA' ELSE 'GRADED' END AS category FROM best""")
 def late_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth event waits six hours for a price of its user, and again after two days; a row far ahead in either stream
     lets all of them be settled."""
@@ -84,7 +84,7 @@ def late_outcomes(spark: SparkSession, d: str) -> DataFrame:
     asked = e.filter("event_id % 10 = 1").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("due")).unionByName(end.select("id", "key", F.col("at").alias("due")))
     prices = e.filter("event_id % 3 = 0").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("value").alias("price")).unionByName(end.drop("id"))
     out = outcomes.settled(_derived(spark, "asked", asked), _derived(spark, "prices", prices), "6 HOURS", 2, "48 HOURS")
-    return out.filter("id >= 0").select("id", "attempt", F.unix_micros("at").alias("at_us"), "price", "category")
+    return out.filter("id >= 0").select("id", "attempt", F.coalesce(F.unix_micros("at"), F.lit(-1)).alias("at_us"), "price", "category")
 
 
 _STATUS = "CASE WHEN event_id % 4 = 0 THEN [{}][CAST((user_id + event_id) % 8 AS INT) + 1] END"
