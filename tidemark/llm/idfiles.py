@@ -28,9 +28,9 @@ from tidemark.llm.common import reliable, slices, small_batches, texts
 
 MAGIC = int.from_bytes(b"tidsids1", "little")
 #: Ids of a file, about; a document with more has a file of its own.
-FILE_IDS = 1 << 21
+FILE_IDS = 1 << 20
 #: Words whose ids a worker keeps, and bytes of text that it splits at once.
-KEPT, SLICE = 400_000, 1 << 20
+KEPT, SLICE = 300_000, 1 << 19
 MANIFEST = "part int, number int, name string, documents long, ids long, bytes long"
 
 
@@ -154,19 +154,26 @@ class _Words:
     one mark after it, goes to the tokenizer's model as it is, since the steps before the model leave letters together."""
 
     def __init__(self, content: str, added: list[str]):
-        from tokenizers.pre_tokenizers import WhitespaceSplit
-
         self.tokenizer, self.number, self.values, self.offsets = _tokenizer(content), {}, np.empty(0, np.int32), np.zeros(1, np.int64)
         steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lowers = steps[0] is not None and steps[0].normalize_str("AbZ") == "abz"
         self.plain = (steps[0] is None or steps[0].normalize_str("abz") == "abz") and steps[1] is not None and [w for w, _ in steps[1].pre_tokenize_str("ab\u00fc. ab")] == ["ab\u00c3\u00bc", ".", "ab"]
         self.added = [a.lower().encode() for a in added]
-        # the model alone: words stand between white space, and what parts them is a token that no word of letters has
-        self.model = _tokenizer(content)
-        self.model.normalizer, self.model.pre_tokenizer = None, WhitespaceSplit()
-        between = self.model.encode(_CHARS[_BETWEEN[0]], add_special_tokens=False).ids
+        # what parts words for the model alone is a token that no word of letters has
+        between = self._alone([_CHARS[_BETWEEN[0]]])[0]
         self.plain, self.between = self.plain and len(between) == 1, between[0]
 
+    def _alone(self, texts: list[str]) -> list[list[int]]:
+        """Ids by the model alone, of words between white space in the characters that stand for bytes."""
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        before = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, WhitespaceSplit()
+        try:
+            return _ids(self.tokenizer, texts)
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = before
+
     def split(self, text: bytes) -> list[bytes]:
         """A text's words; if the tokenizer lower-cases, A-Z are lower-cased here, unless that would make an added token."""
         low = text.lower() if self.lowers else text
@@ -177,7 +184,7 @@ class _Words:
         plain = np.fromiter((self.plain and _PLAIN(w) is not None for w in words), bool, len(words))
         letters = [w if w[-1] > 63 else w[:-1] + b" " + w[-1:] for w, p in zip(words, plain.tolist(), strict=True) if p]
         joined = [(b" " + _BETWEEN + b" ").join(letters[a : a + 256]).decode("latin-1").translate(_CHARS) for a in range(0, len(letters), 256)]
-        parts = [np.array([*ids, self.between], np.int32) for ids in _ids(self.model, joined)]
+        parts = [np.array([*ids, self.between], np.int32) for ids in self._alone(joined)]
         ids = np.concatenate([np.empty(0, np.int32), *parts])
         ends = np.flatnonzero(ids == self.between)
         rest = _ids(self.tokenizer, [w.decode("utf-8", "replace") for w, p in zip(words, plain.tolist(), strict=True) if not p])
