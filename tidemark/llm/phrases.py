@@ -28,11 +28,11 @@ from tidemark.llm.mph import NONE, PerfectHash, scattered
 #: The most words, and candidates of one length, that are broadcast (8 bytes each, and the words themselves).
 MOST = 1 << 20
 #: Numbers of words in one row of the table of texts, words of a mapper at least if there are many, and those for each bucket.
-ROW, MAPPER, LOAD = 1 << 19, 1 << 26, 16
+ROW, MAPPER, LOAD = 1 << 18, 1 << 26, 32
 #: Buckets, as powers of two; places of an array that are sent together; arrays that are added up at once.
 LEAST_POWER, MOST_POWER, RANGE, FAN = 16, 25, 1 << 16, 8
 #: What a Counter holds before it is sent on.
-HELD = 1 << 18
+HELD = 1 << 17
 #: Fixed by the contract: what ends a piece, what parts words in it, and the language of rows without one. A byte that no text
 #: holds stands for a piece's end.
 BREAKS, BLANKS, NO_LANGUAGE = b".,;:!?\n\x0b\x0c\r", b" \t", "und"
@@ -391,7 +391,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
         source.mapInArrow(partial(_number, shared=spark.sparkContext.broadcast(numbers)), "numbers binary").write.parquet(folder)
         total = sum(n.values())
         mappers = max(2 * spark.sparkContext.defaultParallelism, -(-total // MAPPER))
-        power = min(MOST_POWER, max(LEAST_POWER, (total // LOAD).bit_length()))
+        power = min(MOST_POWER, max(LEAST_POWER, (total // LOAD).bit_length() - 1))
         table = spark.read.parquet(folder).coalesce(mappers)
         found: Slots | None = None
         while len(levels) < longest - 1:
