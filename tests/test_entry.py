@@ -19,7 +19,7 @@ TABLES = "/root/testdata/sf0.001"
 
 
 def _names():
-    from tidemark.plans import evaluated, ledger, live, relational, scored, selected, series, textual  # noqa: F401
+    from tidemark.plans import evaluated, ledger, live, relational, scored, selected, series, statements, textual  # noqa: F401
     from tidemark.plans.base import ORACLES
 
     return sorted(ORACLES)

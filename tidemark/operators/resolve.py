@@ -122,6 +122,22 @@ def agreement(evidence: DataFrame, keys: list[str], source: str, value: str, a:
     return both.agg(F.count("*").alias("pairs"), F.count_if(near).alias("agree"))
 
 
+def periods_between(observed: DataFrame, entity: str, field: str, period: str, source: str, value: str, a: str, b: str, within: float = 0.01, stale: int | None = None) -> DataFrame:
+    """(field, both, a_leads, b_leads, same_newest, stale, same_period, agree): of the entities for which both sources tell a
+    field, whose newest period is the later one, how many newest periods lie more than ``stale`` days apart (null without
+    it), and of periods that both tell, how many values agree within a share.
+
+    One pass: a row per entity, field and period with both values, then one per entity and field with both newest periods, so
+    neither a join nor a window is needed. Of observations that repeat the greatest value counts; a period without a value still counts as one that was told."""
+    own = lambda s: F.col(source) == s
+    per = observed.filter(F.col(source).isin(a, b)).groupBy(entity, field, period).agg(*[F.max(F.when(own(s), F.col(value))).alias(n) for s, n in ((a, "a"), (b, "b"))], *[F.bool_or(own(s)).alias(n) for s, n in ((a, "has_a"), (b, "has_b"))])
+    near = F.abs(F.col("a") - F.col("b")) <= F.lit(within) * F.greatest(F.abs("a"), F.abs("b"), F.lit(1e-9))
+    newest = per.groupBy(entity, field).agg(F.max(F.when(F.col("has_a"), F.col(period))).alias("of_a"), F.max(F.when(F.col("has_b"), F.col(period))).alias("of_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("same"), F.count_if(near).alias("agree"))
+    apart = F.count_if(F.abs(F.datediff(F.col("of_a").cast("date"), F.col("of_b").cast("date"))) > stale) if stale is not None else F.lit(None).cast("long")
+    both = newest.filter("of_a is not null and of_b is not null").groupBy(field)
+    return both.agg(F.count("*").alias("both"), F.count_if(F.col("of_a") > F.col("of_b")).alias("a_leads"), F.count_if(F.col("of_b") > F.col("of_a")).alias("b_leads"), F.count_if(F.col("of_a") == F.col("of_b")).alias("same_newest"), apart.alias("stale"), F.sum("same").alias("same_period"), F.sum("agree").alias("agree"))
+
+
 def merged(old: DataFrame, new: DataFrame, key: str, rank: Column | None = None) -> DataFrame:
     """old and new by key: what new has replaces what old had, but nothing never replaces something. With columns status
     in both, a status doesn't go back (rank: a function of a status column)."""

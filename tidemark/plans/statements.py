@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import filings
+from tidemark.operators import filings, resolve
 from tidemark.plans.base import query, table
 
 #: Events as facts of companies: plain SQL that both engines read alike. Some facts have the wrong unit, length or taxonomy.
@@ -70,3 +70,18 @@ def xbrl_statement(spark: SparkSession, d: str) -> DataFrame:
     rows, listed = facts(spark, d)
     s = filings.statement(rows, "id", listed, "listed")
     return s.select("id", "field", (F.floor(F.col("value") * 100 + 0.5) / 100).alias("value"), "period_end", "period_start", "filed", "available_at", "accn", "concept", "rule")
+
+
+_TOLD = """o AS (SELECT l_partkey AS id, 'f' || CAST(l_linenumber % 3 AS VARCHAR(1)) AS field, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS period, CASE WHEN l_suppkey % 3 = 0 THEN 'prospectus' WHEN l_suppkey % 3 = 1 THEN 'xbrl' ELSE 'other' END AS source, CASE WHEN l_orderkey % 11 > 0 THEN floor(l_quantity / 10) END AS "value" FROM lineitem)"""
+
+
+@query(f"""WITH {_TOLD}, per AS (SELECT id, field, period, max("value") FILTER (source = 'prospectus') AS a, max("value") FILTER (source = 'xbrl') AS b, bool_or(source = 'prospectus') AS has_a, bool_or(source = 'xbrl') AS has_b FROM o WHERE source <> 'other' GROUP BY 1, 2, 3),
+    n AS (SELECT id, field, max(period) FILTER (has_a) AS x, max(period) FILTER (has_b) AS y, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS same, count(*) FILTER (abs(a - b) <= 0.01 * greatest(abs(a), abs(b), 1e-9)) AS agree FROM per GROUP BY 1, 2)
+    SELECT field, count(*) AS "both", count(*) FILTER (x > y) AS a_leads, count(*) FILTER (y > x) AS b_leads, count(*) FILTER (x = y) AS same_newest, count(*) FILTER (abs(date_diff('day', CAST(x AS DATE), CAST(y AS DATE))) > 365) AS stale, CAST(sum(same) AS BIGINT) AS same_period, CAST(sum(agree) AS BIGINT) AS agree
+    FROM n WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY field""")
+def later_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Whether one source's newest period is later than the other's, over all line items as observations."""
+    li = table(spark, d, "lineitem")
+    source = F.element_at(F.array(F.lit("prospectus"), F.lit("xbrl"), F.lit("other")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    rows = li.select(F.col("l_partkey").alias("id"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("field"), F.col("l_shipdate").cast("date").cast("string").alias("period"), source.alias("source"), F.when(F.col("l_orderkey") % 11 > 0, F.floor(F.col("l_quantity") / 10)).cast("double").alias("value"))
+    return resolve.periods_between(rows, "id", "field", "period", "source", "value", "prospectus", "xbrl", stale=365)
