@@ -170,6 +170,6 @@ def nested_projection(spark: SparkSession, d: str) -> DataFrame:
     return whole.select(F.col("id").alias("c_custkey"), ledger.frozen(whole, ["id", "score", "performance"]).alias("document"))
 
 
-@query("SELECT o_orderstatus, count(*) AS rows, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, ''), coalesce(o_orderpriority, ''))), 1, 12) AS BIGINT)) AS BIGINT) AS digest FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS rows, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, ''), coalesce(o_orderpriority, ''))), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM orders GROUP BY 1")
 def tree_manifest(spark: SparkSession, d: str) -> DataFrame:
     return ledger.manifest(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"], "o_orderkey").withColumn("digest", F.col("digest").cast("long"))
