@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.base import query, table
 from tidemark.sources.sinks import shared_folder
-from tidemark.streaming import live, merge, outcomes, stateful
+from tidemark.streaming import live, merge, outcomes, queue, stateful
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -124,3 +124,24 @@ def observation_merge(spark: SparkSession, d: str) -> DataFrame:
     kept = merge.MergedTable(spark, f"{shared_folder(spark)}/{_name('observations')}", 16)
     merge.merge_stream(_derived(spark, "observed", part(0), part(1), part(2), part(0)), kept, f"{shared_folder(spark)}/streams/{_name('merge')}")
     return kept.provenance()
+
+
+_MESSAGES = """m AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS recipient, CASE WHEN o_orderkey % 3 = 0 THEN 'welcome' ELSE 'news' END AS template, CAST(1 + o_orderkey % 40 // 30 * (1 + o_orderkey % 3) AS INT) AS priority, CAST(epoch(o_orderdate) AS BIGINT) AS queued_at FROM orders)"""
+
+
+@query(f"""WITH {_MESSAGES}, p AS (SELECT CAST(c_custkey AS VARCHAR) AS recipient, c_custkey % 10 = 0 AS suppressed, c_custkey % 4 > 0 AS consent FROM customer),
+    j AS (SELECT m.*, CASE WHEN coalesce(suppressed, true) THEN 'SUPPRESSED' WHEN template <> 'welcome' AND NOT coalesce(consent, false) THEN 'UNSUBSCRIBED' END AS ended FROM m LEFT JOIN p USING (recipient)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY ended IS NULL, priority <= 1 ORDER BY priority, queued_at, id) AS nth FROM j),
+    t AS (SELECT id FROM n WHERE ended IS NULL AND nth <= CASE WHEN priority <= 1 THEN 2000 ELSE 300 END ORDER BY priority, queued_at, id LIMIT 2000)
+    SELECT id, CASE WHEN ended IS NOT NULL THEN ended WHEN t.id IS NULL THEN 'QUEUED' WHEN id * 7 % 5 > 1 THEN 'SENT' WHEN id % 3 = 1 THEN 'FAILED' ELSE 'QUEUED' END AS status, CAST(CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS INT) AS attempts FROM n LEFT JOIN t USING (id)""")
+def queue_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """One cycle over all orders as messages: 2,000 are tried at most, of which 300 under the quota; cycles after each other, which
+    depend on what failed before, are held against a simulation in the tests."""
+    o = table(spark, d, "orders")
+    bulk = F.floor(F.col("o_orderkey") % 40 / 30) * (1 + F.col("o_orderkey") % 3)
+    messages = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("recipient"), F.when(F.col("o_orderkey") % 3 == 0, "welcome").otherwise("news").alias("template"), (1 + bulk).cast("int").alias("priority"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("queued_at"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("recipient"), (F.col("c_custkey") % 10 == 0).alias("suppressed"), (F.col("c_custkey") % 4 > 0).alias("consent"))
+    send = lambda tried: tried.select("id", (F.col("id") * 7 % 5 > 1).alias("ok"), (F.col("id") % 3 != 1).alias("retryable"))
+    q = queue.Queue(spark, f"{shared_folder(spark)}/{_name('queue')}", send, 2000, 300)
+    q.run(1, 2_000_000_000, messages, people, 0, 0)
+    return q.messages().select("id", "status", "attempts")
