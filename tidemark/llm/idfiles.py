@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import simple8b
 from tidemark.llm.bpe import _ids, _settings, _sizes, _tokenizer, _unicode_bytes, gather
-from tidemark.llm.common import reliable, slices, small_batches, texts
+from tidemark.llm.common import reliable, slices, small_batches
 
 MAGIC = int.from_bytes(b"tidsids1", "little")
 #: Ids of a file, about; a document with more has a file of its own.
 FILE_IDS = 1 << 20
 #: Words whose ids a worker keeps, and bytes of text that it splits at once.
-KEPT, SLICE = 300_000, 1 << 19
+KEPT, SLICE = 300_000, 1 << 21
 MANIFEST = "part int, number int, name string, documents long, ids long, bytes long"
 
 
@@ -158,7 +158,7 @@ class _Words:
         steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lowers = steps[0] is not None and steps[0].normalize_str("AbZ") == "abz"
         self.plain = (steps[0] is None or steps[0].normalize_str("abz") == "abz") and steps[1] is not None and [w for w, _ in steps[1].pre_tokenize_str("ab\u00fc. ab")] == ["ab\u00c3\u00bc", ".", "ab"]
-        self.added = [a.lower().encode() for a in added]
+        self.added = [a.lower() for a in added]
         # what parts words for the model alone is a token that no word of letters has
         between = self._alone([_CHARS[_BETWEEN[0]]])[0]
         self.plain, self.between = self.plain and len(between) == 1, between[0]
@@ -174,10 +174,19 @@ class _Words:
         finally:
             self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = before
 
-    def split(self, text: bytes) -> list[bytes]:
-        """A text's words; if the tokenizer lower-cases, A-Z are lower-cased here, unless that would make an added token."""
-        low = text.lower() if self.lowers else text
-        return (text if self.lowers and any(a in low for a in self.added) else low).split()
+    def split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Where each text's words begin and end among all, each word's place among the distinct ones, and these. If the
+        tokenizer lower-cases, A-Z are lower-cased here, unless that would make an added token."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        if self.lowers:
+            low = pc.ascii_lower(column)
+            for a in self.added:
+                low = pc.if_else(pc.match_substring(low, a), column, low)
+            column = low
+        words = pc.ascii_split_whitespace(column)
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        found = words.flatten().dictionary_encode()
+        return np.concatenate([[0], np.cumsum(_sizes(words, pc.list_value_length), dtype=np.int64)]), found.indices.to_numpy(), found.dictionary.cast(pa.binary()).to_pylist()
 
     def _made(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of distinct words, and how many each has."""
@@ -194,20 +203,19 @@ class _Words:
         at[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
         return gather(values, np.concatenate([[0], np.cumsum(sizes)]), at)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of words, and how many each has."""
+    def __call__(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words that codes name among distinct ones, and how many each has."""
         found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
-        own: dict[bytes, int] = {}
-        n = len(self.number)
-        found[missing] = [own.setdefault(words[i], n + len(own)) for i in missing.tolist()]
-        made, sizes = self._made(list(own))
+        n, own = len(self.number), [words[i] for i in missing.tolist()]
+        found[missing] = np.arange(n, n + len(own))
+        made, sizes = self._made(own)
         values = np.concatenate([self.values, made])
         offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
         if n + len(own) <= KEPT:
-            self.number.update(own)
+            self.number.update(zip(own, range(n, n + len(own)), strict=True))
             self.values, self.offsets = values, offsets
-        return gather(values, offsets, found)
+        return gather(values, offsets, found[codes])
 
 
 #: A worker's words, by tokenizer.
@@ -222,9 +230,9 @@ def _encode(batches, content, added: list[str], end: int | None):
     words = _HELD[content.value]
     for batch in batches:
         for rows in slices(batch, _sizes(batch.column("text"), pc.binary_length), SLICE):
-            split = [words.split(t) for t in texts(rows)]
-            ids, sizes = words(list(chain.from_iterable(split)))
-            upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0] + [len(x) for x in split])]
+            bounds, codes, distinct = words.split(rows.column("text"))
+            ids, sizes = words(distinct, codes)
+            upto = np.concatenate([[0], np.cumsum(sizes)])[bounds]
             if end is not None:
                 ids = np.insert(ids, upto[1:], end)
                 upto = upto + np.arange(len(upto))
