@@ -62,9 +62,12 @@ def listed_after(live: DataFrame, master: DataFrame, days: int = 30) -> DataFram
 
 
 def symbol_agrees(items: DataFrame, master: DataFrame) -> DataFrame:
-    """agrees: true, false, or null where the master lacks the ISIN."""
-    held = master.groupBy("isin").agg(F.collect_set(F.upper("symbol")).alias("_s"))
-    return items.join(held, "isin", "left").select(*items.columns, F.array_contains("_s", F.upper("symbol")).alias("agrees"))
+    """agrees: whether some row of the master has the item's ISIN with its symbol, in any case; null where the master lacks the
+    ISIN or the item its symbol. Joins with distinct keys, so an ISIN with very many rows gathers nowhere."""
+    known = master.filter("isin is not null").select("isin").distinct().withColumn("_known", F.lit(True))
+    pairs = master.filter("isin is not null").select("isin", F.upper("symbol").alias("_symbol")).distinct().withColumn("_same", F.lit(True))
+    j = items.withColumn("_symbol", F.upper("symbol")).join(known, "isin", "left").join(pairs, ["isin", "_symbol"], "left")
+    return j.select(*items.columns, F.when(F.col("_known") & F.col("_symbol").isNotNull(), F.coalesce("_same", F.lit(False))).alias("agrees"))
 
 
 def past_issue(items: DataFrame, past: DataFrame) -> DataFrame:
