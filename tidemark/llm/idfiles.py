@@ -30,7 +30,7 @@ MAGIC = int.from_bytes(b"tidsids1", "little")
 #: Ids of a file, about; a document with more has a file of its own.
 FILE_IDS = 1 << 20
 #: Words whose ids a worker keeps, and bytes of text that it splits at once.
-KEPT, SLICE = 300_000, 1 << 21
+KEPT, SLICE = 400_000, 1 << 22
 MANIFEST = "part int, number int, name string, documents long, ids long, bytes long"
 
 
@@ -181,7 +181,8 @@ class _Words:
         if self.lowers:
             low = pc.ascii_lower(column)
             for a in self.added:
-                low = pc.if_else(pc.match_substring(low, a), column, low)
+                made = pc.match_substring(low, a)
+                low = pc.if_else(made, column, low) if pc.any(made).as_py() else low
             column = low
         words = pc.ascii_split_whitespace(column)
         words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
