@@ -126,3 +126,49 @@ def test_near_copies_go(spark, crowd, monkeypatch):
         ids = [d[0] for d in g if d[0] is not None]
         assert own[0][0] == (min(ids) if ids else None)
     assert len(kept) == len(groups)
+
+
+def test_keys_of_strangers_do_not_shuffle(spark, monkeypatch):
+    """Nodes that share a key of two segments and no third one are in no group; copies are, with all of their keys."""
+    from tidemark.llm import similar
+
+    def held(source, nodes):
+        seen = []
+
+        def stop(keyed, *_):
+            seen.append(keyed.select("own.node").collect())
+            raise InterruptedError
+
+        monkeypatch.setattr(similar, "_with_hub", stop)
+        with pytest.raises(InterruptedError):
+            similar.links(source, nodes)
+        return Counter(r["node"] for r in seen[0])
+
+    code = lambda a, b: a << 12 | b
+    rows = [(i, 9, i, [code(4000, 4001)] * 2 + [code(2 * i, 2 * i + 1)] * (similar.SEGMENTS - 2)) for i in range(30)]
+    rows += [(100 + i, 9, 0, [code(900 + j, 950 + j) for j in range(similar.SEGMENTS)]) for i in range(2)]
+    nodes = spark.createDataFrame(rows, "node long, size long, short long, codes array<int>")
+    assert held(None, nodes) == {100: 4 * similar.SEGMENTS, 101: 4 * similar.SEGMENTS}
+
+
+def test_filters_come_in_few_jobs(spark, tmp_path):
+    """A filter comes to the driver in a few jobs however many partitions a shuffle has, and what it shuffled is dropped."""
+    from tidemark.llm import bits
+
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    tracker = spark.sparkContext._jsc.sc().dagScheduler()
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        hashes = spark.range(1000).selectExpr("xxhash64(id % 900) h")
+        first = tracker.numTotalJobs()
+        found = bits.among(hashes, 1000, "twice")
+        jobs = tracker.numTotalJobs() - first
+        from pyspark.sql import functions as F
+
+        assert hashes.filter(found(F.col("h"))).count() >= 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs < 32

@@ -14,6 +14,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,10 +86,12 @@ def _table(made_of: pa.Table, once: bytes, twice: bytes) -> pa.Table:
 
 def filled(rows: DataFrame, shards: int, *names: str, parts: int = 1) -> list[np.ndarray]:
     """The filters (bytes of bits, shard after shard) for rows of SENT: names are once and twice. At most 128 MiB each."""
+    from tidemark.llm.common import to_driver
+
     out = [np.zeros((shards, 1 << (SHARD_POWER - 3)), np.uint8) for _ in names]
     made = rows.groupBy("shard", "part").applyInArrow(_merge, SENT)
     made = made if parts == 1 else made.groupBy("shard").applyInArrow(_either, SENT)
-    for row in made.select("shard", *names).toLocalIterator():
+    for row in to_driver(made.select("shard", *names)):
         for bits, name in zip(out, names, strict=True):
             bits[row["shard"]] = np.frombuffer(row[name], np.uint8)
     return [x.reshape(-1) for x in out]
@@ -110,12 +113,17 @@ def _emit(batches, shards: int, parts: int):
         yield sent(list(packed(h, shards, parts)))
 
 
-def among(hashes: DataFrame, items: int, name: str) -> Callable[[Column], Column]:
-    """Whether a hash may be among those of a column of longs (once), or among those that it holds twice or more (twice)."""
-    shards = shards_for(items, 16)
+def held(hashes: DataFrame, items: int, name: str, bits_each: int = 16) -> tuple[Broadcast, int]:
+    """The filter, broadcast, and its shards: of a column of longs (once), or of those that it holds twice or more (twice)."""
+    shards = shards_for(items, bits_each)
     parts = parts_for(items, shards)
     (made,) = filled(hashes.mapInArrow(partial(_emit, shards=shards, parts=parts), SENT), shards, name, parts=parts)
-    shared = hashes.sparkSession.sparkContext.broadcast(made.tobytes())
+    return hashes.sparkSession.sparkContext.broadcast(made.tobytes()), shards
+
+
+def among(hashes: DataFrame, items: int, name: str) -> Callable[[Column], Column]:
+    """Whether a hash may be among those of a column of longs (once), or among those that it holds twice or more (twice)."""
+    shared, shards = held(hashes, items, name)
 
     @F.pandas_udf("boolean")
     def may_be(h: pd.Series) -> pd.Series:

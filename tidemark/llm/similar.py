@@ -4,7 +4,9 @@ Sets of similarity 0.8 differ in some 15 percent of their fingerprints' bits, so
 of 23 bits. Each is decoded to the two codewords that agree best with its sums, in which uncertain bits weigh little. Errors
 spread over the segments, so some neighbouring pair of them keeps a codeword in common (pigeonhole): a key is a pair of
 neighbouring segments with a codeword of each. A segment shares one with a probability of 0.54 at similarity 0.8 and 0.76 at
-0.9 (simulated); that no pair of neighbours does has 0.002 at 0.8 and less above. Texts with equal sets are one node.
+0.9 (simulated); that no pair of neighbours does has 0.002 at 0.8 and less above. Texts with equal sets are one node. A key
+counts for a node only if one of its extensions by any third segment is another node's too: two nodes that share a key lose
+it only if they agree in no other segment of 22 (0.46**22 at 0.8); of strangers that share one, some two percent keep it.
 
 Nodes that share a key are compared in 64 bits of their fingerprints, and if these are near, by their sets. Each is compared
 with the key's least node first, so that a crowd of copies forms no square of pairs. Where a group's nodes aren't all linked
@@ -13,10 +15,12 @@ before that: its keys are extended by one more segment, which copies survive and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,10 @@ SEGMENTS, LANES, NEAR_BITS = 24, 9, 22
 CROWD, EXTENSIONS = 48, 8
 CHUNK_WORDS = 1 << 17
 _BYTES = np.uint64(0x0101010101010101)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The segments besides a key's own two, counted from its first, and those of them that extend the keys of crowds.
+_OTHERS = np.arange(2, SEGMENTS)
+_OFFSETS = _OTHERS[: 3 * EXTENSIONS : 3]
 
 
 def shingled(words: np.ndarray, size: int) -> np.ndarray:
@@ -113,32 +121,73 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, size: int,
     return reliable(pairs.select("u", "v", "a", "b").mapInArrow(partial(_alike, least=least), "u long, v long"))
 
 
-def _word(codes: Column, segment: Column, which: int) -> Column:
-    """The first (0) or second (1) codeword of a segment."""
-    both = F.element_at(codes, segment + 1)
-    return F.shiftright(both, 12) if which == 0 else both.bitwiseAND(F.lit(4095))
+def first_keys(codes: np.ndarray) -> np.ndarray:
+    """(n, 4 * SEGMENTS): keys of all pairs of neighbouring segments, with each of their codewords; codes: (n, SEGMENTS)."""
+    words = np.stack([codes >> 12, codes & 4095], axis=2).astype(np.int64)
+    after = np.roll(words, -1, axis=1)
+    keys = (np.arange(SEGMENTS) << 24)[:, None, None] + (words[:, :, :, None] << 12) + after[:, :, None, :]
+    return keys.reshape(len(codes), -1)
 
 
-def _first_keys(codes: Column) -> Column:
-    """Keys of all pairs of neighbouring segments, with each of their codewords."""
-    at = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
+def longer_keys(keys: np.ndarray, codes: np.ndarray, offsets: np.ndarray = _OFFSETS) -> np.ndarray:
+    """(n, 2 * len(offsets)): hashes of keys extended by either codeword of each of some other segments."""
+    at = ((keys >> 24)[:, None] + offsets) % SEGMENTS
+    both = np.take_along_axis(codes, at, axis=1).astype(np.int64)
+    words = np.stack([both >> 12, both & 4095], axis=2).reshape(len(keys), -1)
+    return mixed(mixed(keys.view(np.uint64) * _ODD)[:, None] + (np.repeat(at, 2, axis=1) << 12 | words).view(np.uint64) * _ODD)
 
-    def of(i):
-        after = (i + 1) % SEGMENTS
-        return F.array(*[(i.cast("long") * (1 << 24)) + _word(codes, i, a).cast("long") * 4096 + _word(codes, after, b) for a in (0, 1) for b in (0, 1)])
 
-    return F.when(F.size(codes) > 0, F.flatten(F.transform(at, of))).otherwise(F.array().cast("array<bigint>"))
+def _coded(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Nodes that have shingles, some thousands at a time, and their codes."""
+    for batch in batches:
+        full = batch.filter(pc.greater(pc.list_value_length(batch.column("codes")), 0))
+        for a in range(0, full.num_rows, 4096):
+            part = full.slice(a, 4096)
+            yield part, part.column("codes").flatten().to_numpy().reshape(-1, SEGMENTS)
+
+
+def _passed(codes: np.ndarray, shared: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of the keys that several nodes may have."""
+    keys = first_keys(codes)
+    rows, at = np.nonzero(_may_be(mixed(keys.view(np.uint64) * _ODD), shared))
+    return rows, keys[rows, at]
+
+
+def _may_be(h: np.ndarray, shared: tuple) -> np.ndarray:
+    return bits.passes(np.frombuffer(shared[0].value, np.uint8), shared[1], h.reshape(-1)).reshape(h.shape)
+
+
+def _longs(h: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64))], ["h"])
+
 
+def _hashed(batches):
+    for _, codes in _coded(batches):
+        yield _longs(mixed(first_keys(codes).view(np.uint64) * _ODD))
 
-def _longer_keys(key: Column, codes: Column) -> Column:
-    """A key extended by either codeword of each of some segments, which the key itself chooses."""
-    at = F.sequence(F.lit(0), F.lit(EXTENSIONS - 1))
 
-    def of(j):
-        segment = F.pmod(F.xxhash64(key) + j * 5, F.lit(SEGMENTS)).cast("int")
-        return F.array(*[F.xxhash64(key, segment, _word(codes, segment, a)) for a in (0, 1)])
+def _passing(batches, shared: tuple):
+    yield _longs(np.array([sum(len(_passed(codes, shared)[0]) for _, codes in _coded(batches))], np.int64))
 
-    return F.array_distinct(F.flatten(F.transform(at, of)))
+
+def _some(n: int) -> list[slice]:
+    """Places up to n, some at a time: nodes of a crowd have all their keys, and each key has many extensions."""
+    return [slice(a, a + (1 << 15)) for a in range(0, n, 1 << 15)]
+
+
+def _extended(batches, shared: tuple):
+    for _, codes in _coded(batches):
+        rows, keys = _passed(codes, shared)
+        for at in _some(len(keys)):
+            yield _longs(longer_keys(keys[at], codes[rows[at]], _OTHERS))
+
+
+def _supported(batches, shared: tuple, longer: tuple):
+    for part, codes in _coded(batches):
+        rows, keys = _passed(codes, shared)
+        keep = np.concatenate([np.empty(0, bool), *(_may_be(longer_keys(keys[at], codes[rows[at]], _OTHERS), longer).any(axis=1) for at in _some(len(keys)))])
+        own = part.select(["node", "size", "short"]).take(pa.array(rows[keep]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *own.columns], ["key", "node", "size", "short"])
 
 
 def _near(a: str, b: str, least: float) -> Column:
@@ -147,12 +196,28 @@ def _near(a: str, b: str, least: float) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.short").bitwiseXOR(F.col(f"{b}.short"))) <= NEAR_BITS)
 
 
-def _keyed(nodes: DataFrame, keys: Column) -> DataFrame:
-    """(key, own): a row for each key of a node, with what is needed to compare nodes; only keys that several rows may have,
-    since most are one node's alone and needn't shuffle."""
-    made = nodes.select(F.explode(keys).alias("key"), F.struct("node", "size", "short").alias("own"))
-    shared = bits.among(made.select(F.xxhash64("key")), 4 * SEGMENTS * nodes.count(), "twice")(F.xxhash64("key"))
-    return reliable(made.filter(shared))
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(key, own): a row for each key of a node, with what is needed to compare nodes; only keys that several nodes may have
+    that also share an extension of it. Strangers meet in 24 bits as often as the square of their number says, in 36 hardly;
+    most keys are one node's alone, and neither these nor those of strangers shuffle."""
+    shared = bits.held(nodes.select("codes").mapInArrow(_hashed, "h long"), 4 * SEGMENTS * nodes.count(), "twice")
+    passing = nodes.select("codes").mapInArrow(partial(_passing, shared=shared), "h long").agg(F.sum("h")).first()[0] or 0
+    longer = bits.held(nodes.select("codes").mapInArrow(partial(_extended, shared=shared), "h long"), 2 * len(_OTHERS) * passing, "twice", 4)
+    rows = nodes.select("node", "size", "short", "codes").mapInArrow(partial(_supported, shared=shared, longer=longer), "key long, node long, size long, short long")
+    return reliable(rows.select("key", F.struct("node", "size", "short").alias("own")))
+
+
+def _parted(batches):
+    """(key, own) of the extended keys of nodes and the keys in keys."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("keys")).to_numpy()
+        rows, keys = np.repeat(np.arange(batch.num_rows), sizes), batch.column("keys").flatten().to_numpy()
+        codes = batch.column("codes").flatten().to_numpy().reshape(-1, SEGMENTS)
+        for a in range(0, len(rows), 1 << 16):
+            at = rows[a : a + (1 << 16)]
+            made = longer_keys(keys[a : a + (1 << 16)], codes[at]).view(np.int64)
+            own = batch.select(["node", "size", "short"]).take(pa.array(np.repeat(at, made.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(made.reshape(-1)), *own.columns], ["key", "node", "size", "short"])
 
 
 def _with_hub(keyed: DataFrame, least: float) -> DataFrame:
@@ -197,7 +262,7 @@ def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float
         pairs = reliable(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"))
         return pairs if pairs.isEmpty() else _verified(pairs, source, nodes, size, least)
 
-    keyed = _keyed(nodes, _first_keys(F.col("codes")))
+    keyed = _keyed(nodes)
     # each node with the least of its hubs first; with its other hubs only where that hasn't linked them
     first = reliable(_with_hub(keyed, least))
     least_hubs = reliable(first.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
@@ -208,9 +273,9 @@ def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float
     many = rooted.filter(F.col("others") > CROWD).select("key", F.col("own.node").alias("node"))
     if not many.isEmpty():
         # the extended keys of crowds with many strangers; a node has them in one row
-        own = many.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes, "node")
-        longer = F.array_distinct(F.flatten(F.transform("keys", lambda k: _longer_keys(k, F.col("codes")))))
-        parted = _keyed(own.select("node", "size", "short", longer.alias("longer")), F.col("longer"))
+        own = many.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes, "node").select("node", "size", "short", "codes", "keys")
+        made = own.mapInArrow(_parted, "key long, node long, size long, short long").select("key", F.struct("node", "size", "short").alias("own"))
+        parted = reliable(made.filter(bits.among(made.select("key"), 2 * EXTENSIONS * many.count(), "twice")(F.col("key"))))
         hubs = reliable(_with_hub(parted, least))
         found = reliable(found.union(compare(hubs, first)))
         pairs, first = pairs.union(_pairs(_open(parted, found), least)).distinct(), first.union(hubs).distinct()
