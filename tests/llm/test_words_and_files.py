@@ -213,3 +213,22 @@ def test_one_edit(a, b):
 
 def test_spelling_of_no_rows(empty):
     assert spelling.group(spelling.words_of(empty)).count() == 0
+
+
+def test_sums_of_arrays_come_in_few_jobs(spark):
+    """The driver gets an array's ranges in a few jobs, not one for each partition of the shuffle."""
+    from tidemark.llm import phrases
+
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    rows = spark.createDataFrame([(0, m, bytes([1, 1, m])) for m in range(20)], "place int, mapper int, counts binary")
+    tracker = spark.sparkContext._jsc.sc().dagScheduler()
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        first = tracker.numTotalJobs()
+        assert phrases._tree_sum(rows, 20, 2).tolist() == [20, sum(range(20))]
+        assert tracker.numTotalJobs() - first < 32
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable, small_batches, stage_folder, texts
+from tidemark.llm.common import reliable, small_batches, stage_folder, texts, to_driver
 from tidemark.llm.mph import NONE, PerfectHash, scattered
 
 #: The most words, and candidates of one length, that are broadcast (8 bytes each, and the words themselves).
@@ -30,7 +30,7 @@ MOST = 1 << 20
 #: Numbers of words in one row of the table of texts, words of a mapper at least if there are many, and those for each bucket.
 ROW, MAPPER, LOAD = 1 << 18, 1 << 26, 32
 #: Buckets, as powers of two; places of an array that are sent together; arrays that are added up at once.
-LEAST_POWER, MOST_POWER, RANGE, FAN = 16, 25, 1 << 16, 8
+LEAST_POWER, MOST_POWER, RANGE, FAN = 16, 25, 1 << 16, 16
 #: What a Counter holds before it is sent on.
 HELD = 1 << 17
 #: Fixed by the contract: what ends a piece, what parts words in it, and the language of rows without one. A byte that no text
@@ -196,7 +196,7 @@ def _tree_sum(rows: DataFrame, mappers: int, size: int, cap: int | None = None)
         if mappers <= 1:
             break
     out = np.zeros(size, np.int64)
-    for row in rows.select("place", "counts").toLocalIterator():
+    for row in to_driver(rows.select("place", "counts")):
         at = row["place"] * RANGE
         part = _array(bytes(row["counts"]))
         out[at : at + len(part)] = part
@@ -266,7 +266,7 @@ def _next(numbers: DataFrame, levels: list[Slots], least: int, mappers: int, pow
     keys = reliable(keys.groupBy("part").applyInArrow(_distinct, "n long, keys binary"))
     if (keys.agg(F.sum("n")).first()[0] or 0) > most:
         return None
-    table = PerfectHash(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(bytes(r["keys"]), np.uint64) for r in keys.toLocalIterator())]))
+    table = PerfectHash(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(bytes(r["keys"]), np.uint64) for r in keys.coalesce(8).toLocalIterator())]))
     found = _tree_sum(numbers.mapInArrow(partial(_count, levels=shared, table=share(table)), _ARRAYS), mappers, len(table)) if len(table) else np.empty(0, np.int64)
     for b in (shared, sieve):
         b.unpersist()
@@ -384,7 +384,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     totals, frequent = counted.filter("word is null").select("lang", "n"), counted.filter("word is not null")
     levels: list[Slots] = []
     if frequent.count() <= most:
-        words = {(r["lang"], r["word"]): r["n"] for r in frequent.toLocalIterator()}
+        words = {(r["lang"], r["word"]): r["n"] for r in frequent.coalesce(8).toLocalIterator()}
         numbers = _Numbers(list(words))
         n = {r["lang"]: r["n"] for r in totals.filter(F.col("lang").isin(numbers.languages)).collect()}
         folder = stage_folder(spark)
