@@ -30,7 +30,7 @@ MAGIC = int.from_bytes(b"tidsids1", "little")
 #: Ids of a file, about; a document with more has a file of its own.
 FILE_IDS = 1 << 20
 #: Words whose ids a worker keeps, and bytes of text that it splits at once.
-KEPT, SLICE = 400_000, 1 << 22
+KEPT, SLICE = 200_000, 1 << 21
 MANIFEST = "part int, number int, name string, documents long, ids long, bytes long"
 
 
@@ -81,6 +81,11 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _released() -> None:
+    """Gives free memory back: workers live on after a task, and the arrays of one would else count beside those of the next."""
+    pa.system_memory_pool().release_unused()
+
+
 def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of lists (null: 0) and their values."""
     lengths = _sizes(ids, pc.list_value_length).astype(np.int64)
@@ -102,6 +107,7 @@ def _write(batches, folder: str, most: int):
             out.write(data)
         row = [part, number, name, len(keys), held, len(data)]
         keys, lengths, ids, held, number = [], [], [], 0, number + 1
+        _released()
         return pa.RecordBatch.from_pylist([dict(zip(("part", "number", "name", "documents", "ids", "bytes"), row, strict=True))], pa.schema([("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
     for batch in batches:
@@ -238,6 +244,7 @@ def _encode(batches, content, added: list[str], end: int | None):
                 ids = np.insert(ids, upto[1:], end)
                 upto = upto + np.arange(len(upto))
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))], ["id", "ids"])
+        _released()
 
 
 def encoded(docs: DataFrame, path: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,6 +276,8 @@ def _opened(batches, folder: str):
             with store.open_input_stream(f"{path}/{name}") as f:
                 keys, lengths, ids = unpacked(f.read())
             yield keys, lengths, ids, start + np.concatenate([[0], np.cumsum(lengths)])[:-1]
+            del keys, lengths, ids
+            _released()
 
 
 def _read(batches, folder: str):
