@@ -172,3 +172,75 @@ def test_filters_come_in_few_jobs(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert jobs < 32
+
+
+def test_workers_give_back_what_they_held(monkeypatch):
+    """What a task held is free, and given back, when its worker waits for the next one."""
+    import weakref
+
+    import pyarrow as pa
+
+    from tidemark.llm import bpe, similar, toxicity
+    from tidemark.llm.common import lean
+
+    class Table:
+        pass
+
+    class Pool:
+        released: list = []
+
+        def release_unused(self):
+            self.released.append([x() for x in refs])
+
+    refs: list = []
+    monkeypatch.setattr(pa, "system_memory_pool", lambda: Pool())
+    monkeypatch.setattr(pa, "set_memory_pool", lambda pool: None)
+
+    def work(batches, n):
+        table = Table()
+        refs.append(weakref.ref(table))
+        for batch in batches:
+            yield batch * n
+
+    assert list(lean(work)([1, 2], n=3)) == [3, 6] and Pool.released == [[None]]
+    stopped = lean(work)([1, 2], 3)
+    next(stopped)
+    stopped.close()
+    assert len(Pool.released) == 2
+    for own in (bpe._count, bpe._encode, bpe._lookup, toxicity._lexicon_rows, toxicity._featurize, similar._nodes, similar._sets, similar._alike, similar._passing, similar._supported, similar._parted):
+        assert own.__wrapped__
+
+
+def test_a_task_of_filters_needs_one_worker(spark, monkeypatch):
+    """Keys are made and packed in one Python worker, so that no executor keeps two for each of its cores."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import bits, similar
+
+    plans, filled = [], bits.filled
+
+    def seen(rows, *args, **more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return filled(rows, *args, **more)
+
+    monkeypatch.setattr(bits, "filled", seen)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0] + " more"])], "doc_id long, text string")
+    monkeypatch.setattr(similar, "CROWD", 0)
+    monkeypatch.setattr(similar, "_near", lambda a, b, least: F.lit(False))  # nothing is linked, so that the pair's groups count as crowds
+    assert {r["doc_id"] for r in similar.deduplicate(docs).collect()} == set(range(31))
+    kinds = [p.count("MapInArrow") + p.count("ArrowEvalPython") for p in plans]
+    assert len(plans) >= 3 and max(kinds) == 1
+
+
+def test_mixing_starts_no_other_workers(spark, sf_dir, monkeypatch):
+    """The table of sources is read without Python: workers for rows of a list are of another kind, and stay beside the others."""
+    from pyspark import SparkContext
+
+    from tidemark.llm import mixing
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(SparkContext, "parallelize", None)
+    rows = mixing.mixture(docs).collect()
+    assert len(rows) == docs.count() and sum(r["taken"] for r in rows) > 0

@@ -107,18 +107,21 @@ def passes(bits: np.ndarray, shards: int, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emit(batches, shards: int, parts: int):
-    for batch in batches:
+def _emit(batches, shards: int, parts: int, made: Callable | None = None):
+    for batch in made(batches) if made else batches:
         h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         yield sent(list(packed(h, shards, parts)))
 
 
-def held(hashes: DataFrame, items: int, name: str, bits_each: int = 16) -> tuple[Broadcast, int]:
-    """The filter, broadcast, and its shards: of a column of longs (once), or of those that it holds twice or more (twice)."""
+def held(hashes: DataFrame, items: int, name: str, bits_each: int = 16, made: Callable | None = None) -> tuple[Broadcast, int]:
+    """The filter, broadcast, and its shards: of a column of longs (once), or of those that it holds twice or more (twice).
+    made: makes batches of longs from those of hashes, in the Python worker that packs them; one task then needs one worker."""
+    from tidemark.llm.common import lean
+
     shards = shards_for(items, bits_each)
     parts = parts_for(items, shards)
-    (made,) = filled(hashes.mapInArrow(partial(_emit, shards=shards, parts=parts), SENT), shards, name, parts=parts)
-    return hashes.sparkSession.sparkContext.broadcast(made.tobytes()), shards
+    (found,) = filled(hashes.mapInArrow(lean(partial(_emit, shards=shards, parts=parts, made=made)), SENT), shards, name, parts=parts)
+    return hashes.sparkSession.sparkContext.broadcast(found), shards
 
 
 def among(hashes: DataFrame, items: int, name: str) -> Callable[[Column], Column]:

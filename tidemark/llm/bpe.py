@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import most_frequent, reliable, slices, small_batches, texts
+from tidemark.llm.common import lean, most_frequent, reliable, slices, small_batches, texts
 
 #: The most pieces that are broadcast, and the most characters each of them has.
 COMMON = 120_000
@@ -81,8 +81,8 @@ def _text(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
 
+@lean
 def _count(batches, added: list[str]):
-    pa.set_memory_pool(pa.system_memory_pool())
     split, seen = Pieces(added), Counter()
 
     def made():
@@ -113,6 +113,7 @@ def _ids(tokenizer, pieces: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+@lean
 def _encode(batches, content):
     tokenizer = _tokenizer(content.value)
     for batch in batches:
@@ -155,9 +156,9 @@ def gather(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[index], lengths
 
 
+@lean
 def _lookup(batches, added: list[str], shared, content):
     """Each text's ids: those of its pieces, in their order."""
-    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
     split, tokenizer = Pieces(added), _tokenizer(content.value)
     number, offsets, values = shared.value.unpacked()
     for batch in batches:
@@ -194,6 +195,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return source.mapInArrow(_encoder(docs, path, text_col, common), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+@lean
 def _decode(batches, shared):
     offsets, flat = shared.value
     flat, size = np.frombuffer(flat, np.uint8), len(offsets) - 1

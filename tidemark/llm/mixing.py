@@ -161,7 +161,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     goals = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))], BUDGET * sum(sizes))
     spark = docs.sparkSession
     shards_of = [max(1, -(-n // SHARD_ROWS)) for _, _, n in sources]
-    table = spark.createDataFrame([(s[0], i, k, s[1], float(g)) for i, (s, k, g) in enumerate(zip(sources, shards_of, goals, strict=True))], "source string, number int, shards int, source_size long, target double")
+    # from Arrow, which no Python worker has to read: rows of a list would have workers, and a daemon, of their own
+    columns = {"source": ([s[0] for s in sources], pa.string()), "number": (range(len(sources)), pa.int32()), "shards": (shards_of, pa.int32()), "source_size": (sizes, pa.int64()), "target": ([float(g) for g in goals], pa.float64())}
+    table = spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, (values, kind) in columns.items()}))
     numbered = rows.join(F.broadcast(table) if len(sources) <= 100_000 else table, rows["source"].eqNullSafe(table["source"])).drop("source")
     cell = F.pmod(F.xxhash64("id", ROW_KEY, F.lit(seed)), F.col("shards")).cast("int")
     numbered = numbered.withColumn("shard", cell)

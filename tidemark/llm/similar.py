@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bits, golay
-from tidemark.llm.common import ROW_KEY, attach, chunks, mixed, reliable, rolling, row_key, small_batches, staying, texts, word_hashes
+from tidemark.llm.common import ROW_KEY, attach, chunks, lean, mixed, reliable, rolling, row_key, small_batches, staying, texts, word_hashes
 from tidemark.llm.components import components
 
 #: Words of a shingle and the least similarity of linked texts.
@@ -70,6 +70,7 @@ def codes_of(sums: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (two[:, 0] << 12 | two[:, 1]).reshape(-1, SEGMENTS)
 
 
+@lean
 def _nodes(batches, size: int):
     code = golay.signs()
     for chunk in chunks(batches, CHUNK_WORDS, lower=True):
@@ -89,12 +90,14 @@ def _nodes(batches, size: int):
         )
 
 
+@lean
 def _sets(batches, size: int):
     for batch in batches:
         found = [shingled(word_hashes(t.lower().split()), size).tobytes() for t in texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
 
+@lean
 def _alike(batches, least: float):
     for batch in batches:
         keep = []
@@ -166,13 +169,14 @@ def _hashed(batches):
         yield _longs(mixed(first_keys(codes).view(np.uint64) * _ODD))
 
 
+@lean
 def _passing(batches, shared: tuple):
     yield _longs(np.array([sum(len(_passed(codes, shared)[0]) for _, codes in _coded(batches))], np.int64))
 
 
 def _some(n: int) -> list[slice]:
     """Places up to n, some at a time: nodes of a crowd have all their keys, and each key has many extensions."""
-    return [slice(a, a + (1 << 15)) for a in range(0, n, 1 << 15)]
+    return [slice(a, a + (1 << 13)) for a in range(0, n, 1 << 13)]
 
 
 def _extended(batches, shared: tuple):
@@ -182,6 +186,7 @@ def _extended(batches, shared: tuple):
             yield _longs(longer_keys(keys[at], codes[rows[at]], _OTHERS))
 
 
+@lean
 def _supported(batches, shared: tuple, longer: tuple):
     for part, codes in _coded(batches):
         rows, keys = _passed(codes, shared)
@@ -200,24 +205,40 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     """(key, own): a row for each key of a node, with what is needed to compare nodes; only keys that several nodes may have
     that also share an extension of it. Strangers meet in 24 bits as often as the square of their number says, in 36 hardly;
     most keys are one node's alone, and neither these nor those of strangers shuffle."""
-    shared = bits.held(nodes.select("codes").mapInArrow(_hashed, "h long"), 4 * SEGMENTS * nodes.count(), "twice")
+    # few keys repeat, and only these set bits
+    shared = bits.held(nodes.select("codes"), 4 * SEGMENTS * nodes.count(), "twice", 4, _hashed)
     passing = nodes.select("codes").mapInArrow(partial(_passing, shared=shared), "h long").agg(F.sum("h")).first()[0] or 0
-    longer = bits.held(nodes.select("codes").mapInArrow(partial(_extended, shared=shared), "h long"), 2 * len(_OTHERS) * passing, "twice", 4)
+    longer = bits.held(nodes.select("codes"), 2 * len(_OTHERS) * passing, "twice", 4, partial(_extended, shared=shared))
     rows = nodes.select("node", "size", "short", "codes").mapInArrow(partial(_supported, shared=shared, longer=longer), "key long, node long, size long, short long")
-    return reliable(rows.select("key", F.struct("node", "size", "short").alias("own")))
+    kept = reliable(rows.select("key", F.struct("node", "size", "short").alias("own")))
+    for filled, _ in (shared, longer):
+        filled.destroy()  # driver and executors would hold both to the stage's end
+    return kept
 
 
-def _parted(batches):
-    """(key, own) of the extended keys of nodes and the keys in keys."""
+def _crowded(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Nodes, whose rows they are, and the extended keys of the keys in keys, some of them at a time."""
     for batch in batches:
         sizes = pc.list_value_length(batch.column("keys")).to_numpy()
         rows, keys = np.repeat(np.arange(batch.num_rows), sizes), batch.column("keys").flatten().to_numpy()
         codes = batch.column("codes").flatten().to_numpy().reshape(-1, SEGMENTS)
         for a in range(0, len(rows), 1 << 16):
             at = rows[a : a + (1 << 16)]
-            made = longer_keys(keys[a : a + (1 << 16)], codes[at]).view(np.int64)
-            own = batch.select(["node", "size", "short"]).take(pa.array(np.repeat(at, made.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(made.reshape(-1)), *own.columns], ["key", "node", "size", "short"])
+            yield batch, at, longer_keys(keys[a : a + (1 << 16)], codes[at])
+
+
+def _crowded_keys(batches):
+    for _, _, made in _crowded(batches):
+        yield _longs(made)
+
+
+@lean
+def _parted(batches, shared: tuple):
+    """(key, own) of those extended keys that several nodes may have."""
+    for batch, at, made in _crowded(batches):
+        rows, places = np.nonzero(_may_be(made, shared))
+        own = batch.select(["node", "size", "short"]).take(pa.array(at[rows]))
+        yield pa.RecordBatch.from_arrays([pa.array(made[rows, places].view(np.int64)), *own.columns], ["key", "node", "size", "short"])
 
 
 def _with_hub(keyed: DataFrame, least: float) -> DataFrame:
@@ -274,8 +295,10 @@ def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float
     if not many.isEmpty():
         # the extended keys of crowds with many strangers; a node has them in one row
         own = many.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes, "node").select("node", "size", "short", "codes", "keys")
-        made = own.mapInArrow(_parted, "key long, node long, size long, short long").select("key", F.struct("node", "size", "short").alias("own"))
-        parted = reliable(made.filter(bits.among(made.select("key"), 2 * EXTENSIONS * many.count(), "twice")(F.col("key"))))
+        shared = bits.held(own, 2 * EXTENSIONS * many.count(), "twice", made=_crowded_keys)
+        parted = own.mapInArrow(partial(_parted, shared=shared), "key long, node long, size long, short long")
+        parted = reliable(parted.select("key", F.struct("node", "size", "short").alias("own")))
+        shared[0].destroy()
         hubs = reliable(_with_hub(parted, least))
         found = reliable(found.union(compare(hubs, first)))
         pairs, first = pairs.union(_pairs(_open(parted, found), least)).distinct(), first.union(hubs).distinct()

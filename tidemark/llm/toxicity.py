@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW_KEY, fold, row_key, small_batches, texts
+from tidemark.llm.common import ROW_KEY, fold, lean, row_key, small_batches, texts
 
 #: Labelled rows to learn from (fewer than 65,536), entries that the lexicon learns, and the least weight of one: documented bounds.
 SAMPLE = 20_000
@@ -179,10 +179,10 @@ def features(text: str, lexicon: Lexicon, machines: tuple[Transducer, Transducer
 COUNTS = [f"{kind}{part}" for part in range(PARTS) for kind in ("clean", "toxic")]
 
 
+@lean
 def _lexicon_rows(batches):
     """How many clean and toxic texts of each part of the sample hold an entry; a task adds up what it holds at once, at
     most some 100,000 entries. An entry's counts are the 16-bit digits of one number."""
-    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
     counts: dict[str, int] = {}
 
     def made():
@@ -206,6 +206,7 @@ def _weight(toxic, clean, n_toxic: int, n_clean: int):
     return ratio - 1.64 * F.sqrt(1.0 / (toxic + 0.5) + 1.0 / (clean + 0.5))
 
 
+@lean
 def _featurize(batches, lexica):
     own, machine = [Lexicon(x) for x in lexica.value], (grammar(), aim())
     for batch in batches:
@@ -284,6 +285,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def made(batches):
         lexicon, machine, w = Lexicon(shared.value.lexicon), (grammar(), aim()), shared.value.weights
         for batch in batches:
@@ -300,6 +302,7 @@ def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
+    @lean
     def made(batches):
         lexicon, machine, w = Lexicon(shared.value.lexicon), (grammar(), aim()), shared.value.weights
         for batch in batches:
