@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reliable
+from tidemark.llm.common import fitted, reliable
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -13,6 +13,11 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
+def _ends(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """(u, v) for each pair of columns in ends, from one reading of rows."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])))
+
+
 def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -25,11 +30,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = _state(now)
     if not seen[0]:
         return now
+    now = fitted(now, seen[0])
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _ends(now, ("u", "v"), ("v", "u"))
         large = both.join(_least(both), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(_least(large), "u")
-        now = reliable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        # no more than two for each edge
+        now = reliable(fitted(_ends(small, ("v", "m"), ("u", "m")).filter("u <> v").distinct(), 2 * seen[0]))
         last, seen = seen, _state(now)
         if seen == last:
             return now

@@ -9,8 +9,10 @@ counts for a node only if one of its extensions by any third segment is another
 it only if they agree in no other segment of 22 (0.46**22 at 0.8); of strangers that share one, some two percent keep it.
 
 Nodes that share a key are compared in 64 bits of their fingerprints, and if these are near, by their sets. Each is compared
-with the key's least node first, so that a crowd of copies forms no square of pairs. Where a group's nodes aren't all linked
-yet, those outside its main component are compared with all of the group. If these are more than CROWD, the group is parted
+with the least of its keys' least nodes first, then, in groups that this hasn't linked, with those of its keys' least nodes
+that are in another component, so that a crowd of copies forms no square of pairs. A node's keys stay in one row until
+groups are formed, so components are looked up once a node. Where a group's nodes aren't all linked yet, those outside its
+main component are compared with all of the group. If these are more than CROWD, the group is parted
 before that: its keys are extended by one more segment, which copies survive and strangers don't."""
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bits, golay
-from tidemark.llm.common import ROW_KEY, attach, chunks, lean, mixed, reliable, rolling, row_key, small_batches, staying, texts, word_hashes
+from tidemark.llm.common import ROW_KEY, attach, chunks, fitted, lean, mixed, reliable, rolling, row_key, small_batches, staying, texts, word_hashes
 from tidemark.llm.components import components
 
 #: Words of a shingle and the least similarity of linked texts.
@@ -108,20 +110,19 @@ def _alike(batches, least: float):
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar."""
-    total = pairs.count()
+def _verified(pairs: DataFrame, total: int, source: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar; total: how many pairs there are."""
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = reliable(nodes.select("node", F.col("best.key").alias(ROW_KEY)).join(ends, "node").select(ROW_KEY, "node"))
+    wanted = reliable(fitted(nodes.select("node", F.col("best.key").alias(ROW_KEY)).join(ends, "node").select(ROW_KEY, "node"), 2 * total))
     # of all texts only those that are wanted shuffle, with the few that a filter can't tell from them
     maybe = bits.among(wanted.select(ROW_KEY), wanted.count(), "once")(F.col(ROW_KEY))
     held = source.filter(maybe).select(ROW_KEY, "text").join(wanted, ROW_KEY).select("node", "text").dropDuplicates(["node"])
-    sets = reliable(held.mapInArrow(partial(_sets, size=size), "node long, shingles binary"))
+    sets = reliable(fitted(held, 2 * total, 1024).mapInArrow(partial(_sets, size=size), "node long, shingles binary"))
     for end, name in (("u", "a"), ("v", "b")):
         uses = pairs.groupBy(end).agg(F.count("*").alias("uses"))
         own = sets.withColumnsRenamed({"node": end, "shingles": name}).join(uses, end)
         pairs = attach(pairs, own, end, "uses", total).drop("uses")
-    return reliable(pairs.select("u", "v", "a", "b").mapInArrow(partial(_alike, least=least), "u long, v long"))
+    return fitted(reliable(pairs.select("u", "v", "a", "b").mapInArrow(partial(_alike, least=least), "u long, v long")), total)
 
 
 def first_keys(codes: np.ndarray) -> np.ndarray:
@@ -186,13 +187,24 @@ def _extended(batches, shared: tuple):
             yield _longs(longer_keys(keys[at], codes[rows[at]], _OTHERS))
 
 
+#: A node's keys, in one row or, of crowds, in a few.
+WITH_KEYS = "node long, size long, short long, keys array<long>"
+
+
+def _with_keys(nodes: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """WITH_KEYS of the nodes that have any; rows: whose keys these are, ascending."""
+    held, n = np.unique(rows, return_counts=True)
+    own = nodes.select(["node", "size", "short"]).take(pa.array(held, pa.int64()))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(offsets, pa.array(keys, pa.int64()))], ["node", "size", "short", "keys"])
+
+
 @lean
 def _supported(batches, shared: tuple, longer: tuple):
     for part, codes in _coded(batches):
         rows, keys = _passed(codes, shared)
         keep = np.concatenate([np.empty(0, bool), *(_may_be(longer_keys(keys[at], codes[rows[at]], _OTHERS), longer).any(axis=1) for at in _some(len(keys)))])
-        own = part.select(["node", "size", "short"]).take(pa.array(rows[keep]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *own.columns], ["key", "node", "size", "short"])
+        yield _with_keys(part, rows[keep], keys[keep])
 
 
 def _near(a: str, b: str, least: float) -> Column:
@@ -202,15 +214,14 @@ def _near(a: str, b: str, least: float) -> Column:
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """(key, own): a row for each key of a node, with what is needed to compare nodes; only keys that several nodes may have
-    that also share an extension of it. Strangers meet in 24 bits as often as the square of their number says, in 36 hardly;
+    """WITH_KEYS: nodes with their keys and what is needed to compare nodes; only keys that several nodes may have that also
+    share an extension of it. Strangers meet in 24 bits as often as the square of their number says, in 36 hardly;
     most keys are one node's alone, and neither these nor those of strangers shuffle."""
     # few keys repeat, and only these set bits
     shared = bits.held(nodes.select("codes"), 4 * SEGMENTS * nodes.count(), "twice", 4, _hashed)
     passing = nodes.select("codes").mapInArrow(partial(_passing, shared=shared), "h long").agg(F.sum("h")).first()[0] or 0
     longer = bits.held(nodes.select("codes"), 2 * len(_OTHERS) * passing, "twice", 4, partial(_extended, shared=shared))
-    rows = nodes.select("node", "size", "short", "codes").mapInArrow(partial(_supported, shared=shared, longer=longer), "key long, node long, size long, short long")
-    kept = reliable(rows.select("key", F.struct("node", "size", "short").alias("own")))
+    kept = reliable(nodes.select("node", "size", "short", "codes").mapInArrow(partial(_supported, shared=shared, longer=longer), WITH_KEYS))
     for filled, _ in (shared, longer):
         filled.destroy()  # driver and executors would hold both to the stage's end
     return kept
@@ -234,38 +245,47 @@ def _crowded_keys(batches):
 
 @lean
 def _parted(batches, shared: tuple):
-    """(key, own) of those extended keys that several nodes may have."""
+    """WITH_KEYS of those extended keys that several nodes may have."""
     for batch, at, made in _crowded(batches):
         rows, places = np.nonzero(_may_be(made, shared))
-        own = batch.select(["node", "size", "short"]).take(pa.array(at[rows]))
-        yield pa.RecordBatch.from_arrays([pa.array(made[rows, places].view(np.int64)), *own.columns], ["key", "node", "size", "short"])
+        yield _with_keys(batch, at[rows], made[rows, places].view(np.int64))
+
+
+def _by_key(held: DataFrame, *also: str) -> DataFrame:
+    """(key, own) and the columns also: a row for each key of a node."""
+    return held.select(F.explode("keys").alias("key"), F.struct("node", "size", "short").alias("own"), *also)
 
 
 def _with_hub(keyed: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of each node and the least node of its group."""
-    hubs = reliable(keyed.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("held")).filter("held > 1"))
-    met = attach(keyed, hubs, "key", "held", keyed.count()).filter("own.node <> hub.node").filter(_near("own", "hub", least))
-    return met.select(F.col("hub.node").alias("u"), F.col("own.node").alias("v")).distinct()
+    """Pairs (u, v) of each node and the least node of its group; repeats included."""
+    total = keyed.count()
+    hubs = reliable(fitted(keyed.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("held")).filter("held > 1"), total))
+    met = attach(keyed, hubs, "key", "held", total).filter("own.node <> hub.node").filter(_near("own", "hub", least))
+    return met.select(F.col("hub.node").alias("u"), F.col("own.node").alias("v"))
+
 
+def _open(held: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(key, own, root), and how many: groups whose nodes aren't all linked yet. root: a node's component."""
+    rooted = reliable(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rooted = _by_key(rooted, "root")
+    groups = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("key")
+    found = reliable(rooted.join(groups, "key"))
+    n = found.count()
+    return fitted(found, n), n
 
-def _open(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, own, root, main, others): groups whose nodes aren't all linked yet. root: a node's component; main: the most
-    frequent one of the group; others: how many nodes are outside it."""
-    roots = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = keyed.withColumn("node", F.col("own.node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
-    rooted = reliable(rooted)
-    sums = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    groups = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    return reliable(rooted.join(groups, "key"))
 
+def _apart(opened: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of each node and the least node of its group, if links haven't put them in one component yet."""
+    hubs = opened.groupBy("key").agg(F.min(F.struct("own", "root")).alias("hub"))
+    met = opened.join(hubs, "key").filter("root <> hub.root").filter(_near("own", "hub.own", least))
+    return met.select(F.col("hub.own.node").alias("u"), F.col("own.node").alias("v")).distinct()
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (u, v) that links haven't put in one component yet."""
-    roots = components(found)
-    for end in "uv":
-        own = roots.select(F.col("u").alias(end), F.col("v").alias(f"{end}_root"))
-        pairs = pairs.join(own, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    return pairs.filter("u_root <> v_root").select("u", "v")
+
+def _with_main(opened: DataFrame, n: int) -> DataFrame:
+    """opened, of n rows, with main, the most frequent component of a group, and others, how many nodes are outside it."""
+    sums = opened.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = sums.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    return reliable(fitted(opened.join(groups, "key"), n))
 
 
 def _pairs(rooted: DataFrame, least: float) -> DataFrame:
@@ -279,30 +299,45 @@ def _pairs(rooted: DataFrame, least: float) -> DataFrame:
 def links(source: DataFrame, nodes: DataFrame, size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """(u, v): links between nodes that give the same components as all similar pairs that share a key."""
 
-    def compare(pairs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Those similar among the pairs that haven't been compared yet."""
+        nonlocal seen
         pairs = reliable(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"))
-        return pairs if pairs.isEmpty() else _verified(pairs, source, nodes, size, least)
-
-    keyed = _keyed(nodes)
+        n = pairs.count()
+        if not n:
+            return pairs.limit(0)
+        pairs = fitted(pairs, n)
+        seen = pairs if seen is None else seen.union(pairs)
+        return _verified(pairs, n, source, nodes, size, least)
+
+    def rooted(found: DataFrame) -> DataFrame:
+        return components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+    seen = None
+    held = _keyed(nodes)
     # each node with the least of its hubs first; with its other hubs only where that hasn't linked them
-    first = reliable(_with_hub(keyed, least))
-    least_hubs = reliable(first.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    found = compare(least_hubs)
-    found = reliable(found.union(compare(_apart(first, found), least_hubs)))
-    rooted = _open(keyed, found)
-    pairs = _pairs(rooted.filter(F.col("others") <= CROWD), least)
-    many = rooted.filter(F.col("others") > CROWD).select("key", F.col("own.node").alias("node"))
-    if not many.isEmpty():
+    found = compare(_with_hub(_by_key(held), least).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    opened, _ = _open(held, rooted(found))
+    found = found.union(compare(_apart(opened, least)))
+    roots = rooted(found)
+    opened, n = _open(held, roots)
+    if not n:
+        return found
+    opened = _with_main(opened, n)
+    pairs = _pairs(opened.filter(F.col("others") <= CROWD), least)
+    many = opened.filter(F.col("others") > CROWD).select("key", F.col("own.node").alias("node"))
+    crowded = many.count()
+    if crowded:
         # the extended keys of crowds with many strangers; a node has them in one row
         own = many.groupBy("node").agg(F.collect_set("key").alias("keys")).join(nodes, "node").select("node", "size", "short", "codes", "keys")
-        shared = bits.held(own, 2 * EXTENSIONS * many.count(), "twice", made=_crowded_keys)
-        parted = own.mapInArrow(partial(_parted, shared=shared), "key long, node long, size long, short long")
-        parted = reliable(parted.select("key", F.struct("node", "size", "short").alias("own")))
+        shared = bits.held(own, 2 * EXTENSIONS * crowded, "twice", made=_crowded_keys)
+        parted = reliable(own.mapInArrow(partial(_parted, shared=shared), WITH_KEYS))
         shared[0].destroy()
-        hubs = reliable(_with_hub(parted, least))
-        found = reliable(found.union(compare(hubs, first)))
-        pairs, first = pairs.union(_pairs(_open(parted, found), least)).distinct(), first.union(hubs).distinct()
-    return found.union(compare(pairs, first))
+        opened, _ = _open(parted, roots)
+        found = found.union(compare(_apart(opened, least)))
+        opened, n = _open(parted, rooted(found))
+        pairs = pairs.union(_pairs(_with_main(opened, n), least)).distinct()
+    return found.union(compare(pairs))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
@@ -316,7 +351,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ids = source.select("id", ROW_KEY).distinct()
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.col(ROW_KEY).alias("key"))
     keyed = marked.groupBy(ROW_KEY, "node", "size", "short").agg(F.first("codes").alias("codes"), F.count("*").alias("times")).join(ids, ROW_KEY)
-    nodes = reliable(keyed.groupBy("node").agg(F.min(order).alias("best"), F.first("size").alias("size"), F.first("short").alias("short"), F.first("codes").alias("codes"), F.sum("times").alias("n")))
+    kinds = keyed.groupBy("node").agg(F.min(order).alias("best"), F.first("size").alias("size"), F.first("short").alias("short"), F.first("codes").alias("codes"), F.sum("times").alias("n"))
+    nodes = reliable(fitted(kinds, total, 4096))
     roots = components(links(source, nodes, size, least)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     rooted = nodes.select("node", "best", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = rooted.groupBy("root").agg(F.min("best").alias("stays"))
