@@ -244,3 +244,28 @@ def test_mixing_starts_no_other_workers(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(SparkContext, "parallelize", None)
     rows = mixing.mixture(docs).collect()
     assert len(rows) == docs.count() and sum(r["taken"] for r in rows) > 0
+
+
+def test_roots_are_looked_up_once_a_node(spark, monkeypatch):
+    """No join of a crowd with its components has a row for each of its keys or hubs, and small tables are in few partitions."""
+    from tidemark.llm import components, similar
+
+    held = []
+    keyed = similar._keyed
+    monkeypatch.setattr(similar, "_keyed", lambda nodes: held.append(keyed(nodes)) or held[0])
+    rng = random.Random(6)
+    body = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = [(i, " ".join([*body[:i], "other", *body[i + 1 :]])) for i in range(60)]
+    assert [r["doc_id"] for r in similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert held[0].count() == 60 and {len(r["keys"]) > 40 for r in held[0].collect()} == {True}
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        chain = spark.range(40).selectExpr("id u", "id + 1 v")
+        found = components.components(chain)
+        assert found.rdd.getNumPartitions() == 1 and {tuple(r) for r in found.collect()} == {(i, 0) for i in range(1, 41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
