@@ -1,6 +1,7 @@
 """Byte-level BPE through a table of distinct words.
 
-Texts are split into the pieces that the tokenizer would encode on their own. Pieces are counted over the whole corpus;
+Texts are split into the pieces that the tokenizer would encode on their own: Arrow cuts them before spaces, where pieces end
+too, and what is between is split once for each batch, however often it is there. Pieces are counted over the whole corpus;
 each distinct piece that repeats is encoded once, into a table, and its ids are joined back by position. The table is
 broadcast, so it holds the ``COMMON`` most frequent pieces at most. A piece that it lacks (one that occurs once, or one
 of the rarest of a large corpus) is encoded where it stands: to fetch its ids by a shuffle, the texts or their ids would
@@ -11,9 +12,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections import Counter
 from functools import partial
 from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +25,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean, most_frequent, reliable, slices, small_batches, texts
+from tidemark.llm.common import lean, most_frequent, reliable, slices, small_batches
 
 #: The most pieces that are broadcast, and the most characters each of them has.
 COMMON = 120_000
 COMMON_CHARS = 32
-#: Bytes of text, or ids, that a task works on at once.
-SLICE = 1 << 19
+#: Bytes of text, and ids to decode, that a task works on at once.
+SLICE, DECODED = 1 << 21, 1 << 18
 #: Fixed: how the byte-level tokenizer parts a text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _latin() -> str:
+    """PIECE for words of Latin-1 with a space before each, in terms of Python's own expressions, which are faster."""
+    letters, numbers = (re.escape("".join(filter(regex.compile(kind).match, map(chr, range(256))))) for kind in (r"\p{L}", r"\p{N}"))
+    return rf" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^ {letters}{numbers}]+"
+
+
+_LATIN = re.compile(_latin()).findall
+
+
 class Pieces:
     """Splits a text where the tokenizer would: at its added tokens first, then by PIECE."""
 
@@ -42,6 +54,7 @@ class Pieces:
         self.find = regex.compile(PIECE).findall
 
     def __call__(self, text: str) -> list[str]:
+        """The pieces of a text."""
         if self.at_added is None or not any(a in text for a in self.added):
             return self.find(text)
         out = []
@@ -50,6 +63,23 @@ class Pieces:
         return out
 
 
+#: White space to any library, and a space inside a piece of it: neither its first character nor before a word.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_OTHER = r"[^\x00-\x{ff}]"
+_INSIDE = rf"{_WHITE} (?:{_WHITE}|\z)"
+
+
+class Stretches(NamedTuple):
+    """Texts as stretches; text i has those that codes[bounds[i]:bounds[i + 1]] name. Of the distinct ones, the first are
+    words of Latin-1 with a space before each, the next other words with one, both joined in this order; rest: all others."""
+
+    bounds: np.ndarray
+    codes: np.ndarray
+    latin: bytes
+    words: bytes
+    rest: list[bytes]
+
+
 def _settings(path: str) -> tuple[str, list[str]]:
     """The tokenizer as text (some MB, fixed by the file) and its added tokens."""
     with open(path, encoding="utf-8") as f:
@@ -81,16 +111,73 @@ def _text(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
 
+def joined(words: pa.Array) -> bytes:
+    """Words with a space before each."""
+    return b" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py() if len(words) else b""
+
+
+def stretches(column: pa.Array, added: list[str]) -> Stretches:
+    """Texts cut before each space. A piece has a space as its first character, if it isn't white space itself, and of white
+    space the last character before a word is left to that, so no piece spans a cut; a text in which a space is inside a
+    piece of white space, or that has an added token, is one stretch."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    whole = pc.match_substring_regex(column, _INSIDE)
+    for a in added:
+        whole = pc.or_(whole, pc.match_substring(column, a))
+    whole = whole.to_numpy(zero_copy_only=False)
+    # by filters: if_else of pyarrow 23 mixes up the strings of arrays that begin inside a batch
+    cut = pc.split_pattern(column.filter(pa.array(~whole)), " ")
+    cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
+    sizes = np.ones(len(column), np.int64)
+    sizes[~whole] = _sizes(cut, pc.list_value_length)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    parts = cut.flatten().dictionary_encode()
+    has = lambda pattern: pc.match_substring_regex(parts.dictionary, pattern).to_numpy(zero_copy_only=False)
+    kind = np.where(has(rf"{_WHITE}|^\z"), 2, has(_OTHER))
+    order = np.argsort(kind, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ordered = parts.dictionary.cast(pa.binary()).take(pa.array(order))
+    n, m = np.cumsum(np.bincount(kind, minlength=3))[:2].tolist()
+    rest = [b" " + x for x in ordered[m:].to_pylist()]
+    codes, inside = np.empty(bounds[-1], np.int64), np.ones(bounds[-1], bool)
+    inside[bounds[:-1][whole]] = False
+    codes[inside] = place[parts.indices.to_numpy()]
+    # a text's first stretch has no space before it
+    for rows, own in ((~whole, pc.list_element(cut, 0)), (whole, column.filter(pa.array(whole)))):
+        codes[bounds[:-1][rows]] = m + len(rest) + np.arange(rows.sum())
+        rest += own.cast(pa.binary()).to_pylist()
+    return Stretches(bounds, codes, joined(ordered[:n]), joined(ordered[n:m]), rest)
+
+
+def pieces_of(found: Stretches, split: Pieces) -> tuple[list[str], np.ndarray]:
+    """The pieces of the distinct stretches, one after another, and how many each has. Words are split all at once: of a
+    word's pieces the first alone begins with a space."""
+    flat = []
+    for words, find in ((found.latin, _LATIN), (found.words, split.find)):
+        flat += find(_text(words))
+    first = np.flatnonzero(np.fromiter((p[0] == " " for p in flat), bool, len(flat)))
+    rest = [split(_text(x)) for x in found.rest]
+    sizes = np.concatenate([np.diff(first, append=len(flat)), np.fromiter(map(len, rest), np.int64, len(rest))])
+    return [*flat, *chain.from_iterable(rest)], sizes
+
+
 @lean
 def _count(batches, added: list[str]):
     split, seen = Pieces(added), Counter()
 
     def made():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+        # a stretch may begin texts alone, so that its word after a space doesn't occur
+        there = {p: n for p, n in seen.items() if n}
+        return pa.RecordBatch.from_arrays([pa.array(list(there), pa.string()), pa.array(list(there.values()), pa.int64())], ["piece", "n"])
 
     for batch in batches:
-        for t in texts(batch):
-            seen.update(split(_text(t)))
+        for part in slices(batch, _sizes(batch.column("text"), pc.binary_length), SLICE):
+            found = stretches(part.column("text"), added)
+            flat, sizes = pieces_of(found, split)
+            times = np.repeat(np.bincount(found.codes, minlength=len(sizes)), sizes)
+            for piece, n in zip(flat, times.tolist(), strict=True):
+                seen[piece] += n
             if len(seen) > 100_000:
                 yield made()
                 seen.clear()
@@ -163,8 +250,8 @@ def _lookup(batches, added: list[str], shared, content):
     number, offsets, values = shared.value.unpacked()
     for batch in batches:
         for part in slices(batch, _sizes(batch.column("text"), pc.binary_length), SLICE):
-            pieces = [split(_text(t)) for t in texts(part)]
-            flat = [p for x in pieces for p in x]
+            cut = stretches(part.column("text"), added)
+            flat, counts = pieces_of(cut, split)
             found = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
             missing = np.flatnonzero(found < 0).tolist()
             own: dict[str, int] = {}
@@ -174,7 +261,8 @@ def _lookup(batches, added: list[str], shared, content):
             all_values = np.concatenate([values, np.fromiter(chain.from_iterable(more), np.int32)]) if more else values
             ids, lengths = gather(all_values, all_offsets, found)
             upto = np.concatenate([[0], np.cumsum(lengths)])
-            starts = upto[np.cumsum([0] + [len(x) for x in pieces])]
+            ids, lengths = gather(ids, upto[np.concatenate([[0], np.cumsum(counts)])], cut.codes)
+            starts = np.concatenate([[0], np.cumsum(lengths)])[cut.bounds]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["id", "ids"])
 
 
@@ -200,11 +288,14 @@ def _decode(batches, shared):
     offsets, flat = shared.value
     flat, size = np.frombuffer(flat, np.uint8), len(offsets) - 1
     for batch in batches:
-        for part in slices(batch, _sizes(batch.column("ids"), pc.list_value_length), SLICE):
-            out = []
-            for ids in part.column("ids"):
-                ids = ids.values.to_numpy().astype(np.int64) if ids.is_valid else np.empty(0, np.int64)
-                out.append(gather(flat, offsets, ids[(ids >= 0) & (ids < size)])[0].tobytes().decode("utf-8", "replace"))
+        for part in slices(batch, _sizes(batch.column("ids"), pc.list_value_length), DECODED):
+            ends = np.cumsum(_sizes(part.column("ids"), pc.list_value_length), dtype=np.int64)
+            ids = pc.fill_null(part.column("ids").flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = (ids >= 0) & (ids < size)
+            found, lengths = gather(flat, offsets, ids[known])
+            upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], ends])]].tolist()
+            data = found.tobytes()
+            out = [data[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(out, pa.string())], ["id", "ids", "text"])
 
 
