@@ -232,3 +232,48 @@ def test_sums_of_arrays_come_in_few_jobs(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_words_are_split_once_and_as_the_tokenizer_would():
+    """Texts as stretches have the pieces of whole texts, whatever white space and marks there are, and wherever in a batch
+    they begin; words that stand often are split once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import bpe
+
+    rng = random.Random(3)
+    pool = ["a", "b", "'s", "'", "'ll", " ", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\u00e9", "\u00df", "\u00b2", "1", "\u0153", "\u6f22", ".", ",", "<|e|>", "\x1c", "\x85", "\u200b", "_", "^", "]", "-"]
+    rows = ["".join(rng.choice(pool) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    split = bpe.Pieces(["<|e|>"])
+    column = pa.array([*rows, None]).slice(7)
+    found = bpe.stretches(column, ["<|e|>"])
+    flat, sizes = bpe.pieces_of(found, split)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for i, text in enumerate(column.to_pylist()):
+        assert [p for c in found.codes[found.bounds[i] : found.bounds[i + 1]] for p in flat[ends[c] : ends[c + 1]]] == split(text or ""), repr(text)
+    flat, _ = bpe.pieces_of(bpe.stretches(pa.array(["ab cd, " * 500 + "e"]), []), split)
+    assert len(flat) < 10
+    batch = pa.RecordBatch.from_arrays([pa.array(["x y x", "y", "y  z"])], ["text"])
+    (made,) = bpe._count([batch], [])
+    assert dict(zip(made.column("piece").to_pylist(), made.column("n").to_pylist(), strict=True)) == {"x": 1, " y": 1, " x": 1, "y": 2, " ": 1, " z": 1}
+
+
+def test_kept_words_fill_what_there_is(monkeypatch):
+    """Of more new words than may be kept, those that are there again are kept first, and the rest as far as there is room;
+    ids are the tokenizer's whatever is kept."""
+    tokens = pytest.importorskip("public_tokenizers")
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import bpe, idfiles
+
+    monkeypatch.setattr(idfiles, "KEPT", 3)
+    content, added = bpe._settings(tokens.path("word_bpe_49k.json"))
+    words, plain = idfiles._Words(content, added), bpe._tokenizer(content)
+    for text in ("once twice \u00df\u00e0\u00ed\u00ff, twice Thrice! thrice! thrice! it's 12", "new Once <|endoftext|> \u0153uf \u6f22 a\u00b7b", ""):
+        _, codes, distinct = words.split(pa.array([text]))
+        ids, _ = words(distinct, codes)
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(words.number) == 3 and {b"twice", b"thrice!"} < set(words.number)
+    assert len(words.offsets) == 4 and words.offsets[-1] == len(words.values) and isinstance(words.values, np.ndarray)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 from functools import partial
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simple8b
-from tidemark.llm.bpe import _ids, _settings, _sizes, _tokenizer, _unicode_bytes, gather
+from tidemark.llm.bpe import _ids, _settings, _sizes, _tokenizer, _unicode_bytes, gather, joined
 from tidemark.llm.common import reliable, slices, small_batches
 
 MAGIC = int.from_bytes(b"tidsids1", "little")
@@ -149,9 +149,19 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", *also: str) -> DataFrame:
 
 #: Words of lower-case letters of ASCII and Latin-1, which no step before the model changes or parts, and one mark after them at
 #: most, which is a piece of its own; what parts words for the model; the characters that stand for bytes in it.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,;:!?]?").fullmatch
+_PLAIN = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+[.,;:!?]?\z"
 _BETWEEN = b"\x7f"
 _CHARS = {b: c for c, b in _unicode_bytes().items() if b != 32}
+#: Of the bytes of plain words and of what parts them, those that another character stands for.
+_MOVED = [(chr(b), _CHARS[b]) for b in (_BETWEEN[0], *range(0x9F, 0xC0)) if chr(b) != _CHARS[b]]
+
+
+def _in_chars(joined: bytes) -> str:
+    """Plain words, and what parts them, in the characters that stand for their bytes."""
+    out = joined.decode("latin-1")
+    for byte, char in _MOVED:
+        out = out.replace(byte, char)
+    return out
 
 
 class _Words:
@@ -180,7 +190,7 @@ class _Words:
         finally:
             self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = before
 
-    def split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Where each text's words begin and end among all, each word's place among the distinct ones, and these. If the
         tokenizer lower-cases, A-Z are lower-cased here, unless that would make an added token."""
         column = pc.fill_null(column.cast(pa.string()), "")
@@ -193,35 +203,42 @@ class _Words:
         words = pc.ascii_split_whitespace(column)
         words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
         found = words.flatten().dictionary_encode()
-        return np.concatenate([[0], np.cumsum(_sizes(words, pc.list_value_length), dtype=np.int64)]), found.indices.to_numpy(), found.dictionary.cast(pa.binary()).to_pylist()
-
-    def _made(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of distinct words, and how many each has."""
-        plain = np.fromiter((self.plain and _PLAIN(w) is not None for w in words), bool, len(words))
-        letters = [w if w[-1] > 63 else w[:-1] + b" " + w[-1:] for w, p in zip(words, plain.tolist(), strict=True) if p]
-        joined = [(b" " + _BETWEEN + b" ").join(letters[a : a + 256]).decode("latin-1").translate(_CHARS) for a in range(0, len(letters), 256)]
-        parts = [np.array([*ids, self.between], np.int32) for ids in self._alone(joined)]
+        return np.concatenate([[0], np.cumsum(_sizes(words, pc.list_value_length), dtype=np.int64)]), found.indices.to_numpy(), found.dictionary
+
+    def _made(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, and how many each has; plain: which go to the model as they are."""
+        letters = [w if w[-1] > 63 else w[:-1] + b" " + w[-1:] for w in compress(words, plain.tolist())]
+        between = b" " + _BETWEEN + b" "
+        groups = [_in_chars(between.join(letters[a : a + 256])) for a in range(0, len(letters), 256)]
+        parts = [np.array([*ids, self.between], np.int32) for ids in self._alone(groups)]
         ids = np.concatenate([np.empty(0, np.int32), *parts])
         ends = np.flatnonzero(ids == self.between)
-        rest = _ids(self.tokenizer, [w.decode("utf-8", "replace") for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        rest = _ids(self.tokenizer, [w.decode("utf-8", "replace") for w in compress(words, (~plain).tolist())])
         sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.fromiter(map(len, rest), np.int64, len(rest))])
         values = np.concatenate([ids[ids != self.between], np.fromiter(chain.from_iterable(rest), np.int32)])
         at = np.empty(len(words), np.int64)
         at[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
         return gather(values, np.concatenate([[0], np.cumsum(sizes)]), at)
 
-    def __call__(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, distinct: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words that codes name among distinct ones, and how many each has."""
+        # joined by Arrow, since to make a value of each would take most of the time; no word has a space
+        words = joined(distinct.cast(pa.binary())).split(b" ")[1:]
         found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        # words that are here once may be so everywhere, and go last, so that others are kept first
         missing = np.flatnonzero(found < 0)
+        again = np.bincount(codes, minlength=len(words))[missing] > 1
+        missing = np.concatenate([missing[again], missing[~again]])
         n, own = len(self.number), [words[i] for i in missing.tolist()]
         found[missing] = np.arange(n, n + len(own))
-        made, sizes = self._made(own)
+        plain = pc.match_substring_regex(distinct.take(pa.array(missing)), _PLAIN).to_numpy(zero_copy_only=False) & self.plain
+        made, sizes = self._made(own, plain)
         values = np.concatenate([self.values, made])
         offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        if n + len(own) <= KEPT:
-            self.number.update(zip(own, range(n, n + len(own)), strict=True))
-            self.values, self.offsets = values, offsets
+        keep = min(len(own), KEPT - n)
+        if keep > 0:
+            self.number.update(zip(own[:keep], range(n, n + keep), strict=True))
+            self.values, self.offsets = values[: offsets[n + keep]].copy(), offsets[: n + keep + 1].copy()
         return gather(values, offsets, found[codes])
 
 
