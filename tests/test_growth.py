@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import selection
+from tidemark.operators import asof, selection
 
 
 def test_fan_out_deals_its_pairs_over_tasks(spark):
@@ -18,3 +18,20 @@ def test_fan_out_deals_its_pairs_over_tasks(spark):
                 want.append((e, lead, kind))
     assert sorted(map(tuple, made.collect())) == sorted(want)
     assert made.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_forward_asof_joins_take_no_frame_that_is_read_anew_for_every_row(spark):
+    events = spark.range(3000).select((F.col("id") % 2).alias("key"), F.col("id").cast("int").alias("at"))
+    bars = events.filter("at % 7 < 2").select("key", F.col("at").alias("t"), (F.col("at") * 10).alias("v"))
+    bars.createOrReplaceTempView("growth_bars")
+    events.createOrReplaceTempView("growth_events")
+    want = spark.sql("SELECT e.key, e.at, min(b.v) FROM growth_events e LEFT JOIN growth_bars b ON b.key = e.key AND b.t >= e.at GROUP BY 1, 2")
+    for span in (None, 100):
+        got = asof.asof(events, bars, ["key"], "at", "t", ["v"], forward=True, span=span).select("key", "at", "v")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    days = spark.sql("SELECT date_add(DATE '2024-01-01', cast(id * 3 AS int)) AS day, id AS v FROM range(50)")
+    asked = spark.sql("SELECT date_add(DATE '2024-01-01', cast(id AS int) - 2) AS at FROM range(160)")
+    on = asof.on_calendar(asked, days, "at", "day", "v", "out", forward=True)
+    assert [r["out"] for r in on.orderBy("at").collect()] == [None if i > 149 else max(0, -(-(i - 2) // 3)) for i in range(160)]
+    assert "unboundedfollowing" not in on._jdf.queryExecution().toString().lower()

@@ -26,16 +26,16 @@ def asof(events: DataFrame, bars: DataFrame, keys: list[str], at: str, ts: str,
     both = left.withColumn("_event", F.lit(True)).unionByName(seen.withColumn("_event", F.lit(False)), allowMissingColumns=True)
     number = F.unix_date("_t") if dict(bars.dtypes)[ts] == "date" else F.col("_t")
     both = both.withColumn("_span", F.floor(number / span) if span else F.lit(0))
-    near = F.first if forward else F.last
-    w = Window.partitionBy(*keys, "_span").orderBy("_t", side)
-    w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn(found, near(found, ignorenulls=True).over(w)).filter("_event")
+    # time is walked backwards for the next bar: a frame that ends at its row grows, one that begins there is read anew for
+    # every row
+    way = F.desc if forward else F.asc
+    w = Window.partitionBy(*keys, "_span").orderBy(way("_t"), way(side)).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn(found, F.last(found, ignorenulls=True).over(w)).filter("_event")
     if span:
         ends = (F.min_by if forward else F.max_by)(found, F.when(~F.col("_event"), F.col("_t")))
         spans = both.groupBy(*keys, "_span").agg(ends.alias("_end"))
-        v = Window.partitionBy(*keys).orderBy("_span")
-        v = v.rowsBetween(1, Window.unboundedFollowing) if forward else v.rowsBetween(Window.unboundedPreceding, -1)
-        spans = spans.withColumn("_end", near("_end", ignorenulls=True).over(v)).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_span": "_s"})
+        v = Window.partitionBy(*keys).orderBy(way("_span")).rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("_end", F.last("_end", ignorenulls=True).over(v)).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_span": "_s"})
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_span") == F.col("_s")]
         out = out.join(spans, same, "left").withColumn(found, F.coalesce(found, "_end"))
     if most is not None:
@@ -126,8 +126,8 @@ def on_calendar(events: DataFrame, series: DataFrame, at: str, ts: str, value: s
     days = series.filter(F.col(value).isNotNull()).groupBy(F.col(ts).alias("_day")).agg(F.max(value).alias("_v"))
     edge = days.agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
     every = edge.filter("_first is not null").select(F.explode(F.sequence("_first", "_last")).alias("_day"))
-    near = Window.orderBy("_day").rowsBetween(0, Window.unboundedFollowing) if forward else Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    dense = every.join(F.broadcast(days), "_day", "left").select("_day", (F.first if forward else F.last)("_v", ignorenulls=True).over(near).alias(out))
+    near = Window.orderBy(F.desc("_day") if forward else F.asc("_day")).rowsBetween(Window.unboundedPreceding, 0)
+    dense = every.join(F.broadcast(days), "_day", "left").select("_day", F.last("_v", ignorenulls=True).over(near).alias(out))
     clamped = F.greatest(F.col(at), F.col("_first")) if forward else F.least(F.col(at), F.col("_last"))
     keyed = events.join(F.broadcast(edge), F.lit(True), "left").withColumn("_day", F.when(F.col(at).isNotNull(), clamped))
     return keyed.join(F.broadcast(dense), "_day", "left").select(*events.columns, out)
