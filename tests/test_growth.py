@@ -1,8 +1,11 @@
 """Work that must not grow with the square of a group, or stand in one task."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, selection
+from tidemark.plans import series  # noqa: F401  (it registers its queries)
+from tidemark.plans.base import QUERIES
 
 
 def test_fan_out_deals_its_pairs_over_tasks(spark):
@@ -35,3 +38,9 @@ def test_forward_asof_joins_take_no_frame_that_is_read_anew_for_every_row(spark)
     on = asof.on_calendar(asked, days, "at", "day", "v", "out", forward=True)
     assert [r["out"] for r in on.orderBy("at").collect()] == [None if i > 149 else max(0, -(-(i - 2) // 3)) for i in range(160)]
     assert "unboundedfollowing" not in on._jdf.queryExecution().toString().lower()
+
+
+@pytest.mark.parametrize("name", ["forward_return_windows"])
+def test_return_windows_read_a_key_once(spark, name):
+    made = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "unboundedfollowing" not in made._jdf.queryExecution().toString().lower()
