@@ -40,7 +40,7 @@ def test_forward_asof_joins_take_no_frame_that_is_read_anew_for_every_row(spark)
     assert "unboundedfollowing" not in on._jdf.queryExecution().toString().lower()
 
 
-@pytest.mark.parametrize("name", ["forward_return_windows"])
+@pytest.mark.parametrize("name", ["forward_return_windows", "benchmark_relative_12m"])
 def test_return_windows_read_a_key_once(spark, name):
     made = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "unboundedfollowing" not in made._jdf.queryExecution().toString().lower()
