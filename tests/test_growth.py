@@ -1,9 +1,13 @@
 """Work that must not grow with the square of a group, or stand in one task."""
 
+import math
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, selection
+from tidemark.operators import asof, neighbours, selection
 from tidemark.plans import series  # noqa: F401  (it registers its queries)
 from tidemark.plans.base import QUERIES
 
@@ -44,3 +48,39 @@ def test_forward_asof_joins_take_no_frame_that_is_read_anew_for_every_row(spark)
 def test_return_windows_read_a_key_once(spark, name):
     made = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "unboundedfollowing" not in made._jdf.queryExecution().toString().lower()
+
+
+def test_rows_with_equal_values_are_searched_once(spark, monkeypatch):
+    rng = random.Random(8)
+    kinds = [(g, *(rng.choice([None, 1.0, 2.0, 3.0]) for _ in "abc")) for g in ("g", "h") for _ in range(12)]
+    rows = [(i, *kinds[i % len(kinds)]) for i in rng.sample(range(2000), 600)]
+    df = spark.createDataFrame(rows, "id long, grp string, a double, b double, c double").repartition(5)
+    asked = df.filter("id % 3 = 0")
+    searched, blocks = [], neighbours._blocks
+
+    def seen(t, id_col):
+        searched.append(t.count())
+        return blocks(t, id_col)
+
+    monkeypatch.setattr(neighbours, "_blocks", seen)
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    got = defaultdict(list)
+    for r in neighbours.nearest(asked, df, ["a", "b", "c"], ["grp"], "id", k=4).orderBy("target", "nth").collect():
+        got[r["target"]].append((r["nth"], r["neighbour"], r["dims"], round(r["adjusted"], 8)))
+    z = {}
+    for g in ("g", "h"):
+        mine = [r for r in rows if r[1] == g]
+        stats = [(sum(v) / len(v), math.sqrt(sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v)) or 1.0) for v in ([r[j] for r in mine if r[j] is not None] for j in (2, 3, 4))]
+        z |= {r[0]: (g, [None if x is None else (x - m) / s for x, (m, s) in zip(r[2:], stats, strict=True)]) for r in mine}
+    want = {}
+    for t in (i for i in z if i % 3 == 0):
+        found = []
+        for c in z:
+            both = [(x - y) ** 2 for x, y in zip(z[t][1], z[c][1], strict=True) if x is not None and y is not None]
+            if c != t and z[c][0] == z[t][0] and len(both) >= 2:
+                far = math.sqrt(sum(both) / len(both)) * (1 + 0.25 * (sum(x is not None for x in z[t][1]) - len(both)))
+                if far <= 2:
+                    found.append((round(far, 9), -len(both), c))
+        want[t] = [(n, c, -d, round(far, 8)) for n, (far, d, c) in enumerate(sorted(found)[:4], 1)]
+    assert {t: got.get(t, []) for t in want} == want and set(got) <= set(want)
+    assert searched[0] <= len(set(kinds))
