@@ -84,3 +84,18 @@ def test_rows_with_equal_values_are_searched_once(spark, monkeypatch):
         want[t] = [(n, c, -d, round(far, 8)) for n, (far, d, c) in enumerate(sorted(found)[:4], 1)]
     assert {t: got.get(t, []) for t in want} == want and set(got) <= set(want)
     assert searched[0] <= len(set(kinds))
+
+
+def test_similarity_of_many_equal_rows_sends_few(spark, monkeypatch):
+    df = spark.range(1000).select("id", F.lit("g").alias("grp"), (F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 2 * 3).cast("double").alias("b"), F.col("id").cast("double").alias("v"))
+    held, best = [], neighbours._best
+
+    def seen(candidates, *a):
+        held.append(candidates.count())
+        return best(candidates, *a)
+
+    monkeypatch.setattr(neighbours, "_best", seen)
+    got = neighbours.summary(neighbours.nearest(df.filter("id % 20 = 0"), df, ["a", "b"], ["grp"], "id"), df, "id", "v").collect()
+    want = {t: [c for c in range(0, 20, 2) if c != t][:8] for t in range(0, 1000, 20)}
+    assert {r["target"]: (r["n"], r["mean"], r["median"]) for r in got} == {t: (8, sum(c) / 8, c[4]) for t, c in want.items()}
+    assert held == [2]
