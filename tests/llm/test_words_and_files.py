@@ -277,3 +277,15 @@ def test_kept_words_fill_what_there_is(monkeypatch):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
     assert len(words.number) == 3 and {b"twice", b"thrice!"} < set(words.number)
     assert len(words.offsets) == 4 and words.offsets[-1] == len(words.values) and isinstance(words.values, np.ndarray)
+
+
+def test_pairs_that_buckets_let_through_cost_no_broadcast(spark, monkeypatch):
+    """Buckets so few that all pairs pass, more of them than may be broadcast: only the frequent ones count against that."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 90)) + ". high tide mark. high tide mark", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(phrases, "MOST_POWER", 4)
+    monkeypatch.setattr(phrases, "LEAST_POWER", 4)
+    monkeypatch.setattr(phrases, "_by_shuffle", None)
+    got = sorted(tuple(r) for r in phrases.mine(docs, least=30, most=64).collect())
+    assert got == mined(rows, 30, 5, 2000, 100) and got

@@ -4,11 +4,12 @@ Words are counted once; those with at least ``least`` occurrences get numbers, a
 Then, from two words up, each pass works on phrases that may be frequent because both of their parts without the last and
 without the first word are (Apriori). A phrase is written as the pair of these parts' slots, which is exact, so nothing rests
 on a hash of words. Mappers first count hashes of such pairs into buckets and add the arrays up as a tree; pairs of buckets
-that reach ``least`` are candidates. These get a minimal perfect hash, which keeps each slot's pair and compares it; mappers
-count slots with bincount, and the arrays are added up as a tree again. What the cuts of a phrase need is read by slot.
+that reach ``least`` are counted by a shuffle, each mapper's distinct ones with their counts, a part of the pairs at a time.
+Frequent pairs get a minimal perfect hash, which keeps each slot's pair and compares it. What the cuts of a phrase need is
+read by slot. However many pairs the buckets let through, only the frequent ones leave the shuffle.
 
-Words, and candidates of each length, are broadcast up to ``MOST``; with more of them, all phrases are counted by a shuffle
-(``_by_shuffle``), with the same result."""
+Words are broadcast up to ``MOST``, frequent phrases of each length up to ``PHRASES`` times as many; with more of them, all phrases are counted by a
+shuffle (``_by_shuffle``), with the same result."""
 
 from __future__ import annotations
 
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import reliable, small_batches, stage_folder, texts, to_driver
 from tidemark.llm.mph import NONE, PerfectHash, scattered
 
-#: The most words, and candidates of one length, that are broadcast (8 bytes each, and the words themselves).
-MOST = 1 << 20
+#: The most words that are broadcast, and for each of these the frequent phrases of one length (to mappers 8.5 bytes each).
+MOST, PHRASES = 1 << 20, 8
 #: Numbers of words in one row of the table of texts, words of a mapper at least if there are many, and those for each bucket.
 ROW, MAPPER, LOAD = 1 << 18, 1 << 26, 32
 #: Buckets, as powers of two; places of an array that are sent together; arrays that are added up at once.
 LEAST_POWER, MOST_POWER, RANGE, FAN = 16, 25, 1 << 16, 16
+#: Words of the corpus for each part of the pairs that are counted by a shuffle.
+PART = 1 << 22
 #: What a Counter holds before it is sent on.
 HELD = 1 << 17
 #: Fixed by the contract: what ends a piece, what parts words in it, and the language of rows without one. A byte that no text
@@ -127,10 +130,10 @@ def _number(batches, shared):
 
 
 class Slots:
-    """Phrases of one length: slots of pairs of shorter phrases' slots, and which of them are frequent."""
+    """Frequent phrases of one length: slots of pairs of shorter phrases' slots, and their counts."""
 
-    def __init__(self, table: PerfectHash, counts: np.ndarray, least: int):
-        self.table, self.counts, self.alive = table, counts, counts >= least
+    def __init__(self, table: PerfectHash, counts: np.ndarray):
+        self.table, self.counts = table, counts
 
 
 def _pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +142,17 @@ def _pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (slots[at].astype(np.uint64) << np.uint64(32)) | slots[at + 1].astype(np.uint64)
 
 
-def _frequent(numbers: np.ndarray, levels: list[Slots]) -> np.ndarray:
+def _frequent(numbers: np.ndarray, levels: list[PerfectHash]) -> np.ndarray:
     """At each place the slot of the phrase of len(levels) + 1 words that begins there, NONE if it is not frequent."""
     slots = numbers
     for level in levels:
         at, keys = _pairs(slots)
-        found = level.table.slots(keys)
-        found[(found >= 0) & ~level.alive[found]] = NONE
         slots = np.full(len(numbers), NONE, np.int32)
-        slots[at] = found
+        slots[at] = level.slots(keys)
     return slots
 
 
-def _keys(batches, levels: list[Slots]) -> Iterator[np.ndarray]:
+def _keys(batches, levels: list[PerfectHash]) -> Iterator[np.ndarray]:
     for batch in batches:
         for row in batch.column("numbers"):
             yield _pairs(_frequent(np.frombuffer(row.as_buffer(), np.int32), levels))[1]
@@ -169,10 +170,13 @@ def _sent(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _array_row(place: int, mapper: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([mapper], pa.int32()), pa.array([_narrow(counts)], pa.binary())], ["place", "mapper", "counts"])
+
+
+def _narrow(counts: np.ndarray) -> bytes:
     top = int(counts.max(initial=0))
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
-    data = bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([mapper], pa.int32()), pa.array([data], pa.binary())], ["place", "mapper", "counts"])
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
 
 
 def _array(data: bytes) -> np.ndarray:
@@ -217,60 +221,67 @@ def _sieve(batches, levels, power: int, cap: int):
     yield from _sent(np.minimum(counts, cap))
 
 
-def _candidates(batches, levels, power: int, sieve, parts: int):
-    """Distinct pairs of a mapper whose buckets are frequent, by part."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    every = every[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[starts], np.add.reduceat(np.concatenate(counts)[order], starts)
+
+
+def _counted(batches, levels, power: int, sieve, parts: int):
+    """Distinct pairs of a mapper whose buckets are frequent, and how often it has them, by part."""
     open_ = np.unpackbits(np.frombuffer(sieve.value, np.uint8), bitorder="little").astype(bool)
 
-    def made(held: np.ndarray) -> pa.RecordBatch:
-        part = (scattered(held, 98) >> np.uint64(32)).astype(np.int64) * parts >> 32
+    def made(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        part = (scattered(keys, 98) >> np.uint64(32)).astype(np.int64) * parts >> 32
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, held[order[a:b]].tobytes()) for p, (a, b) in enumerate(pairwise(cuts.tolist())) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.binary())], ["part", "keys"])
+        rows = [(p, keys[order[a:b]].tobytes(), _narrow(counts[order[a:b]])) for p, (a, b) in enumerate(pairwise(cuts.tolist())) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, *_ in rows], pa.int32()), pa.array([k for _, k, _ in rows], pa.binary()), pa.array([c for *_, c in rows], pa.binary())], ["part", "keys", "counts"])
 
-    held, n = [], 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
     for keys in _keys(batches, levels.value):
-        held.append(np.unique(keys[open_[_bucket(keys, power)]]))
-        n += len(held[-1])
+        held.append(np.unique(keys[open_[_bucket(keys, power)]], return_counts=True))
+        n += len(held[-1][0])
         if n > 1 << 21:
-            held = [np.unique(np.concatenate(held))]
-            n = len(held[0])
+            held = [_merged(*zip(*held, strict=True))]
+            n = len(held[0][0])
             if n > 1 << 20:
-                yield made(held[0])
+                yield made(*held[0])
                 held, n = [], 0
     if n:
-        yield made(np.unique(np.concatenate(held)))
+        yield made(*_merged(*zip(*held, strict=True)))
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]))
-    return pa.table({"n": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary())})
+def _summed(table: pa.Table, least: int) -> pa.Table:
+    """A part's frequent pairs with their counts."""
+    keys, counts = _merged([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()], [_array(x) for x in table.column("counts").to_pylist()])
+    often = counts >= least
+    return pa.table({"n": pa.array([int(often.sum())], pa.int64()), "keys": pa.array([keys[often].tobytes()], pa.binary()), "counts": pa.array([_narrow(counts[often])], pa.binary())})
 
 
-def _count(batches, levels, table):
-    counts = np.zeros(len(table.value), np.int64)
-    for keys in _keys(batches, levels.value):
-        found = table.value.slots(keys)
-        counts += np.bincount(found[found >= 0], minlength=len(counts))
-    yield from _sent(counts)
-
-
-def _next(numbers: DataFrame, levels: list[Slots], least: int, mappers: int, power: int, most: int) -> Slots | None:
-    """The phrases of one word more; None if there are more candidates than may be broadcast."""
+def _next(numbers: DataFrame, levels: list[Slots], least: int, mappers: int, power: int, parts: int, most: int) -> Slots | None:
+    """The frequent phrases of one word more; None if there are more than may be broadcast."""
     share = numbers.sparkSession.sparkContext.broadcast
-    shared = share(levels)
+    shared = share([x.table for x in levels])
     counts = _tree_sum(numbers.mapInArrow(partial(_sieve, levels=shared, power=power, cap=least), _ARRAYS), mappers, 1 << power, least)
     sieve = share(np.packbits(counts >= least, bitorder="little").tobytes())
-    parts = max(1, most >> 16)
-    keys = numbers.mapInArrow(partial(_candidates, levels=shared, power=power, sieve=sieve, parts=parts), "part int, keys binary")
-    keys = reliable(keys.groupBy("part").applyInArrow(_distinct, "n long, keys binary"))
-    if (keys.agg(F.sum("n")).first()[0] or 0) > most:
-        return None
-    table = PerfectHash(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(bytes(r["keys"]), np.uint64) for r in keys.coalesce(8).toLocalIterator())]))
-    found = _tree_sum(numbers.mapInArrow(partial(_count, levels=shared, table=share(table)), _ARRAYS), mappers, len(table)) if len(table) else np.empty(0, np.int64)
+    pairs = numbers.mapInArrow(partial(_counted, levels=shared, power=power, sieve=sieve, parts=parts), "part int, keys binary, counts binary")
+    pairs = reliable(pairs.groupBy("part").applyInArrow(lambda table: _summed(table, least), "n long, keys binary, counts binary"))
     for b in (shared, sieve):
         b.unpersist()
-    return Slots(table, found, least)
+    if (pairs.agg(F.sum("n")).first()[0] or 0) > most:
+        return None
+    rows = [(bytes(r["keys"]), bytes(r["counts"])) for r in pairs.filter("n > 0").coalesce(8).toLocalIterator()]
+    keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(k, np.uint64) for k, _ in rows)])
+    table = PerfectHash(keys)
+    found = np.zeros(len(table), np.int64)
+    if len(table):
+        found[table.slots(keys)] = np.concatenate([_array(c) for _, c in rows])
+    return Slots(table, found)
 
 
 class Found:
@@ -278,10 +289,10 @@ class Found:
 
     def __init__(self, numbers: _Numbers, counts: np.ndarray, totals: list[int], levels: list[Slots], drop_percent: int):
         self.numbers, self.counts, self.totals, self.levels = numbers, [counts, *(x.counts for x in levels)], totals, levels
-        self.kept = [x.alive.copy() for x in levels]
+        self.kept = [np.ones(len(x.table), bool) for x in levels]
         # no longer phrase that holds one is more frequent than those of just a word more that do
         for level, longer in enumerate(levels[1:], 2):
-            slots = np.flatnonzero(longer.alive)
+            slots = np.arange(len(longer.table))
             for part in self.parts(level, slots):
                 full = 100 * longer.counts[slots] >= drop_percent * self.counts[level - 1][part]
                 self.kept[level - 2][part[full]] = False
@@ -392,11 +403,12 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
         total = sum(n.values())
         mappers = max(2 * spark.sparkContext.defaultParallelism, -(-total // MAPPER))
         power = min(MOST_POWER, max(LEAST_POWER, (total // LOAD).bit_length() - 1))
+        parts = max(1, most >> 16, total // PART)
         table = spark.read.parquet(folder).coalesce(mappers)
         found: Slots | None = None
         while len(levels) < longest - 1:
-            found = _next(table, levels, least, mappers, power, most)
-            if found is None or not found.alive.any():
+            found = _next(table, levels, least, mappers, power, parts, PHRASES * most)
+            if found is None or not len(found.table):
                 break
             levels.append(found)
         if found is not None:
