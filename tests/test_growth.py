@@ -12,12 +12,14 @@ from tidemark.plans import series  # noqa: F401  (it registers its queries)
 from tidemark.plans.base import QUERIES
 
 
-def test_fan_out_deals_its_pairs_over_tasks(spark):
+def test_fan_out_deals_its_pairs_over_tasks(spark, tmp_path):
     kinds = list(selection.PREFERENCE)
     events = spark.createDataFrame([(i, kinds[i % 4], ("India", "United States")[i % 3 % 2]) for i in range(300)] + [(7, "score", "India")], "event long, kind string, country string").coalesce(1)
     people = [(i, ("india", "us", "both", None)[i % 4], i % 2 == 0, i % 5 < 3, None if i % 7 else True) for i in range(150)] + [(3, "us", True, True, True)]
     leads = spark.createDataFrame(people, "lead long, markets string, wants_recommendation boolean, wants_score boolean, wants_flag boolean")
-    made = selection.fan_out(events, leads)
+    for name, df in (("events", events), ("leads", leads)):  # few and small files, whose join is a broadcast
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    made = selection.fan_out(*(spark.read.parquet(str(tmp_path / name)) for name in ("events", "leads")))
     want = []
     for e, kind, country in events.collect():
         for lead, markets, *wants in people:
